@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, packing, quality, url_filter
+from . import bpe, langid, license_scan, media, packing, pii, quality, url_filter
 from .common import table
 
 #: (verdict, host, path): the fixed rules of op9.
@@ -32,6 +32,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~langid.in_training("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = """
 WITH a AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -66,11 +74,13 @@ def queries() -> dict:
         "op3_quality": op3_quality,
         "op4_bpe": op4_bpe,
         "op5_language": op5_language,
+        "op6_license_scan": op6_license_scan,
         "op7_media_columns": op7_media_columns,
         "op8_packing": op8_packing,
         "op9_url_filter": op9_url_filter,
+        "op10_pii": op10_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": OP9_SQL}
+    return {"op6_license_scan": license_scan.oracle(), "op9_url_filter": OP9_SQL}
