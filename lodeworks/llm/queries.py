@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, license_scan, media, packing, pii, quality, url_filter
+from . import ann, bpe, langid, license_scan, media, packing, pii, quality, url_filter
 from .common import table
 
 #: (verdict, host, path): the fixed rules of op9.
@@ -18,6 +18,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    return ann.search(embeddings, embeddings.where(F.col("vec_id") % 50 == 0))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -71,6 +76,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 
 def queries() -> dict:
     return {
+        "op2_ann": op2_ann,
         "op3_quality": op3_quality,
         "op4_bpe": op4_bpe,
         "op5_language": op5_language,
