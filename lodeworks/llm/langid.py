@@ -114,6 +114,18 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_AL
     return fit(counts, np.array(got["lang"].to_pylist(), object))
 
 
+def _predicted(model: Model | None, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    texts = column.to_pylist()
+    known = np.array([model is not None and t is not None and _LETTER.search(t) is not None for t in texts], bool)
+    lang, score, rejected = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.ones(len(texts), bool)
+    if model is not None:
+        for a, b, counts in ngram_counts(*flat_text(column)):
+            best, score[a:b], rejected[a:b] = model.predict(counts)
+            lang[a:b] = [model.languages[i] for i in best]
+    lang[~known], score[~known], rejected[~known] = UNKNOWN, 0.0, True
+    return lang, score, rejected
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """One row per row of ``docs``: doc_id, lang_pred, score (cosine, 0 to 1), rejected.  Only the text is looked at."""
     spark = docs.sparkSession
@@ -122,16 +134,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
     def run(batches):
-        fitted = sent.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            known = np.array([fitted is not None and t is not None and _LETTER.search(t) is not None for t in texts], bool)
-            lang, score, rejected = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.ones(len(texts), bool)
-            if fitted is not None:
-                for a, b, counts in ngram_counts(*flat_text(batch.column(1))):
-                    best, score[a:b], rejected[a:b] = fitted.predict(counts)
-                    lang[a:b] = [fitted.languages[i] for i in best]
-            lang[~known], score[~known], rejected[~known] = UNKNOWN, 0.0, True
+            lang, score, rejected = _predicted(sent.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], schema=out)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
@@ -143,6 +147,13 @@ def in_training(doc_id) -> F.Column:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose language is recognised.  Needs unique doc_id values."""
-    kept = predict(docs, train(docs.where(in_training("doc_id")))).where("not rejected").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The rows of ``docs``, unchanged, whose language is recognised; they pass through the prediction, so none is shuffled."""
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs.where(in_training("doc_id"))))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(~_predicted(sent.value, batch.column(at))[2]))
+
+    return docs.mapInArrow(run, docs.schema)

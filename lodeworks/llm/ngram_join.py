@@ -300,3 +300,10 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     of_set = scratch.save(copies.join(labels, "rep").select("n", "d1", "d2", "label"), "of-set")
     known = digest.select("doc_id", "n", "d1", "d2").join(of_set, ["n", "d1", "d2"], "left")
     return known.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, unchanged, but of each component only those of its smallest doc_id."""
+    scratch = Scratch(docs.sparkSession, "near-copies")
+    gone = components(docs, width, percent).where("component_id <> doc_id").select("doc_id").distinct()
+    return _only(docs, scratch.save(gone, "gone"), "left_anti").select(*docs.columns)

@@ -154,6 +154,13 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pooled:
     return co_train(*views, got["quality"].to_numpy().astype(np.int64))
 
 
+def _scores(model: Model | None, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, metadata and combined scores of a batch of (doc_id, text, lang, source, n_chars)."""
+    blank = np.array([not (t or "").strip() for t in batch.column(1).to_pylist()], bool)
+    parts = [np.ones(len(blank))] * 3 if model is None else model.score(*_featurise(batch))
+    return tuple(np.where(blank, 0.0, p) for p in parts)
+
+
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: doc_id, score, text_score, meta_score (0 to 1) and keep."""
     spark = docs.sparkSession
@@ -162,14 +169,8 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
     out = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("text_score", pa.float64()), ("meta_score", pa.float64()), ("keep", pa.bool_())])
 
     def run(batches):
-        fitted = sent.value
         for batch in batches:
-            blank = np.array([not (t or "").strip() for t in batch.column(1).to_pylist()], bool)
-            if fitted is None:
-                parts = [np.ones(len(blank))] * 3
-            else:
-                parts = fitted.score(*_featurise(batch))
-            a, b, both = (np.where(blank, 0.0, p) for p in parts)
+            a, b, both = _scores(sent.value, batch)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(both), pa.array(a), pa.array(b), pa.array(both >= threshold)], schema=out)
 
     return _columns(docs).mapInArrow(run, "doc_id long, score double, text_score double, meta_score double, keep boolean")
@@ -180,6 +181,12 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, unchanged, that the classifier keeps.  Needs unique doc_id values."""
-    kept = classify(docs, labels, threshold).where("keep").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The rows of ``docs``, unchanged, that the classifier keeps; they pass through the scoring pass, so none is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    at = [docs.columns.index(c) for c in ("doc_id", "text", "lang", "source", "n_chars")]
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(sent.value, batch.select(at))[2] >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
