@@ -1,0 +1 @@
+"""Scalar functions on columns, and the plain-Python rules behind them."""

@@ -1,0 +1 @@
+"""Operators over records, files, lines, symbols, graphs, coverage, revisions and logs."""

@@ -1,9 +1,774 @@
-"""Named queries over the driver's tables, and their SQL."""
+"""Named queries over the driver's tables, and their SQL.
 
+The operators take named column roles; here they are bound to the tables at hand: documents are files whose words are
+symbols, orders and line items are calls, nations and regions a class hierarchy, events a request log.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import jsoneval, names, paths, texts
+from ..operators import coverage, crossref, filters, graph, history, layout, loganalytics, lookup, merge, results
+from ..sources import texts as source_texts
+from ..streaming import windows
+from . import language, runner
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the SQL that gives the same rows."""
+
+    def register(f):
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _long(*columns: str) -> list:
+    return [F.col(c).cast("bigint").alias(c) for c in columns]
+
+
+_PATH = "lang || '/' || source || '/' || doc_id || '.txt'"
+_LINES = f"SELECT {_PATH} AS path, doc_id, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT AS lno, unnest(string_split(text, chr(10))) AS text FROM documents"
+_TOKENS = f"""
+lines AS ({_LINES}),
+words AS (SELECT path, doc_id, lno, text AS line, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]+'))) AS word FROM lines),
+tokens AS (SELECT path, doc_id, lno, strpos(line, word) - 1 AS col, lower(word) AS token FROM words),
+targets AS (SELECT path, doc_id, lno, col::BIGINT AS col, 'W_' || token AS sym, token AS pretty,
+  CASE WHEN row_number() OVER (PARTITION BY path, token ORDER BY lno, col) = 1 THEN 'def' ELSE 'use' END AS kind FROM tokens WHERE starts_with(token, 'th'))
+"""
+_KIND = """CASE WHEN starts_with(path, 'de/') THEN 'third_party' WHEN list_contains(string_split(path, '/'), 'src3') OR list_contains(string_split(path, '/'), 'src4')
+ OR suffix(string_split(path, '/')[2], '7') THEN 'test' WHEN starts_with(path, 'es/') THEN 'generated' ELSE 'normal' END"""
+KINDS = [
+    paths.PathKind("normal", 0, 0),
+    paths.PathKind("third_party", 1, 1, path_prefixes=["de/"]),
+    paths.PathKind("test", 2, 2, dir_names=["src3", "src4"], dir_suffixes=["7"]),
+    paths.PathKind("generated", 3, 3, path_prefixes=["es/"]),
+]
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = source_texts.files(_t(spark, sf_dir, "documents"))
+    return docs.withColumn("path_kind", paths.path_kind(F.col("path"), KINDS))
+
+
+def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that begin with "th" as target records: a word's first place in a document is its definition."""
+    tokens = source_texts.tokens(_t(spark, sf_dir, "documents")).where(F.col("token").startswith("th"))
+    sym = F.concat(F.lit("W_"), "token")
+    ranked = lookup.numbered(tokens, [F.col("path"), F.col("token")], [F.col("lno"), F.col("col")], "r")
+    return ranked.select("path", "doc_id", "lno", "col", sym.alias("sym"), F.col("token").alias("pretty"), F.when(F.col("r") == 1, "def").otherwise("use").alias("kind"), F.struct("doc_id", "lno", "col").alias("ord"))
+
+
+# ---------------------------------------------------------------- files, lines, text
+
+
+@query(f"""WITH lines AS ({_LINES}) SELECT path, lno, substr(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', ''), 1, 100) AS shown,
+ (length(text) - length(regexp_replace(text, '^\\s+', '')))::BIGINT AS moved FROM lines""")
+def scan_lines(spark, sf_dir):
+    lines = source_texts.lines(_t(spark, sf_dir, "documents"))
+    shown, moved = source_texts.shown(F.col("text"))
+    return lines.select("path", F.col("lno").cast("bigint").alias("lno"), shown.alias("shown"), moved.cast("bigint").alias("moved"))
+
+
+@query(f"SELECT path, doc_id FROM (SELECT {_PATH} AS path, doc_id FROM documents) WHERE regexp_matches(path, '^en/src1./.*\\.txt$')")
+def path_glob_files(spark, sf_dir):
+    return lookup.search_files(files(spark, sf_dir), "^en/src1?/**.txt$", limit=0).select("path", "doc_id")
+
+
+@query(f"SELECT dir, count(*) AS n_files, sum(n_chars)::BIGINT AS total_size FROM (SELECT lang || '/' || source AS dir, n_chars FROM documents) GROUP BY dir")
+def files_by_directory(spark, sf_dir):
+    return lookup.group_by_directory(files(spark, sf_dir))
+
+
+@query("SELECT 'txt' AS ext, count(*) AS n_files FROM documents")
+def files_by_extension(spark, sf_dir):
+    return lookup.by_extension(files(spark, sf_dir))
+
+
+@query(f"SELECT path, {_KIND} AS path_kind FROM (SELECT {_PATH} AS path FROM documents)")
+def path_kind_classify(spark, sf_dir):
+    return files(spark, sf_dir).select("path", "path_kind")
+
+
+@query(f"""SELECT path, CASE WHEN regexp_matches(path, '^en/src5/') THEN true WHEN regexp_matches(path, '^[^/]*/src12/') THEN false
+ WHEN regexp_matches(path, '^[^/]*/src1[^/]*/') THEN true ELSE false END AS tagged FROM (SELECT {_PATH} AS path FROM documents)""")
+def tag_apply_remove(spark, sf_dir):
+    rules = paths.ignore_rules(["# tagged sources", "*/src1*/**", "!*/src12/", "/en/src5/"])
+    return files(spark, sf_dir).select("path", paths.last_match(F.col("path"), rules).alias("tagged"))
+
+
+@query(f"SELECT path, replace(replace(path, '.', '@2E'), '-', '@2D') AS mangled FROM (SELECT {_PATH} AS path FROM documents)")
+def mangle_paths(spark, sf_dir):
+    return files(spark, sf_dir).select("path", paths.mangle(F.col("path")).alias("mangled"))
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(substr(html, 1, 5000), '(?is)<title>(.*?)</title>') THEN regexp_extract(substr(html, 1, 5000), '(?is)<title>(.*?)</title>', 1) END AS description FROM pages")
+def describe_pages(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", texts.describe(F.lit("page.html"), F.col("html")).alias("description"))
+
+
+@query("SELECT doc_id, list_filter(string_split(substr(text, 1, 5000), chr(10)), lambda s: trim(s) <> '')[1] AS description FROM documents")
+def describe_readmes(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", texts.describe(F.lit("docs/README"), F.col("text")).alias("description"))
+
+
+_FOUND = "(strpos(text, regexp_extract(text, '(?i)the[a-z]*ou', 0)) - 1)::BIGINT AS b0, (strpos(text, regexp_extract(text, '(?i)the[a-z]*ou', 0)) - 1 + length(regexp_extract(text, '(?i)the[a-z]*ou', 0)))::BIGINT AS b1"
+
+
+@query(f"WITH lines AS ({_LINES}) SELECT path, lno, {_FOUND} FROM lines WHERE strlen(text) <= 4096 AND regexp_matches(text, '(?i)the[a-z]*ou')")
+def search_text(spark, sf_dir):
+    return lookup.search_text(source_texts.lines(_t(spark, sf_dir, "documents")), "the[a-z]*ou").select("path", *_long("lno", "b0", "b1"))
+
+
+@query(f"WITH lines AS ({_LINES}) SELECT path, lno, {_FOUND} FROM lines WHERE strlen(text) <= 4096 AND regexp_matches(text, '(?i)the[a-z]*ou') AND regexp_matches(path, '^en/src[0-9]/')")
+def search_text_path(spark, sf_dir):
+    return lookup.search_text(source_texts.lines(_t(spark, sf_dir, "documents")), "the[a-z]*ou", "^en/src[0-9]/").select("path", *_long("lno", "b0", "b1"))
+
+
+# ---------------------------------------------------------------- records
+
+
+def _records(spark, sf_dir):
+    return targets(spark, sf_dir).withColumn("record_type", F.lit("target")).withColumn("syntax", F.lit("")).withColumn("pretty", F.concat(F.lit("word "), "pretty"))
+
+
+@query(f"WITH {_TOKENS} SELECT path, sym, lno, col FROM targets WHERE kind = 'def'")
+def filter_records_kind(spark, sf_dir):
+    return filters.filter_records(_records(spark, sf_dir), ["target"], kind="def").select("path", "sym", *_long("lno", "col"))
+
+
+@query(f"WITH {_TOKENS} SELECT path, sym, kind, lno, col FROM targets WHERE starts_with(sym, 'W_thou')")
+def filter_records_symbol_prefix(spark, sf_dir):
+    return filters.filter_records(_records(spark, sf_dir), symbol_prefix="W_thou").select("path", "sym", "kind", *_long("lno", "col"))
+
+
+@query(f"WITH {_TOKENS} SELECT path, sym, kind, lno, col FROM targets WHERE pretty = 'the'")
+def filter_records_identifier(spark, sf_dir):
+    return filters.filter_records(_records(spark, sf_dir), identifier="the").select("path", "sym", "kind", *_long("lno", "col"))
+
+
+_ORD = "row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+_PLATFORM = "CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END"
+
+
+def _platform_rows(spark, sf_dir):
+    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return _t(spark, sf_dir, "lineitem").withColumn("platform", F.col("l_returnflag")).withColumn("platform_ord", F.expr(f"{_PLATFORM}")).withColumn("ord", order)
+
+
+@query(f"SELECT l_partkey, l_suppkey, arg_min(l_returnflag, {_PLATFORM}) AS first_platform FROM lineitem GROUP BY ALL")
+def merge_targets(spark, sf_dir):
+    rows = merge.merge_targets(_platform_rows(spark, sf_dir), ["l_partkey", "l_suppkey"])
+    return rows.select("l_partkey", "l_suppkey", F.get(F.array(F.lit("A"), F.lit("N"), F.lit("R")), F.col("first_ord.platform_ord")).alias("first_platform"))
+
+
+@query(f"""WITH r AS (SELECT *, {_PLATFORM} AS p, {_ORD} AS o, 'S' || l_suppkey AS sym, CASE WHEN l_quantity > 25 THEN 'T' || l_quantity::BIGINT END AS type FROM lineitem),
+ s AS (SELECT l_orderkey, sym, max(p) AS p FROM r GROUP BY ALL), o AS (SELECT r.l_orderkey, r.sym, s.p, min(r.o) AS o FROM r JOIN s ON r.l_orderkey = s.l_orderkey AND r.sym = s.sym AND r.p = s.p GROUP BY ALL),
+ y AS (SELECT l_orderkey, string_agg(sym, ',' ORDER BY p DESC, o) AS sym FROM o GROUP BY l_orderkey),
+ x AS (SELECT DISTINCT l_orderkey, unnest([l_returnflag, l_linestatus]) AS f FROM lineitem), f AS (SELECT l_orderkey, string_agg(f, ',' ORDER BY f) AS syntax FROM x GROUP BY l_orderkey)
+ SELECT r.l_orderkey, bool_and(l_linestatus = 'O') AS no_crossref, any_value(syntax) AS syntax, any_value(y.sym) AS sym, arg_min(type, p * 1000000000000 + o) FILTER (type IS NOT NULL) AS type,
+ min(l_linenumber)::BIGINT AS l1, max(l_linenumber)::BIGINT AS l2 FROM r JOIN y ON y.l_orderkey = r.l_orderkey JOIN f ON f.l_orderkey = r.l_orderkey GROUP BY r.l_orderkey""")
+def merge_sources(spark, sf_dir):
+    rows = _platform_rows(spark, sf_dir).withColumn("no_crossref", (F.col("l_linestatus") == "O").cast("int")).withColumn("syntax", F.concat_ws(",", "l_returnflag", "l_linestatus")).withColumn("sym", F.concat(F.lit("S"), "l_suppkey"))
+    rows = rows.withColumn("type", F.when(F.col("l_quantity") > 25, F.concat(F.lit("T"), F.col("l_quantity").cast("bigint"))))
+    line = F.col("l_linenumber").cast("bigint")
+    rows = rows.withColumn("nesting", F.struct(line.alias("l1"), F.lit(0).cast("bigint").alias("c1"), line.alias("l2"), F.lit(9).cast("bigint").alias("c2")))
+    numbered = lookup.numbered(rows, [F.col("l_orderkey")], [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")], "n").drop("ord").withColumnRenamed("n", "ord")
+    return merge.merge_sources(numbered, ["l_orderkey"]).select("l_orderkey", "no_crossref", "syntax", "sym", "type", F.col("nesting.l1").alias("l1"), F.col("nesting.l2").alias("l2"))
+
+
+_FORMS = f"""WITH r AS (SELECT l_partkey, l_returnflag AS platform, {_PLATFORM} AS p, '{{"l_linestatus":"' || l_linestatus || '","l_linenumber":' || l_linenumber || '}}' AS form, {_ORD} AS o FROM lineitem),
+ one AS (SELECT l_partkey, platform, p, arg_min(form, o) AS form FROM r GROUP BY ALL),
+ forms AS (SELECT l_partkey, form, string_agg(platform, ',' ORDER BY p) AS platforms, max(p) AS top FROM one GROUP BY ALL)"""
+
+
+def _one_per_platform(spark, sf_dir):
+    rows = _platform_rows(spark, sf_dir)
+    return rows.groupBy("l_partkey", "platform", "platform_ord").agg(F.min_by(F.struct("l_linestatus", "l_linenumber"), "ord").alias("m")).select("l_partkey", "platform", "platform_ord", "m.*")
+
+
+@query(f"{_FORMS} SELECT l_partkey, arg_max(form, top) AS form, arg_max(platforms, top) AS platforms, count(*) AS n_forms FROM forms GROUP BY l_partkey")
+def merge_structured(spark, sf_dir):
+    merged = merge.merge_structured(_one_per_platform(spark, sf_dir), "l_partkey", ["l_linestatus", "l_linenumber"])
+    return merged.select("l_partkey", "form", "platforms", F.col("n_forms").cast("bigint").alias("n_forms"))
+
+
+@query(f"{_FORMS} SELECT l_partkey, platform, form FROM one")
+def structured_per_platform(spark, sf_dir):
+    merged = merge.merge_structured(_one_per_platform(spark, sf_dir), "l_partkey", ["l_linestatus", "l_linenumber"])
+    return merge.per_platform(merged, "l_partkey")
+
+
+# ---------------------------------------------------------------- cross-reference
+
+
+@query(f"WITH {_TOKENS} SELECT sym, kind, path, {_KIND} AS path_kind, count(*) AS n, min(lno) AS first_lno FROM targets GROUP BY sym, kind, path")
+def crossref_hits(spark, sf_dir):
+    found = crossref.grouped(crossref.hits(targets(spark, sf_dir), files(spark, sf_dir)))
+    return found.select("sym", "kind", "path", "path_kind", F.size("lines").cast("bigint").alias("n"), F.get("lines", F.lit(0))["lno"].cast("bigint").alias("first_lno"))
+
+
+@query("SELECT 'T_' || c_mktsegment AS sym, arg_max(c_name, c_custkey) AS pretty FROM customer GROUP BY 1")
+def crossref_pretty_last(spark, sf_dir):
+    rows = _t(spark, sf_dir, "customer").select(F.concat(F.lit("T_"), "c_mktsegment").alias("sym"), F.col("c_name").alias("pretty"), F.col("c_custkey").alias("ord"))
+    return crossref.names(rows)
+
+
+@query("SELECT p_brand AS sym, arg_min(p_type, p_partkey) AS p_type, arg_min(p_size, p_partkey)::BIGINT AS p_size FROM part GROUP BY 1")
+def crossref_meta_first(spark, sf_dir):
+    rows = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("sym"), "p_type", F.col("p_size").cast("bigint").alias("p_size"), F.col("p_partkey").alias("ord"))
+    return crossref.first_record(rows, "p_type", "p_size")
+
+
+_PARTS = "SELECT 'P_' || p_partkey AS sym, p_brand || '::' || replace(p_type, ' ', '::') AS pretty FROM part"
+_IDS = f"""parts AS ({_PARTS}), split AS (SELECT sym, string_split(pretty, '::') AS s FROM parts),
+ ids AS (SELECT DISTINCT sym, array_to_string(s[i:], '::') AS id FROM (SELECT sym, s, unnest(range(1, len(s) + 1)) AS i FROM split))"""
+
+
+def _part_names(spark, sf_dir):
+    part = _t(spark, sf_dir, "part")
+    return part.select(F.concat(F.lit("P_"), "p_partkey").alias("sym"), F.concat_ws("::", "p_brand", F.replace("p_type", F.lit(" "), F.lit("::"))).alias("pretty"))
+
+
+def _identifiers(spark, sf_dir):
+    return crossref.identifiers(_part_names(spark, sf_dir), udf=False).withColumn("id_upper", F.upper("id"))
+
+
+@query(f"WITH {_IDS} SELECT id, sym FROM ids")
+def identifier_suffixes(spark, sf_dir):
+    return crossref.identifiers(_part_names(spark, sf_dir), udf=False)
+
+
+def _found_ids(needle: str, extra: str, limit: int) -> str:
+    n = len(needle)
+    return f"""(SELECT '{needle}' AS needle, id, sym, (CASE WHEN id = '{needle}' THEN 0 WHEN upper(id) = '{needle.upper()}' THEN 1 ELSE 2 + length(id) - {n} END)::BIGINT AS rank FROM ids
+ WHERE starts_with(upper(id), '{needle.upper()}') AND NOT regexp_matches(substr(id, {n + 1}), '[:.]') {extra} ORDER BY upper(id), id, sym LIMIT {limit})"""
+
+
+@query(f"WITH {_IDS} {_found_ids('econ', '', 1000)} UNION ALL {_found_ids('SMA', '', 1000)}")
+def identifier_prefix_search(spark, sf_dir):
+    return lookup.search_identifiers(_identifiers(spark, sf_dir), ["econ", "SMA", "x"]).select("needle", "id", "sym", *_long("rank"))
+
+
+@query(f"WITH {_IDS} {_found_ids('ECONOMY', 'AND length(id) = 7', 1000)}")
+def identifier_exact_search(spark, sf_dir):
+    return lookup.search_identifiers(_identifiers(spark, sf_dir), ["ECONOMY"], exact=True).select("needle", "id", "sym", *_long("rank"))
+
+
+@query(f"WITH {_IDS} SELECT id, sym FROM {_found_ids('ECO', 'AND starts_with(id, ' + chr(39) + 'ECO' + chr(39) + ')', 6)}")
+def complete(spark, sf_dir):
+    return lookup.complete(_identifiers(spark, sf_dir), "ECO").select("id", "sym")
+
+
+_CALLS = f"SELECT 'O_' || l_orderkey AS caller, 'P_' || l_partkey AS callee, 'S_' || l_suppkey AS path, l_linenumber::BIGINT AS lno, {_ORD} AS ord FROM lineitem"
+
+
+def _calls(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem")
+    return rows.select(F.lit("use").alias("kind"), F.concat(F.lit("O_"), "l_orderkey").alias("contextsym"), F.concat(F.lit("P_"), "l_partkey").alias("sym"), F.concat(F.lit("S_"), "l_suppkey").alias("path"), F.col("l_linenumber").cast("bigint").alias("lno"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("ord"))
+
+
+@query(f"""WITH c AS ({_CALLS}), f AS (SELECT caller, callee, arg_min(path, ord) AS path FROM c GROUP BY ALL), l AS (SELECT DISTINCT c.caller, c.callee, c.path, lno FROM c JOIN f ON c.caller = f.caller AND c.callee = f.callee AND c.path = f.path),
+ j AS (SELECT caller, callee, path, string_agg(lno::VARCHAR, ',' ORDER BY lno) AS lines FROM l GROUP BY ALL)
+ SELECT j.*, p.p_type AS callee_kind, CASE WHEN p.p_size < 10 THEN p.p_name END AS callee_pretty FROM j JOIN part p ON j.callee = 'P_' || p.p_partkey WHERE p.p_size < 25""")
+def callees(spark, sf_dir):
+    part = _t(spark, sf_dir, "part").withColumn("sym", F.concat(F.lit("P_"), "p_partkey"))
+    meta = part.where("p_size < 25").select("sym", F.col("p_type").alias("kind"))
+    pretty = part.where("p_size < 10").select("sym", F.col("p_name").alias("pretty"))
+    return crossref.callees(_calls(spark, sf_dir), meta, pretty)
+
+
+_HITS = "SELECT 'P_' || l_partkey AS sym, CASE l_returnflag WHEN 'A' THEN 'def' WHEN 'N' THEN 'decl' ELSE 'idl' END AS kind, 'O_' || l_orderkey AS path, l_linenumber AS lno FROM lineitem"
+
+
+def _part_hits(spark, sf_dir):
+    kind = F.expr("CASE l_returnflag WHEN 'A' THEN 'def' WHEN 'N' THEN 'decl' ELSE 'idl' END")
+    return _t(spark, sf_dir, "lineitem").select(F.concat(F.lit("P_"), "l_partkey").alias("sym"), kind.alias("kind"), F.concat(F.lit("O_"), "l_orderkey").alias("path"), F.col("l_linenumber").alias("lno"))
+
+
+@query(f"WITH h AS ({_HITS}) SELECT sym, kind, min(path || '#' || lno) AS jump FROM h GROUP BY sym, kind HAVING count(*) = 1")
+def jumps(spark, sf_dir):
+    return crossref.jumps(_part_hits(spark, sf_dir))
+
+
+@query(f"""WITH h AS ({_HITS}), j AS (SELECT sym, kind, min(path || '#' || lno) AS jump FROM h GROUP BY sym, kind HAVING count(*) = 1)
+ SELECT 'P_' || p_partkey AS sym, CASE WHEN p_size < 10 THEN p_name WHEN p_size < 25 THEN p_type ELSE 'P_' || p_partkey END AS pretty,
+ (SELECT jump FROM j WHERE j.sym = 'P_' || p_partkey AND kind = 'def') AS def, (SELECT jump FROM j WHERE j.sym = 'P_' || p_partkey AND kind = 'decl') AS decl,
+ (SELECT jump FROM j WHERE j.sym = 'P_' || p_partkey AND kind = 'idl') AS idl, NULL::VARCHAR AS glean FROM part""")
+def jumprefs(spark, sf_dir):
+    part = _t(spark, sf_dir, "part").withColumn("sym", F.concat(F.lit("P_"), "p_partkey"))
+    given = part.where("p_size < 25").select("sym", F.col("p_type").alias("pretty"))
+    own = part.where("p_size < 10").select("sym", F.col("p_name").alias("pretty"))
+    return crossref.jumprefs(part, given, own, crossref.jumps(_part_hits(spark, sf_dir)))
+
+
+_SUPERS = "SELECT 'N' || n_nationkey AS sym, 'R' || n_regionkey AS super FROM nation UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey FROM supplier"
+
+
+def _supers(spark, sf_dir):
+    nation = _t(spark, sf_dir, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("sym"), F.concat(F.lit("R"), "n_regionkey").alias("super"))
+    return nation.unionByName(_t(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("sym"), F.concat(F.lit("N"), "s_nationkey").alias("super")))
+
+
+@query(f"WITH s AS ({_SUPERS}) SELECT super AS sym, count(*) AS n, string_agg(sym, ',' ORDER BY sym) AS subs FROM s WHERE super <> 'R3' GROUP BY super")
+def back_edges(spark, sf_dir):
+    supers = _supers(spark, sf_dir)
+    return crossref.back_edges(supers, supers.select(F.col("super").alias("sym")).where("sym <> 'R3'").distinct())
+
+
+@query(f"WITH r AS (SELECT *, {_ORD} AS o FROM lineitem) SELECT l_partkey AS owner, l_suppkey AS slotted, arg_max(l_quantity, o) AS l_quantity, arg_max(l_linestatus, o) AS l_linestatus FROM r GROUP BY ALL")
+def slot_links(spark, sf_dir):
+    rows = _platform_rows(spark, sf_dir).select(F.col("l_partkey").alias("owner"), F.col("l_suppkey").alias("slotted"), "l_quantity", "l_linestatus", "ord")
+    return crossref.link_slots(rows)
+
+
+@query("SELECT p_brand || '/' || p_size AS sym, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS idl_syms FROM part GROUP BY 1 HAVING count(DISTINCT p_type) < 4")
+def idl_symbols(spark, sf_dir):
+    links = _t(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", "p_size").alias("sym"), F.col("p_type").alias("idl"))
+    return crossref.idl_symbols(links).select("sym", F.array_join("idl_syms", ",").alias("idl_syms"))
+
+
+@query("SELECT p_type AS pointee, p_brand AS owner, count(*) AS n, string_agg(p_partkey::VARCHAR || ':' || (CASE WHEN p_size < 25 THEN 'raw' ELSE 'strong' END), ',' ORDER BY p_partkey) AS fields FROM part GROUP BY ALL")
+def field_member_uses(spark, sf_dir):
+    fields = _t(spark, sf_dir, "part").select(F.col("p_type").alias("pointee"), F.col("p_brand").alias("owner"), F.col("p_partkey").alias("field"), F.when(F.col("p_size") < 25, "raw").otherwise("strong").alias("ptr"))
+    rows = crossref.field_member_uses(fields)
+    return rows.select("pointee", "owner", F.size("fields").cast("bigint").alias("n"), F.array_join(F.transform("fields", lambda f: F.concat_ws(":", f["field"], f["ptr"])), ",").alias("fields"))
+
+
+@query("SELECT p.page_id AS record_id, d.doc_id AS sym FROM pages p JOIN documents d ON p.page_id % 7 = d.doc_id % 100 GROUP BY ALL")
+def alias_replace(spark, sf_dir):
+    records = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("record_id"), (F.col("page_id") % 7).alias("sym"))
+    aliases = _t(spark, sf_dir, "documents").select((F.col("doc_id") % 100).alias("alias"), F.col("doc_id").alias("target"))
+    return crossref.replace_aliases(records, aliases)
+
+
+@query("""WITH o AS (SELECT o_orderkey AS record_id, unnest([o_custkey, o_custkey + 1, o_custkey + 2]) AS sym, unnest([0, 1, 2]) AS i FROM orders),
+ t AS (SELECT c_custkey AS sym, c_name AS path FROM customer WHERE c_mktsegment = 'BUILDING')
+ SELECT record_id, arg_min(path, i) FILTER (path IS NOT NULL) AS gc_path, count(path) > 0 AS can_gc FROM o LEFT JOIN t USING (sym) GROUP BY record_id""")
+def gc_annotate(spark, sf_dir):
+    records = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), F.array("o_custkey", F.col("o_custkey") + 1, F.col("o_custkey") + 2).alias("syms"))
+    table = _t(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("sym"), F.col("c_name").alias("path"))
+    return crossref.annotate_first(records, table)
+
+
+# ---------------------------------------------------------------- lookups
+
+
+def _asked(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("sym")).distinct(), _t(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("sym"), "c_name")
+
+
+@query("SELECT DISTINCT o_custkey AS sym, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0")
+def crossref_lookup(spark, sf_dir):
+    return lookup.crossref_lookup(*_asked(spark, sf_dir))[0]
+
+
+@query("SELECT DISTINCT o_custkey AS sym FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def crossref_lookup_unknown(spark, sf_dir):
+    return lookup.crossref_lookup(*_asked(spark, sf_dir))[1]
+
+
+@query("SELECT o.sym, c_name FROM (SELECT DISTINCT o_custkey AS sym FROM orders) o LEFT JOIN customer ON o.sym = c_custkey AND c_acctbal > 0")
+def jumpref_lookup(spark, sf_dir):
+    return lookup.jumpref_lookup(*_asked(spark, sf_dir))
+
+
+@query("SELECT 'N' || n_nationkey AS sym FROM nation WHERE n_regionkey < 4 UNION SELECT 'X'")
+def expand_methods(spark, sf_dir):
+    asked = spark.createDataFrame([("R0",), ("R1",), ("R2",), ("R3",), ("X",)], "sym string")
+    methods = _supers(spark, sf_dir).where("super like 'R%'").select(F.col("super").alias("sym"), F.col("sym").alias("method"))
+    return lookup.expand_methods(asked, methods)
+
+
+@query("SELECT r_name AS sym, 1::BIGINT AS flags FROM region UNION ALL SELECT n_name, 2 FROM nation UNION ALL SELECT n_name, 0 FROM nation")
+def fuse_flags(spark, sf_dir):
+    region, nation = _t(spark, sf_dir, "region").select(F.col("r_name").alias("sym")), _t(spark, sf_dir, "nation").select(F.col("n_name").alias("sym"))
+    return lookup.fuse({"source": region, "target": nation, "default": nation}).select("sym", *_long("flags"))
+
+
+@query(f"""WITH lines AS ({_LINES}), r AS (SELECT {_PATH} AS path, 1 + doc_id % 5 AS first, 1 + doc_id % 5 + doc_id % 7 AS last FROM documents UNION ALL SELECT {_PATH}, 2, 90 FROM documents)
+ SELECT l.path, l.lno, count(r.path) AS depth FROM lines l LEFT JOIN r ON r.path = l.path AND r.last > r.first AND l.lno BETWEEN r.first AND r.last GROUP BY l.path, l.lno""")
+def nesting_depth(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    path, first = source_texts.document_path().alias("path"), 1 + F.col("doc_id") % 5
+    ranges = docs.select(path, first.alias("first"), (first + F.col("doc_id") % 7).alias("last")).unionByName(docs.select(path, F.lit(2).alias("first"), F.lit(90).alias("last")))
+    return lookup.nesting_depth(source_texts.lines(docs), ranges).select("path", *_long("lno", "depth"))
+
+
+# ---------------------------------------------------------------- graphs
+
+
+_EDGES = """edges AS (SELECT 'C' || o_custkey AS src, 'O' || o_orderkey AS dst FROM orders UNION SELECT 'O' || l_orderkey, 'P' || l_partkey FROM lineitem UNION SELECT 'P' || l_partkey, 'S' || l_suppkey FROM lineitem WHERE l_quantity > 45)"""
+
+
+def _call_edges(spark, sf_dir):
+    orders, items = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem")
+
+    def edge(df, a, x, b, y):
+        return df.select(F.concat(F.lit(a), x).alias("src"), F.concat(F.lit(b), y).alias("dst"), F.lit("default").alias("kind"))
+
+    return edge(orders, "C", "o_custkey", "O", "o_orderkey").unionByName(edge(items, "O", "l_orderkey", "P", "l_partkey")).unionByName(edge(items.where("l_quantity > 45"), "P", "l_partkey", "S", "l_suppkey"))
+
+
+def _walk(seeds: str, depth: int, edges: str = "edges", a: str = "src", b: str = "dst") -> str:
+    return f"walk(sym, depth) AS (SELECT unnest([{seeds}]), 0 UNION SELECT {b}, depth + 1 FROM walk JOIN {edges} ON {a} = sym WHERE depth < {depth})"
+
+
+@query(f"WITH RECURSIVE {_EDGES}, {_walk(chr(39) + 'C1' + chr(39) + ', ' + chr(39) + 'C7' + chr(39), 3)} SELECT sym, min(depth)::BIGINT AS depth FROM walk GROUP BY sym")
+def traverse_callees(spark, sf_dir):
+    nodes, _ = graph.traverse(spark.createDataFrame([("C1",), ("C7",)], "sym string"), _call_edges(spark, sf_dir), 3)
+    return nodes.select("sym", *_long("depth"))
+
+
+@query(f"WITH RECURSIVE {_EDGES}, {_walk(chr(39) + 'S1' + chr(39), 2, a='dst', b='src')}, d AS (SELECT sym, min(depth) AS depth FROM walk GROUP BY sym) SELECT e.dst AS src, e.src AS dst, d.depth::BIGINT AS depth FROM edges e JOIN d ON e.dst = d.sym WHERE d.depth < 2")
+def traverse_uses(spark, sf_dir):
+    uses = _call_edges(spark, sf_dir).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind")
+    _, edges = graph.traverse(spark.createDataFrame([("S1",)], "sym string"), uses, 2)
+    return edges.select("src", "dst", *_long("depth"))
+
+
+@query(f"WITH RECURSIVE s AS ({_SUPERS}), {_walk(chr(39) + 'R2' + chr(39), 8, 's', 'super', 'sym')} SELECT sym, min(depth)::BIGINT AS depth FROM walk GROUP BY sym".replace("SELECT sym, depth + 1", "SELECT s.sym, depth + 1").replace("ON super = sym", "ON super = walk.sym"))
+def traverse_inheritance(spark, sf_dir):
+    edges = _supers(spark, sf_dir).select(F.col("super").alias("src"), F.col("sym").alias("dst"), F.lit("inheritance").alias("kind"))
+    return graph.traverse(spark.createDataFrame([("R2",)], "sym string"), edges)[0].select("sym", *_long("depth"))
+
+
+@query("SELECT 'P' || l_partkey AS sym, 'UsesPaths' AS kind, count(DISTINCT l_orderkey) AS exist, 0::BIGINT AS included, 16::BIGINT AS local_limit FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_orderkey) >= 16")
+def overloads_fanout(spark, sf_dir):
+    hits = _t(spark, sf_dir, "lineitem").select(F.concat(F.lit("P"), "l_partkey").alias("sym"), F.col("l_orderkey").alias("path"), F.concat(F.lit("O"), "l_orderkey").alias("contextsym"))
+    return graph.uses_edges(hits)[1].select("sym", "kind", *_long("exist", "included", "local_limit"))
+
+
+@query("""SELECT 'P' || l_partkey AS src, 'S' || l_suppkey AS dst, arg_min(l_returnflag, l_shipdate::VARCHAR || '/' || l_orderkey || '/' || l_linenumber || l_returnflag) AS kind, count(*) AS n_edges FROM lineitem GROUP BY ALL""")
+def merge_edges(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem")
+    order = F.concat(F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"), F.lit("/"), "l_orderkey", F.lit("/"), "l_linenumber", "l_returnflag")
+    return graph.merge_edges(rows.select(F.concat(F.lit("P"), "l_partkey").alias("src"), F.concat(F.lit("S"), "l_suppkey").alias("dst"), F.col("l_returnflag").alias("kind"), order.alias("ord")))
+
+
+@query(f"WITH RECURSIVE s AS ({_SUPERS}), walk(sym, distance) AS (SELECT 'R1', 0 UNION ALL SELECT s.sym, distance + 1 FROM walk JOIN s ON super = walk.sym) SELECT sym, CASE distance WHEN 0 THEN 'Queried' ELSE 'SubclassOf' END AS relation, 'R1' AS root, distance::BIGINT AS distance FROM walk")
+def expand_relations(spark, sf_dir):
+    supers = _supers(spark, sf_dir)
+    up = supers.where("super <> 'R1'").select("sym", F.lit("supers").alias("relation"), F.col("super").alias("other"))
+    down = supers.select(F.col("super").alias("sym"), F.lit("subclasses").alias("relation"), F.col("sym").alias("other"))
+    rows, _ = graph.expand_relations(spark.createDataFrame([("R1",)], "sym string"), up.unionByName(down))
+    return rows.select("sym", "relation", "root", *_long("distance"))
+
+
+_WAYS = f"""s AS ({_SUPERS}), e AS (SELECT sym AS a, super AS b FROM s WHERE sym LIKE 'N%' OR sym IN ('S1', 'S2', 'S3', 'S4') UNION SELECT super, sym FROM s WHERE sym LIKE 'N%' OR sym IN ('S1', 'S2', 'S3', 'S4')),
+ ways(src, path) AS (SELECT unnest(['S1', 'S2']), [unnest(['S1', 'S2'])] UNION ALL SELECT src, list_append(path, b) FROM ways JOIN e ON a = path[-1] WHERE len(path) < 6 AND NOT list_contains(path, b)),
+ found AS (SELECT src, path[-1] AS dst, array_to_string(path, '>') AS path, len(path)::BIGINT AS n_nodes FROM ways WHERE path[-1] IN ('S3', 'S4') AND len(path) > 1)"""
+
+
+def _ways(spark, sf_dir):
+    s = _supers(spark, sf_dir).where("sym like 'N%' or sym in ('S1', 'S2', 'S3', 'S4')")
+    edges = s.select(F.col("sym").alias("src"), F.col("super").alias("dst")).unionByName(s.select(F.col("super").alias("src"), F.col("sym").alias("dst")))
+    ends = [spark.createDataFrame([(x,) for x in pair], "sym string") for pair in (("S1", "S2"), ("S3", "S4"))]
+    return graph.paths_between(*ends, edges, 6)
+
+
+@query(f"WITH RECURSIVE {_WAYS} SELECT src, dst, path, n_nodes FROM found")
+def paths_between(spark, sf_dir):
+    return _ways(spark, sf_dir).select("src", "dst", "path", *_long("n_nodes"))
+
+
+@query(f"WITH RECURSIVE {_WAYS}, p AS (SELECT string_split(path, '>') AS p FROM found) SELECT DISTINCT p[i] AS src, p[i + 1] AS dst FROM (SELECT p, unnest(range(1, len(p))) AS i FROM p)")
+def path_edges(spark, sf_dir):
+    return graph.path_edges(_ways(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE s AS ({_SUPERS}), w(root, sym, distance) AS (SELECT DISTINCT super, super, 0 FROM s UNION ALL SELECT root, s.sym, distance + 1 FROM w JOIN s ON super = w.sym) SELECT root, sym, distance::BIGINT AS distance FROM w")
+def transitive_closure(spark, sf_dir):
+    s = _supers(spark, sf_dir)
+    return graph.closure(s.select(F.col("super").alias("sym")), s.select(F.col("super").alias("src"), F.col("sym").alias("dst"))).select("root", "sym", *_long("distance"))
+
+
+# ---------------------------------------------------------------- results
+
+
+_SEM = f"""{_TOKENS}, sem AS (SELECT {_KIND} AS path_kind, CASE kind WHEN 'def' THEN 'Definitions' ELSE 'Uses' END AS kind, length(pretty) AS rank, pretty, path, lno AS l0, lno AS l1, lno FROM targets WHERE starts_with(pretty, 'thou')),
+ txt AS (SELECT DISTINCT {_KIND} AS path_kind, path, lno FROM lines WHERE strlen(text) <= 4096 AND regexp_matches(text, '(?i)ofthe'))"""
+
+
+def _semantic(spark, sf_dir):
+    hits = crossref.hits(targets(spark, sf_dir), files(spark, sf_dir)).where(F.col("pretty").startswith("thou"))
+    hits = hits.withColumn("rank", F.char_length("pretty")).withColumn("peek_first", F.lit(None).cast("int")).withColumn("peek_last", F.lit(None).cast("int"))
+    return results.semantic_results(hits)
+
+
+@query(f"""WITH {_SEM}, rows AS (SELECT DISTINCT path_kind, kind, rank, pretty, path, l0, l1 FROM sem UNION ALL
+ SELECT path_kind, 'TextualOccurrences', 0, '', path, lno, lno FROM txt WHERE (path, lno) NOT IN (SELECT (path, lno) FROM sem))
+ SELECT path_kind, kind, rank::BIGINT AS rank, pretty, path, l0, l1, (CASE kind WHEN 'Definitions' THEN 2 WHEN 'Uses' THEN 5 ELSE 6 END)::BIGINT AS kind_ord,
+ row_number() OVER (PARTITION BY path_kind, kind, rank, pretty, path ORDER BY l0, l1) AS line_ord FROM rows""")
+def compile_results(spark, sf_dir):
+    text = lookup.search_text(source_texts.lines(_t(spark, sf_dir, "documents")), "ofthe").join(files(spark, sf_dir).select("path", "path_kind"), "path", "left")
+    rows = results.compile_results(_semantic(spark, sf_dir), text)
+    return rows.select("path_kind", "kind", "pretty", "path", *_long("rank", "l0", "l1", "kind_ord", "line_ord"))
+
+
+@query(f"""WITH {_SEM}, o AS (SELECT path_kind, kind, pretty, path, lno, list_position(['normal', 'third_party', 'test', 'generated'], path_kind) AS po, CASE kind WHEN 'Definitions' THEN 2 ELSE 5 END AS ko FROM sem),
+ once AS (SELECT *, row_number() OVER (PARTITION BY path, lno ORDER BY po, ko, pretty) AS r FROM o)
+ SELECT path_kind, kind, pretty, path, lno FROM once WHERE r = 1 ORDER BY po, ko, pretty, path, lno LIMIT 4000""")
+def compile_results_legacy(spark, sf_dir):
+    rows = _semantic(spark, sf_dir).withColumn("path_kind", F.when(F.col("path_kind") == "third_party", "thirdparty").otherwise(F.col("path_kind")))
+    out = results.legacy_compile(rows)
+    return out.select(F.when(F.col("path_kind") == "thirdparty", "third_party").otherwise(F.col("path_kind")).alias("path_kind"), "kind", "pretty", "path", *_long("lno"))
+
+
+@query(f"""WITH {_SEM}, s AS (SELECT DISTINCT path, l0, l1 FROM sem), c AS (SELECT path, l0, greatest(1, l0 - 2, coalesce(lag(l1) OVER w + 1, 1)) AS a, least(l1 + 2, coalesce(lead(l0) OVER w - 1, l1 + 2)) AS b FROM s WINDOW w AS (PARTITION BY path ORDER BY l0, l1))
+ SELECT c.path, c.l0, l.lno, l.text FROM c JOIN lines l ON l.path = c.path AND l.lno BETWEEN a AND b""")
+def context_lines(spark, sf_dir):
+    lines = source_texts.lines(_t(spark, sf_dir, "documents"))
+    return results.with_context(_semantic(spark, sf_dir), lines, 2, 2).select("path", "text", *_long("l0", "lno"))
+
+
+@query(f"WITH RECURSIVE s AS ({_SUPERS}), walk(sym, distance) AS (SELECT 'R1', 0 UNION ALL SELECT s.sym, distance + 1 FROM walk JOIN s ON super = walk.sym) SELECT CASE distance WHEN 0 THEN 'Self' ELSE 'SubclassOf' END AS facet, count(*) AS n FROM walk GROUP BY 1")
+def facet_relation(spark, sf_dir):
+    return results.relation_facet(expand_relations(spark, sf_dir))
+
+
+@query(f"SELECT dir, count(*) AS n FROM (SELECT unnest([lang, lang || '/' || source]) AS dir FROM documents) GROUP BY dir")
+def facet_path_counts(spark, sf_dir):
+    return results.path_counts(files(spark, sf_dir))
+
+
+@query("""WITH l AS (SELECT o_custkey AS k, o_orderpriority AS p FROM orders WHERE o_orderkey % 3 = 0), r AS (SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderkey % 2 = 0)
+ SELECT k, p, 'left' AS side FROM (FROM l EXCEPT ALL FROM r) UNION ALL SELECT o_custkey, o_orderpriority, 'right' FROM (FROM r EXCEPT ALL FROM l)""")
+def result_difference(spark, sf_dir):
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("p"))
+    return results.difference(rows.where("o_orderkey % 3 = 0").drop("o_orderkey"), rows.where("o_orderkey % 2 = 0").drop("o_orderkey"))
+
+
+@query(f"""WITH few AS (SELECT super FROM ({_SUPERS}) GROUP BY super HAVING count(*) < 100), h AS (SELECT 'S' || l_suppkey AS sym, l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 40)
+ SELECT s.super AS sym, 'subclasses' AS relation, s.sym AS other, h.l_orderkey AS path, h.l_linenumber::BIGINT AS lno FROM ({_SUPERS}) s JOIN few ON s.super = few.super JOIN h ON h.sym = s.sym""")
+def related_definitions(spark, sf_dir):
+    related = _supers(spark, sf_dir).select(F.col("super").alias("sym"), F.lit("subclasses").alias("relation"), F.col("sym").alias("other"))
+    hits = _t(spark, sf_dir, "lineitem").where("l_returnflag = 'A' and l_quantity > 40").select(F.concat(F.lit("S"), "l_suppkey").alias("sym"), F.lit("def").alias("kind"), F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("lno"))
+    return results.related_definitions(related, hits).select("sym", "relation", "other", "path", *_long("lno"))
+
+
+@query("SELECT o_orderkey, (c >> 31) = 1 AS failed, ((c >> 16) & 8191) - 69 AS module, c & 65535 AS code FROM (SELECT o_orderkey, (o_orderkey * 2654435) % 4294967296 AS c FROM orders)")
+def error_code_decompose(spark, sf_dir):
+    code = F.pmod(F.col("o_orderkey") * 2654435, F.lit(4294967296))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", texts.error_code(code).alias("e")).select("o_orderkey", "e.*")
+
+
+# ---------------------------------------------------------------- coverage, layout, history
+
+
+def _coverage(spark, sf_dir):
+    hits = F.when(F.col("l_returnflag") != "N", F.floor(F.col("l_quantity") / 20)).cast("bigint")
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", hits.alias("hits"))
+
+
+_HITS_OF = "CASE WHEN l_returnflag <> 'N' THEN floor(l_quantity / 20)::BIGINT END"
+
+
+@query(f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_HITS_OF} AS hits FROM lineitem),
+ w AS (SELECT *, last_value(hits IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS a,
+ first_value(hits IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM r)
+ SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, l_suppkey, hits, coalesce(hits, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN CASE WHEN a = 0 AND b = 0 THEN 0 ELSE 1 END END)::BIGINT AS filled FROM w""")
+def coverage_interpolate(spark, sf_dir):
+    filled = coverage.interpolate(_coverage(spark, sf_dir), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"])
+    return filled.withColumn("l_linenumber", F.col("l_linenumber").cast("bigint"))
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber::BIGINT AS l_linenumber, floor(log10(1 + l_quantity))::BIGINT AS magnitude FROM lineitem")
+def coverage_quantise(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", *_long("l_linenumber"), coverage.quantise(F.col("l_quantity")).cast("bigint").alias("magnitude"))
+
+
+@query(f"SELECT dir, sum(c)::BIGINT AS covered, sum(m)::BIGINT AS missed FROM (SELECT unnest(['', lang, lang || '/' || source]) AS dir, doc_id % 9 AS c, doc_id % 4 AS m FROM documents) GROUP BY dir")
+def coverage_rollup(spark, sf_dir):
+    return coverage.roll_up(files(spark, sf_dir).select("path", (F.col("doc_id") % 9).alias("covered"), (F.col("doc_id") % 4).alias("missed")))
+
+
+def _fields(spark, sf_dir):
+    offset = (F.row_number().over(lookup.Window.partitionBy("p_brand").orderBy("p_partkey")) - 1) * 40
+    return _t(spark, sf_dir, "part").select(F.col("p_brand").alias("cls"), F.col("p_name").alias("field"), offset.cast("bigint").alias("offset"), F.col("p_size").cast("bigint").alias("size"), F.lit(None).cast("int").alias("bit_begin"), F.lit(None).cast("int").alias("bit_width"))
+
+
+_FIELDS = 'SELECT p_brand AS cls, p_name AS field, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) * 40 AS o, p_size::BIGINT AS size FROM part'
+
+
+@query(f"SELECT cls, field, o AS \"offset\", greatest(o - coalesce(lag(o + size) OVER (PARTITION BY cls ORDER BY o), 0), 0)::BIGINT AS hole, o + size AS \"end\" FROM ({_FIELDS})")
+def field_layout_holes(spark, sf_dir):
+    return layout.holes(_fields(spark, sf_dir))
+
+
+@query(f"SELECT cls, greatest(count(*) * 40 - max(o + size), 0)::BIGINT AS padding FROM ({_FIELDS}) GROUP BY cls")
+def layout_end_padding(spark, sf_dir):
+    fields = _fields(spark, sf_dir)
+    return layout.end_padding(fields, fields.groupBy("cls").agg((F.count("*") * 40).alias("size_bytes")))
+
+
+_PLATFORM_FIELDS = "SELECT DISTINCT l_partkey AS cls, l_returnflag AS platform, l_linenumber AS field FROM lineitem WHERE l_linenumber < 3"
+
+
+def _platform_fields(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").where("l_linenumber < 3").select(F.col("l_partkey").alias("cls"), F.col("l_returnflag").alias("platform"), F.col("l_linenumber").alias("field")).distinct()
+    return rows.withColumn("offset", F.col("field") * 8).withColumn("size", F.lit(4))
+
+
+@query(f"WITH f AS (SELECT cls, platform, string_agg(field::VARCHAR, ',' ORDER BY field) AS form, count(*) AS n_fields FROM ({_PLATFORM_FIELDS}) GROUP BY ALL) SELECT cls, string_agg(platform, ',' ORDER BY platform) AS platforms, max(n_fields) AS n_fields FROM f GROUP BY cls, form")
+def platform_groups(spark, sf_dir):
+    return layout.platform_groups(_platform_fields(spark, sf_dir))
+
+
+@query(f"SELECT cls, field::BIGINT AS field, floor(avg(field))::BIGINT AS line, floor(avg(field * 64))::BIGINT AS bit_offset, bit_or(CASE platform WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 4 END)::BIGINT AS platforms FROM ({_PLATFORM_FIELDS}) GROUP BY ALL")
+def layout_merged_rows(spark, sf_dir):
+    rows = _platform_fields(spark, sf_dir).withColumn("line", F.col("field")).withColumn("bit_offset", F.col("field") * 64).withColumn("platform_ord", F.expr("CASE platform WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END"))
+    return layout.merged_rows(rows).withColumn("field", F.col("field").cast("bigint"))
+
+
+@query()
+def blame_lines(spark, sf_dir):
+    """Turns of a conversation as revisions of a file."""
+    return history.blame(_t(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("rev"), "text"))
+
+
+@query("SELECT doc_id, source, 'old' AS state FROM documents WHERE source NOT IN ('src1', 'src2') UNION ALL SELECT doc_id + 1000000, source, 'new' FROM documents WHERE source IN ('src1', 'src2')")
+def symdex_replace(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "source")
+    fresh = docs.select((F.col("doc_id") + 1000000).alias("doc_id"), "source", F.lit("new").alias("state"))
+    changed = docs.where("source in ('src1', 'src2')")
+    return history.replace_changed(docs.withColumn("state", F.lit("old")), fresh, changed, "source")
+
+
+@query("SELECT doc_id % 50 AS path, md5(text) AS oid FROM documents WHERE doc_id >= 100 AND (doc_id % 50, md5(text)) NOT IN (SELECT (doc_id % 50, md5(text)) FROM documents WHERE doc_id < 100)")
+def changed_files(spark, sf_dir):
+    rows = _t(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 50).alias("path"), F.md5(F.encode("text", "UTF-8")).alias("oid"))
+    return history.unchanged_files(rows.where("doc_id >= 100").drop("doc_id"), rows.where("doc_id < 100").drop("doc_id"))[1]
+
+
+@query("SELECT isoyear(o_orderdate)::BIGINT AS iso_year, week(o_orderdate)::BIGINT AS iso_week, count(*) AS n FROM orders GROUP BY ALL")
+def weekly_commits(spark, sf_dir):
+    return history.weekly(_t(spark, sf_dir, "orders"), "o_orderdate").select(*_long("iso_year", "iso_week"), "n")
+
+
+# ---------------------------------------------------------------- logs and scalars
+
+
+_POWERS = ", ".join(f"count(*) FILTER (n >= {k}) AS clients_{k}, coalesce(sum(n) FILTER (n >= {k}), 0)::BIGINT AS requests_{k}" for k in loganalytics.POWERS)
+
+
+@query(f"SELECT event_type, sum(n)::BIGINT AS requests, count(*) AS clients, {_POWERS} FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type")
+def weblog_ip_histogram(spark, sf_dir):
+    return loganalytics.ip_histogram(_t(spark, sf_dir, "events"), ["event_type"], "user_id")
+
+
+@query("SELECT event_type, count(*) AS n, " + ", ".join(f"round(quantile_cont(value, {p}), 6) AS p{round(p * 100)}" for p in loganalytics.PERCENTILES) + " FROM events GROUP BY event_type")
+def weblog_percentiles(spark, sf_dir):
+    rows = loganalytics.latencies(_t(spark, sf_dir, "events"), ["event_type"], "value")
+    return rows.select("event_type", "n", *[F.round(c, 6).alias(c) for c in rows.columns[2:]])
+
+
+@query("SELECT event_id, user_id, value FROM events ORDER BY value DESC, event_id LIMIT 10")
+def weblog_slowest(spark, sf_dir):
+    return loganalytics.slowest(_t(spark, sf_dir, "events"), "value", ["event_id"]).select("event_id", "user_id", "value")
+
+
+@query("SELECT event_id, user_id, round((epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) - epoch_us(ts)) / 1000000.0, 3) AS seconds FROM events")
+def step_durations(spark, sf_dir):
+    return loganalytics.step_durations(_t(spark, sf_dir, "events"), ["user_id"], "ts").select("event_id", "user_id", F.round("seconds", 3).alias("seconds"))
+
+
+@query("""WITH a AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 3600000000 THEN 0 ELSE 1 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+ b AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM a) SELECT user_id, session::BIGINT AS session, epoch_us(min(ts)) AS started, epoch_us(max(ts)) AS ended, count(*) AS n FROM b GROUP BY ALL""")
+def log_sessions(spark, sf_dir):
+    rows = loganalytics.sessions(_t(spark, sf_dir, "events"), "user_id", "ts", 3600)
+    return rows.select("user_id", "session", F.unix_micros(F.col("started").cast("timestamp")).alias("started"), F.unix_micros(F.col("ended").cast("timestamp")).alias("ended"), "n")
+
+
+@query("SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'none') AS k, (len(json_keys(props)))::VARCHAR AS n_keys FROM events")
+def json_eval(spark, sf_dir):
+    props = F.col("props")
+    return _t(spark, sf_dir, "events").select("event_id", jsoneval.evaluate(props, "/k", "none").alias("k"), jsoneval.evaluate(props, aggregation="length").alias("n_keys"))
+
+
+@query("SELECT o_orderkey, 'Fix <a href=\"https://issues.example.org/show?id=' || (o_orderkey + 100000) || '\">bug ' || (o_orderkey + 100000) || '</a> &amp; ship' AS header FROM orders")
+def linkify_refs(spark, sf_dir):
+    message = F.concat(F.lit("Fix bug "), (F.col("o_orderkey") + 100000).cast("string"), F.lit(" & ship"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", texts.link_issues(texts.escape_html(message)).alias("header"))
+
+
+@query("SELECT conv_id, turn, string_split(text, chr(10))[1] AS header, CASE WHEN turn % 2 = 0 THEN 'D' || conv_id END AS review FROM conversations")
+def commit_parts(spark, sf_dir):
+    message = F.concat("text", F.lit("\nbody"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("\nDifferential Revision: D"), "conv_id")).otherwise(F.lit("")))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", texts.commit_parts(message).alias("p")).select("conv_id", "turn", "p.header", "p.review")
+
+
+@query("SELECT p_partkey, string_split(p_brand || '::' || replace(p_type, ' ', '::'), '::')[-1] AS last, len(string_split(p_brand || '::' || replace(p_type, ' ', '::'), '::'))::BIGINT AS n FROM part")
+def name_segments(spark, sf_dir):
+    part = _t(spark, sf_dir, "part")
+    parts = names.segments(F.concat_ws("::", "p_brand", F.replace("p_type", F.lit(" "), F.lit("::"))), F.lit("T_x"), udf=False)
+    return part.select("p_partkey", F.element_at(parts, -1).alias("last"), F.size(parts).cast("bigint").alias("n"))
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_tumbling(spark, sf_dir):
+    rows = windows.tumbling(_t(spark, sf_dir, "events"))
+    return rows.select(F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH a AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 1800000000 THEN 0 ELSE 1 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+ b AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 1800000000 AS end_us, count(*) AS n FROM b GROUP BY user_id, s""")
+def stream_session(spark, sf_dir):
+    rows = windows.session(_t(spark, sf_dir, "events"))
+    return rows.select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), F.unix_micros(F.col("end").cast("timestamp")).alias("end_us"), "n")
+
+
+# ---------------------------------------------------------------- the query language
+
+
+def index(spark: SparkSession, sf_dir: str) -> runner.Index:
+    """The tables as an index: words that begin with "th" are its symbols."""
+    marked = targets(spark, sf_dir)
+    ids = crossref.identifiers(marked.select("pretty", "sym"), udf=False).withColumn("id_upper", F.upper("id"))
+    kinds = files(spark, sf_dir)
+    calls = _call_edges(spark, sf_dir).withColumn("ord", F.lit(0))
+    uses = calls.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind", "ord")
+    hits = crossref.hits(marked, kinds).select("sym", "kind", "path", "path_kind", "lno")
+    return runner.Index(kinds, source_texts.lines(_t(spark, sf_dir, "documents")), ids, hits, crossref.names(marked), None, {"callees": calls, "uses": uses})
+
+
+@query(f"""WITH {_TOKENS}, hits AS (SELECT DISTINCT {_KIND} AS path_kind, CASE kind WHEN 'def' THEN 'Definitions' ELSE 'Uses' END AS kind, pretty, path, lno FROM targets WHERE starts_with(pretty, 'thouer')),
+ txt AS (SELECT DISTINCT {_KIND} AS path_kind, path, lno FROM lines WHERE strlen(text) <= 4096 AND regexp_matches(text, '(?i)thouer'))
+ SELECT path_kind, kind, pretty, path, lno AS l0 FROM hits UNION ALL SELECT path_kind, 'TextualOccurrences', '', path, lno FROM txt WHERE (path, lno) NOT IN (SELECT (path, lno) FROM hits)""")
+def query_default(spark, sf_dir):
+    """The default query of a word, through the compiler."""
+    return runner.run(index(spark, sf_dir), "thouer").select("path_kind", "kind", "pretty", "path", *_long("l0"))
+
+
+@query()
+def plan_default(spark, sf_dir):
+    plan = language.compile_query("thou path:en/** context:2").dump()
+    return spark.createDataFrame([(i, g) for i, p in enumerate(plan["phases"]) for g in [*p["groups"], *p["junctions"]]], "phase int, name string")
+
+
+@query()
+def plan_calls_between(spark, sf_dir):
+    plan = language.compile_query("calls-between:'A::b' calls-between:'C::d' depth:4").dump()
+    return spark.createDataFrame([(i, g) for i, p in enumerate(plan["phases"]) for g in [*p["groups"], *p["junctions"]]], "phase int, name string")
