@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 FILE_PREFIX = "FILE_"
 
@@ -47,7 +48,7 @@ def split_name(pretty: str, sym: str = "") -> tuple[list[str], str]:
     return pieces, "::"
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def name_segments(pretty: pd.Series, sym: pd.Series) -> pd.Series:
     """Segments of names that hold template arguments or single colons; plain names split natively in ``segments``."""
     return pd.Series([split_name(p or "", s or "")[0] for p, s in zip(pretty, sym, strict=True)])
