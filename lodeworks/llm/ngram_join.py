@@ -5,16 +5,18 @@
    of their first few shingles in any such order (prefix filter), so grouping by these loses no pair.
 3. Each group of a shingle is cut into tiles of representatives sorted by set size.  First each member is tried against the
    tile's smallest set only; members of one component need no further trial against each other.
-4. What is left, members of different components within a shingle's tiles, is compared by hashed bitmap signatures whose
+4. What is left, members of different components within a shingle's tile, is compared by hashed bitmap signatures whose
    length follows the set's size band: a set bit that the other lacks witnesses a shingle that the other lacks, so bit counts
    bound the overlap from above.  Size bands that cannot reach the threshold are skipped.
 5. Pairs under the bound are decided exactly, on sorted hash arrays made anew from the texts.
+6. A shingle of several tiles belongs to a large group of near copies: its tiles are paired, and all intersections of a
+   pair of tiles are counted exactly at once, so that only links that join components become rows.
 
 Only the components are needed, so no group is ever expanded into all its pairs, and no link between texts is lost.
 
 Defined results: null text, or text without words, has an empty set and links with nothing; a text with fewer words than a
-shingle is one shingle; repeated rows of a doc_id count as copies if their texts are equal, and their rows stay; an empty
-table gives no rows.
+shingle is one shingle; repeated rows of a doc_id count as copies if their texts are equal, and their rows stay; a row
+without doc_id takes the component of an equal text, else none; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +38,10 @@ TILE = 256
 NOTED = 4
 FREQUENT = 50_000
 MIN_BITS = 64
+#: Tiles of a shingle that one task pairs with all others, about.
+TILES_A_TASK = 16
+#: Shingles that a matrix of intersections takes at a time.
+MATRIX_COLUMNS = 16384
 #: Ids (8 bytes each) that are sent to all tasks rather than joined by a shuffle, at most.
 BROADCAST_IDS = 1_000_000
 
@@ -53,8 +59,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """A power of two of bits, at least twice the set's size: bit ``hash mod length`` is set."""
-    bits = max(MIN_BITS, 1 << int(2 * len(hashes) - 1).bit_length())
+    """A power of two of bits, at least the set's size: bit ``hash mod length`` is set."""
+    bits = max(MIN_BITS, 1 << int(len(hashes) - 1).bit_length()) if len(hashes) else MIN_BITS
     out = np.zeros(bits, bool)
     out[(hashes & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little")
@@ -172,16 +178,21 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
 
 
-def _exact(docs: DataFrame, pairs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) that reach the threshold, decided on sorted hash arrays of the texts concerned."""
-    ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+def _arrays(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """rep, hashes: the sorted hash arrays of the texts of some ids."""
     out = pa.schema([("rep", pa.int64()), ("hashes", pa.binary())])
 
     def arrays(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for _, _, sets in _sets(batch.column(1), width) for s in sets], pa.binary())], schema=out)
 
-    sets = scratch.save(_only(docs, ids, "left_semi").select("doc_id", "text").mapInArrow(arrays, "rep long, hashes binary"), "sets")
+    return _only(docs, ids, "left_semi").select("doc_id", "text").mapInArrow(arrays, "rep long, hashes binary")
+
+
+def _exact(docs: DataFrame, pairs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) that reach the threshold, decided on sorted hash arrays of the texts concerned."""
+    ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    sets = scratch.save(_arrays(docs, ids, width), "sets")
     both = pairs.join(sets.withColumnsRenamed({"rep": "a", "hashes": "x"}), "a").join(sets.withColumnsRenamed({"rep": "b", "hashes": "y"}), "b")
 
     def intersect(batches):
@@ -216,52 +227,114 @@ def _bounded(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _between(tiles: DataFrame, prefixes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a tile's shingle and pass the bitmap bound.
+def _between(tiles: DataFrame, prefixes: DataFrame, labels: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs of different components within a shingle's only tile that pass the bitmap bound.
 
-    A row is a pair of tiles of one shingle (a tile with itself included), so the work of a shingle of many tiles is
-    spread over tasks.  Tiles whose members are all of one component have nothing left to try, nor has a tile of two.
+    A tile of one component, or of two members, has nothing left to try.  Tiles with the same members, from shingles that
+    stand together, are tried once; bitmaps join what is left.
     """
-    numbered = tiles.where("several or size(reps) > 2").withColumn("tile", F.monotonically_increasing_id())
-    members = numbered.select("shingle", "several", "tile", F.explode("reps").alias("rep")).join(labels, "rep")
-    mixed = members.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("shingle")
-    side = members.join(mixed, "shingle", "left_semi").join(prefixes.select("rep", "n", "bits"), "rep")
-    full = side.groupBy("shingle", "several", "tile").agg(F.sort_array(F.collect_list(F.struct("n", "rep", "label", "bits"))).alias("members"), F.min("label").alias("least"), F.max("label").alias("most"))
-    # Tiles with the same members, from shingles that stand together, are tried once.
-    alone = full.where("not several").withColumn("key", F.transform("members", lambda m: m["rep"])).dropDuplicates(["key"]).select(F.col("members").alias("l"), F.col("members").alias("r"), F.lit(True).alias("same"))
-    several = full.where("several")
-    left, right = (several.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("tile", "members", "least", "most")]) for k in "lr")
-    open_pair = "tile_l <= tile_r and (least_l <> least_r or most_l <> most_r or least_l <> most_l)"
-    crossed = left.join(right, "shingle").where(open_pair).select(F.col("members_l").alias("l"), F.col("members_r").alias("r"), (F.col("tile_l") == F.col("tile_r")).alias("same"))
+    told = F.monotonically_increasing_id()
+    lone = scratch.save(tiles.where("not several and size(reps) > 2").select("reps").distinct().withColumn("tile", told), "lone")
+    members = lone.select("tile", F.explode("reps").alias("rep")).join(labels, "rep")
+    mixed = members.groupBy("tile").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("tile")
+    side = members.join(mixed, "tile", "left_semi").join(prefixes.select("rep", "n", "bits"), "rep")
+    full = side.groupBy("tile").agg(F.sort_array(F.collect_list(F.struct("n", "rep", "label", "bits"))).alias("members"))
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def unpack(side):
-        n, rep, label = (np.array([m[k] for m in side], np.int64) for k in ("n", "rep", "label"))
-        return n, rep, label, [np.frombuffer(m["bits"], np.uint8) for m in side]
-
     def run(batches):
         for batch in batches:
             found = []
-            for left, right, same in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n_l, rep_l, label_l, bits_l = unpack(left)
-                n_r, rep_r, label_r, bits_r = (n_l, rep_l, label_l, bits_l) if same else unpack(right)
-                for size in sorted({len(b) for b in bits_r}):  # a band of the right side
-                    rows = np.array([i for i, b in enumerate(bits_r) if len(b) == size])
-                    band = np.stack([bits_r[i] for i in rows])
-                    for i, x in enumerate(bits_l):
-                        ok = (label_r[rows] != label_l[i]) & (100 * np.minimum(n_r[rows], n_l[i]) >= percent * np.maximum(n_r[rows], n_l[i]))
-                        if same:  # the first member has been tried against all others
-                            ok &= (rows > i) & (i > 0)
+            for tile in batch.column(0).to_pylist():
+                n, rep, label = (np.array([m[k] for m in tile], np.int64) for k in ("n", "rep", "label"))
+                bits = [np.frombuffer(m["bits"], np.uint8) for m in tile]
+                bands = {size: np.array([i for i, b in enumerate(bits) if len(b) == size]) for size in {len(b) for b in bits}}
+                stacked = {size: np.stack([bits[i] for i in rows]) for size, rows in bands.items()}
+                for i in range(1, len(tile)):  # the first member has been tried against all others
+                    for size, rows in bands.items():
+                        ok = (rows > i) & (label[rows] != label[i]) & (100 * np.minimum(n[rows], n[i]) >= percent * np.maximum(n[rows], n[i]))
                         if not ok.any():
                             continue
-                        at = rows[ok]
-                        small = min(size, len(x))
-                        y = band[ok] if small == size else np.bitwise_or.reduce(band[ok].reshape(len(at), -1, small), 1)
-                        bound = overlap_bound(fold(x, small), n_l[i], y, n_r[at])
-                        found += [(min(rep_l[i], rep_r[j]), max(rep_l[i], rep_r[j])) for j in at[enough(bound, n_l[i], n_r[at], percent)]]
+                        at, small = rows[ok], min(size, len(bits[i]))
+                        y = stacked[size][ok]
+                        y = y if small == size else np.bitwise_or.reduce(y.reshape(len(at), -1, small), 1)
+                        bound = overlap_bound(fold(bits[i], small), n[i], y, n[at])
+                        found += [(min(rep[i], rep[j]), max(rep[i], rep[j])) for j in at[enough(bound, n[i], n[at], percent)]]
             yield pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in found], pa.int64()) for k in (0, 1)], schema=out)
 
-    return alone.unionByName(crossed).repartition(partitions(tiles.sparkSession)).mapInArrow(run, "a long, b long").distinct()
+    return full.select("members").mapInArrow(run, "a long, b long").distinct()
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sorted distinct arrays: products of 0-1 matrices, some columns at a time."""
+    flat = np.concatenate([*left, *right])
+    values, column = np.unique(flat, return_inverse=True)
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    out = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    for a in range(0, len(values), MATRIX_COLUMNS):
+        lo, hi = np.searchsorted(column, (a, a + MATRIX_COLUMNS))
+        matrix = np.zeros((len(left) + len(right), min(MATRIX_COLUMNS, len(values) - a)), np.float32)
+        matrix[owner[lo:hi], column[lo:hi] - a] = 1
+        out += matrix[: len(left)] @ matrix[len(left) :].T
+    return out.astype(np.int64)
+
+
+def joining(pairs: np.ndarray, labels_l: np.ndarray, labels_r: np.ndarray) -> list[tuple[int, int]]:
+    """Of linked index pairs, those that join components not yet joined by earlier ones."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in pairs.tolist():
+        a, b = find(int(labels_l[i])), find(int(labels_r[j]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((i, j))
+    return out
+
+
+def _across(docs: DataFrame, tiles: DataFrame, labels: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links between different components within shingles that need several tiles, by pairs of tiles.
+
+    Such a shingle belongs to a large group of near copies.  Its pairs would be many, so they are never rows: a task takes
+    two tiles with their exact hash arrays, counts all intersections at once, and gives out only links that join
+    components.  The tiles of a shingle are dealt over more tasks the more there are.
+    """
+    numbered = scratch.save(tiles.where("several").select("shingle", "reps").withColumn("tile", F.monotonically_increasing_id()), "several")
+    members = numbered.select("shingle", "tile", F.explode("reps").alias("rep")).join(labels, "rep")
+    span = members.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count_distinct("tile").alias("tiles")).where("least < most")
+    members = scratch.save(members.join(span.select("shingle", F.ceil(F.col("tiles") / TILES_A_TASK).cast("int").alias("parts")), "shingle"), "members")
+    ids = scratch.save(members.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    sets = scratch.save(_arrays(docs, ids, width), "sets")
+    full = members.join(sets, "rep").groupBy("shingle", "parts", "tile").agg(F.collect_list(F.struct("rep", "label", "hashes")).alias("members"), F.min("label").alias("least"), F.max("label").alias("most"))
+    full = scratch.save(full, "full")
+    left = full.select("shingle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("tile").alias("t"), F.col("members").alias("l"), F.col("least").alias("least_l"), F.col("most").alias("most_l"))
+    right = full.select("shingle", F.pmod(F.xxhash64("tile"), F.col("parts")).cast("int").alias("part"), F.col("tile").alias("u"), F.col("members").alias("r"), F.col("least").alias("least_r"), F.col("most").alias("most_r"))
+    pairs = left.join(right, ["shingle", "part"]).where("t <= u and (least_l <> least_r or most_l <> most_r or least_l <> most_l)")
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def unpack(side):
+        return np.array([m["rep"] for m in side], np.int64), np.array([m["label"] for m in side], np.int64), [np.frombuffer(m["hashes"], np.uint64) for m in side]
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for k in range(batch.num_rows):
+                (rep_l, label_l, sets_l), (rep_r, label_r, sets_r) = (unpack(batch.column(c)[k].as_py()) for c in (0, 1))
+                size_l, size_r = np.array([len(x) for x in sets_l]), np.array([len(x) for x in sets_r])
+                linked = enough(common_counts(sets_l, sets_r), size_l[:, None], size_r[None, :], percent) & (label_l[:, None] != label_r[None, :])
+                found += [(int(min(rep_l[i], rep_r[j])), int(max(rep_l[i], rep_r[j]))) for i, j in joining(np.argwhere(linked), label_l, label_r)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], schema=out)
+
+    links = scratch.save(pairs.select("l", "r").mapInArrow(run, "a long, b long").distinct(), "links")
+    for done in (sets, full, members):
+        scratch.drop(done)
+    return links
 
 
 def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -281,7 +354,7 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     ranks[np.lexsort((values, hits))] = np.arange(len(values))
     frequent = spark.sparkContext.broadcast((values[order], ranks[order]))
     spare = scratch.save(digest.select("doc_id").distinct().join(copies.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"), "spare")
-    chosen = _only(docs, spare, "left_anti")
+    chosen = _only(docs.where("doc_id is not null"), spare, "left_anti")
     prefixes = scratch.save(_prefixes(chosen, frequent, width, percent), "prefixes")
     tiles = scratch.save(_tiles(prefixes), "tiles")
     cut = tiles.groupBy("shingle").agg(F.count("*").alias("tiles"), F.min(F.struct(F.get("sizes", F.lit(0)).alias("n"), F.get("reps", F.lit(0)).alias("rep"))).alias("first"))
@@ -293,7 +366,10 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     links = _exact(docs, scratch.save(_bounded(tried, prefixes, percent), "near"), width, percent, scratch)
     reps = prefixes.select("rep").distinct()
     labels = connect(scratch, reps, links)
-    rest = scratch.save(_between(tiles, prefixes, labels, percent), "rest")
+    if not tiles.where("several").isEmpty():
+        links = links.unionByName(_across(docs, tiles, labels, width, percent, scratch))
+        labels = connect(scratch, reps, links)
+    rest = scratch.save(_between(tiles, prefixes, labels, percent, scratch), "rest")
     if not rest.isEmpty():
         links = links.unionByName(_exact(docs, rest, width, percent, scratch))
         labels = connect(scratch, reps, links)
@@ -306,4 +382,4 @@ def keep_first(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     """The rows of ``docs``, unchanged, but of each component only those of its smallest doc_id."""
     scratch = Scratch(docs.sparkSession, "near-copies")
     gone = components(docs, width, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    return _only(docs, scratch.save(gone, "gone"), "left_anti").select(*docs.columns)
+    return _only(docs, scratch.save(gone, "gone"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
