@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_text, small_batches
+from .common import flat_text, passed_through, small_batches
 from .features import quality_features
 
 LABELLED = 6000
@@ -29,6 +29,8 @@ ROUNDS = 4
 #: Pseudo-labels that a view may hand over in a round, at this confidence or more.
 PER_ROUND = 500
 CONFIDENT = 0.97
+#: Of the text and the metadata view.
+PENALTIES = (1e-4, 1e-2)
 THRESHOLD = 0.5
 META_BINS = 64
 
@@ -93,30 +95,24 @@ def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray) -> Model | N
     views = [((text - mean) / scale).astype(np.float32), meta]
     pool = np.flatnonzero(label < 0)
     given = [{i: label[i] for i in fit}, {i: label[i] for i in fit}]
-    weights = []
-    for _ in range(ROUNDS):
-        weights = []
-        for x, own in zip(views, given, strict=True):
-            rows = np.array(sorted(own))
-            weights.append(fit_logistic(x[rows], np.array([own[i] for i in rows], np.float32)))
-        for k, (x, w) in enumerate(zip(views, weights, strict=True)):
+    y = label[held].astype(np.float64)
+
+    def calibrated(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return fit_logistic(log_odds(x[held], w).astype(np.float64)[:, None], y, penalty=1e-3, steps=500)
+
+    for last in [False] * ROUNDS + [True]:
+        weights = [fit_logistic(x[rows], np.array([own[i] for i in rows], np.float32), penalty=p) for x, own, p in zip(views, given, PENALTIES, strict=True) for rows in [np.array(sorted(own))]]
+        scales = [calibrated(x, w) for x, w in zip(views, weights, strict=True)]
+        # A view that knows little is calibrated to be unsure.
+        believed = [sigmoid(log_odds(log_odds(x[pool], w)[:, None], c)) for x, w, c in zip(views, weights, scales, strict=True)] if len(pool) and not last else []
+        for k, both in enumerate(believed):
             other = given[1 - k]
-            free = np.array([i for i in pool if i not in other], int)
-            if not len(free):
-                continue
-            p = sigmoid(log_odds(x[free], w))
-            sure = np.flatnonzero(np.maximum(p, 1 - p) >= CONFIDENT)
+            at = np.array([j for j, i in enumerate(pool) if i not in other], int)
+            free, p, theirs = pool[at], both[at], believed[1 - k][at]
+            sure = np.flatnonzero((np.maximum(p, 1 - p) >= CONFIDENT) & ((p >= 0.5) == (theirs >= 0.5)))  # none against the taught view
             for i in sure[np.argsort(-np.maximum(p, 1 - p)[sure], kind="stable")][:PER_ROUND]:
                 other[int(free[i])] = int(p[i] >= 0.5)
-    model = Model(weights[0], weights[1], mean, scale, np.array([1.0, 0.0]), np.array([1.0, 0.0]), np.array([1.0, 0.0, 0.0]))
-    y = label[held].astype(np.float64)
-    for k, w in enumerate(weights):
-        z = log_odds(views[k][held], w).astype(np.float64)
-        fitted = fit_logistic(z[:, None], y, penalty=1e-3, steps=500)
-        if k:
-            model.meta_calibration = fitted
-        else:
-            model.text_calibration = fitted
+    model = Model(*weights, mean, scale, *scales, np.array([1.0, 0.0, 0.0]))
     model.combined = fit_logistic(np.stack(model.views(text[held], meta[held]), 1).astype(np.float64), y, penalty=1e-3, steps=500)
     return model
 
@@ -189,4 +185,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
         for batch in batches:
             yield batch.filter(pa.array(_scores(sent.value, batch.select(at))[2] >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return passed_through(docs, run)
