@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_DIR = "/tmp/checkpoints/lodeworks"
 #: Rows in one Arrow batch.  Texts average a few KB, so a batch is a few MB; a very long text only makes its own batch long.
 BATCH_ROWS = 512
+#: Bytes in one Arrow batch, about; a single longer row is its own batch.
+BATCH_BYTES = 8 << 20
 #: Bytes of text that the vectorised passes look at together.
 CHUNK_BYTES = 2 << 20
 
@@ -27,6 +29,7 @@ def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, so that a Python worker holds megabytes whatever the length of the texts."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +58,12 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def passed_through(docs: DataFrame, run) -> DataFrame:
+    """``mapInArrow`` over all columns, whatever their names."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, docs.schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -179,7 +179,7 @@ def redact(docs: DataFrame) -> DataFrame:
     Seeds are found again in the row at hand, so texts are not shuffled; only the rows with added spans are joined.
     """
     scratch = Scratch(docs.sparkSession, "pii-added")
-    added = scratch.save(extract(docs).where(F.size("added") > 0).select(F.col("doc_id").alias("_doc"), "added"), "added")
+    added = scratch.save(extract(docs).where(F.size("added") > 0).select(F.col("doc_id").alias("__pii_doc"), F.col("added").alias("__pii_added")), "added")
     kind = F.array(*[F.lit(f"[{k}]") for k in KINDS])
     text = F.coalesce(F.col("text"), F.lit(""))
 
@@ -193,8 +193,8 @@ def redact(docs: DataFrame) -> DataFrame:
         return let(done, lambda d: F.concat(d["out"], F.substring(z["t"], d["p"] + 1, F.char_length(z["t"]))))
 
     seeds = F.transform(_found(text, SEED, True), lambda m: F.struct(m["s"].alias("s"), m["k"].alias("k"), m["e"].alias("e")))
-    spans = F.array_sort(F.concat(seeds, F.coalesce("added", F.array().cast("array<struct<s:int,k:int,e:int>>"))))
-    joined = docs.join(added, F.col("doc_id") == F.col("_doc"), "left")
-    masked = joined.withColumn("_new", let(F.struct(text.alias("t"), spans.alias("spans")), lambda z: F.when(F.size(z["spans"]) > 0, cut(z)).otherwise(z["t"])))
-    new = {"text": F.when(F.col("text").isNotNull(), F.col("_new")), "n_chars": F.when(F.col("text").isNotNull(), F.char_length("_new")).otherwise(F.col("n_chars"))}
-    return masked.select(*[new[c].cast(t).alias(c) if c in new else F.col(c) for c, t in docs.dtypes])
+    spans = F.array_sort(F.concat(seeds, F.coalesce("__pii_added", F.array().cast("array<struct<s:int,k:int,e:int>>"))))
+    joined = docs.join(added, F.col("doc_id") == F.col("__pii_doc"), "left")
+    masked = joined.withColumn("__pii_text", let(F.struct(text.alias("t"), spans.alias("spans")), lambda z: F.when(F.size(z["spans"]) > 0, cut(z)).otherwise(z["t"])))
+    new = {"text": F.when(F.col("text").isNotNull(), F.col("__pii_text")), "n_chars": F.when(F.col("text").isNotNull(), F.char_length("__pii_text")).otherwise(F.col("n_chars"))}
+    return masked.select(*[new[c].cast(t).alias(c) if c in new else F.col(f"`{c}`") for c, t in docs.dtypes])

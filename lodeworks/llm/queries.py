@@ -38,7 +38,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.predict(docs, langid.train(docs.where(langid.in_training("doc_id"))))
-    return found.select("doc_id", (~langid.in_training("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", (~F.coalesce(langid.in_training("doc_id"), F.lit(True))).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
