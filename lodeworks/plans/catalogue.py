@@ -338,9 +338,9 @@ def back_edges(spark, sf_dir):
     return crossref.back_edges(supers, supers.select(F.col("super").alias("sym")).where("sym <> 'R3'").distinct())
 
 
-@query(f"WITH r AS (SELECT *, {_ORD} AS o FROM lineitem) SELECT l_partkey AS owner, l_suppkey AS slotted, arg_max(l_quantity, o) AS l_quantity, arg_max(l_linestatus, o) AS l_linestatus FROM r GROUP BY ALL")
+@query(f"WITH r AS (SELECT *, {_ORD[:-1]}, l_quantity, l_linestatus) AS o FROM lineitem) SELECT l_partkey AS owner, l_suppkey AS slotted, arg_max(l_quantity, o) AS l_quantity, arg_max(l_linestatus, o) AS l_linestatus FROM r GROUP BY ALL")
 def slot_links(spark, sf_dir):
-    rows = _platform_rows(spark, sf_dir).select(F.col("l_partkey").alias("owner"), F.col("l_suppkey").alias("slotted"), "l_quantity", "l_linestatus", "ord")
+    rows = _platform_rows(spark, sf_dir).select(F.col("l_partkey").alias("owner"), F.col("l_suppkey").alias("slotted"), "l_quantity", "l_linestatus", F.struct("ord", "l_quantity", "l_linestatus").alias("ord"))
     return crossref.link_slots(rows)
 
 
