@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import jsoneval, names, paths, texts
-from ..operators import coverage, crossref, filters, graph, history, layout, loganalytics, lookup, merge, results
+from ..operators import coverage, crossref, filters, graph, history, layout, loganalytics, lookup, merge, producers, render, results
 from ..sources import texts as source_texts
 from ..streaming import windows
 from . import language, runner
@@ -740,6 +740,53 @@ def stream_session(spark, sf_dir):
     return rows.select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), F.unix_micros(F.col("end").cast("timestamp")).alias("end_us"), "n")
 
 
+# ---------------------------------------------------------------- pages and producers
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages")
+def page_text(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", render.strip_tags(F.col("html")).alias("text"))
+
+
+@query("SELECT o_orderkey, 'DATE line N of ' || o_orderpriority AS masked FROM orders")
+def mask_unstable(spark, sf_dir):
+    text = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" line "), F.col("o_custkey").cast("string"), F.lit(" of "), "o_orderpriority")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", render.mask_unstable(text).alias("masked"))
+
+
+@query(f"""WITH {_TOKENS} SELECT l.path, l.lno, l.text, c.hits FROM lines l LEFT JOIN (SELECT path, lno, count(*) AS hits FROM targets GROUP BY ALL) c ON c.path = l.path AND c.lno = l.lno""")
+def file_page(spark, sf_dir):
+    hits = targets(spark, sf_dir).groupBy("path", "lno").agg(F.count("*").alias("hits"))
+    return render.file_page(source_texts.lines(_t(spark, sf_dir, "documents")), coverage=hits).select("path", "text", "hits", *_long("lno"))
+
+
+@query(f"WITH {_TOKENS} SELECT path, lno, text FROM lines WHERE (path, lno) IN (SELECT (path, lno) FROM targets WHERE kind = 'def' AND starts_with(pretty, 'thou'))")
+def excerpts(spark, sf_dir):
+    defs = targets(spark, sf_dir).where("kind = 'def' and startswith(pretty, 'thou')")
+    return render.excerpts(source_texts.lines(_t(spark, sf_dir, "documents")), defs).select("path", "text", *_long("lno"))
+
+
+@query("SELECT name, arg_max(sym, ord) AS sym FROM (SELECT DISTINCT p_brand AS name FROM part WHERE length(p_brand) >= 6), (SELECT p_partkey AS ord, p_type || p_brand || '/' || p_partkey AS sym FROM part) WHERE contains(sym, name) GROUP BY name")
+def symbols_with_part(spark, sf_dir):
+    part = _t(spark, sf_dir, "part")
+    symbols = part.select(F.col("p_partkey").alias("ord"), F.concat("p_type", "p_brand", F.lit("/"), "p_partkey").alias("sym"))
+    return producers.symbols_with_part(part.where("length(p_brand) >= 6").select(F.col("p_brand").alias("name")).distinct(), symbols, 6)
+
+
+@query("SELECT 'S' || a.l_orderkey AS src, 'R' || b.l_orderkey AS dst, 'ipc' AS kind FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey WHERE a.l_quantity > 48 AND a.l_returnflag = 'A' AND b.l_quantity < 3 AND b.l_returnflag = 'R'")
+def message_edges(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem")
+    sends = rows.where("l_quantity > 48 and l_returnflag = 'A'").select(F.col("l_partkey").alias("message"), F.concat(F.lit("S"), "l_orderkey").alias("sym"))
+    receives = rows.where("l_quantity < 3 and l_returnflag = 'R'").select(F.col("l_partkey").alias("message"), F.concat(F.lit("R"), "l_orderkey").alias("sym"))
+    return producers.message_edges(sends, receives)
+
+
+@query("SELECT p_type AS mixin, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS consumers FROM part WHERE p_brand <> 'Brand#2' GROUP BY p_type")
+def mixin_consumers(spark, sf_dir):
+    part = _t(spark, sf_dir, "part").select(F.col("p_type").alias("mixin"), F.col("p_brand").alias("interface"))
+    return producers.mixin_consumers(part, part.where("interface <> 'Brand#2'").select("interface").distinct())
+
+
 # ---------------------------------------------------------------- the query language
 
 

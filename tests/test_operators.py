@@ -194,3 +194,34 @@ def test_range_join(spark):
     ranges = spark.createDataFrame([("p", 1, 100), ("p", 60, 300), ("p", 64, 64)], "path string, first int, last int")
     got = {r.lno: r.depth for r in lookup.nesting_depth(lines, ranges).collect()}
     assert got == {1: 1, 63: 2, 64: 2, 200: 1}
+
+
+def test_producers(spark):
+    from lodeworks.operators import producers
+
+    lines = spark.createDataFrame([("a.css", 1, "@property --x {"), ("a.css", 2, ".p { --x: 1; color: var(--y); }"), ("p.yaml", 1, "- name: some.pref"), ("d/moz.build", 1, 'SOURCES = ["x.c", "/top.c", "none.c"]')], "path string, lno int, text string")
+    assert rows(producers.css_properties(lines.where("path = 'a.css'")).select("lno", "col", "kind", "pretty")) == [(1, 10, "decl", "--x"), (2, 5, "def", "--x"), (2, 24, "use", "--y")]
+    assert rows(producers.preferences(lines).select("sym", "col")) == [("PREF_some_pref", 8)]
+    files = spark.createDataFrame([("d/x.c",), ("x.c",), ("top.c",)], "path string")
+    assert rows(producers.file_uses(lines, files).select("name", "target")) == [("/top.c", "top.c"), ("x.c", "d/x.c")]
+    docs = spark.createDataFrame([("s", "text binding_to(cpp, class, A::b) and binding_to(js, func, c) bound_as(js, func, d)")], "sym string, documentation string")
+    assert rows(producers.doc_bindings(docs)) == [("s", "binding_to", "cpp", "class", "A::b"), ("s", "bound_as", "js", "func", "d")]
+    names_ = spark.createDataFrame([("4Name3fooE",)], "name string")
+    syms = spark.createDataFrame([("_ZN4Name3fooEv", 0), ("_ZN2ns4Name3fooEi", 1), ("_ZN1a", 2)], "sym string, ord int")
+    assert rows(producers.symbols_with_part(names_, syms)) == [("4Name3fooE", "_ZN2ns4Name3fooEi")]
+    y = spark.createDataFrame([("f.yaml", "a:\n  b: 1\n  c:\n    d: 2\ne: 3\n")], "path string, text string")
+    assert rows(producers.yaml_keys(y).select("lno", "key", "last")) == [(1, "a", 4), (2, "a.b", 2), (3, "a.c", 4), (4, "a.c.d", 4), (5, "e", 6)]
+
+
+def test_render(spark):
+    from lodeworks.operators import render
+
+    one = spark.createDataFrame([("<p>a</p><script>x<y</script><!-- n --><b>c</b>",)], "h string")
+    assert one.select(render.strip_tags(F.col("h")).alias("t")).first().t == "a c"
+    assert one.select(render.elements(F.col("h"), "b").alias("t")).first().t == ["c"]
+    masked = spark.createDataFrame([("at 2024-01-02 03:04 line 7",)], "h string").select(render.mask_unstable(F.col("h")).alias("t")).first().t
+    assert masked == "at DATE line N"
+    paths_ = spark.createDataFrame([("d/a.cpp",), ("d/a.h",), ("d/b.h",)], "path string")
+    assert rows(render.counterpart(paths_, {"cpp": ["h", "hpp"], "h": ["cpp"]})) == [("d/a.cpp", "d/a.h"), ("d/a.h", "d/a.cpp")]
+    listed = spark.createDataFrame([(1, "b", 2), (1, "a", 1)], "group int, k string, v int")
+    assert render.dictify(listed, "k", "v").first().json == '{"a":1,"b":2}'
