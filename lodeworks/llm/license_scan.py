@@ -30,7 +30,7 @@ TEMPLATES = [
     ("mit", 0, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 12),
     ("bsd", 0, "redistribution and use in source and binary forms with or without modification are permitted", 8),
     ("isc", 0, "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 9),
-    ("mpl", 11, "this source code form is subject to the terms of the mozilla public license", 3),
+    ("epl", 14, "this program and the accompanying materials are made available under the terms of the eclipse public license", 3),
     ("cc-by-nc", 2, "licensed under cc by nc", 3),
     ("cc-by-sa", 2, "licensed under cc by sa", 3),
     ("cc-by-nd", 2, "licensed under cc by nd", 3),
