@@ -199,7 +199,7 @@ def test_range_join(spark):
 def test_producers(spark):
     from lodeworks.operators import producers
 
-    lines = spark.createDataFrame([("a.css", 1, "@property --x {"), ("a.css", 2, ".p { --x: 1; color: var(--y); }"), ("p.yaml", 1, "- name: some.pref"), ("d/moz.build", 1, 'SOURCES = ["x.c", "/top.c", "none.c"]')], "path string, lno int, text string")
+    lines = spark.createDataFrame([("a.css", 1, "@property --x {"), ("a.css", 2, ".p { --x: 1; color: var(--y); }"), ("p.yaml", 1, "- name: some.pref"), ("d/list.build", 1, 'SOURCES = ["x.c", "/top.c", "none.c"]')], "path string, lno int, text string")
     assert rows(producers.css_properties(lines.where("path = 'a.css'")).select("lno", "col", "kind", "pretty")) == [(1, 10, "decl", "--x"), (2, 5, "def", "--x"), (2, 24, "use", "--y")]
     assert rows(producers.preferences(lines).select("sym", "col")) == [("PREF_some_pref", 8)]
     files = spark.createDataFrame([("d/x.c",), ("x.c",), ("top.c",)], "path string")
