@@ -6,6 +6,8 @@ executor never loses them.  Only a session that sets no such folder (a local tes
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 
 import numpy as np
@@ -64,6 +66,14 @@ def passed_through(docs: DataFrame, run) -> DataFrame:
     return plain.mapInArrow(run, docs.schema)
 
 
+def released(batches):
+    """The batches, and at the end of the task the memory that the worker's allocators keep goes back to the machine."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_text, passed_through, small_batches
+from .common import flat_text, passed_through, released, small_batches
 from .features import NGRAM_BINS, ngram_counts
 
 PER_LANGUAGE = 1200
@@ -98,7 +98,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_AL
     out = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("bins", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             bins, counts = [], []
             for _, _, rows in ngram_counts(*flat_text(batch.column(1))):
                 for row in rows:
@@ -134,7 +134,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             lang, score, rejected = _predicted(sent.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], schema=out)
 
@@ -153,7 +153,7 @@ def keep_known(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             yield batch.filter(pa.array(~_predicted(sent.value, batch.column(at))[2]))
 
     return passed_through(docs, run)

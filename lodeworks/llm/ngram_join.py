@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, flat_text, lower_ascii, partitions, shingle_sets, small_batches
+from .common import Scratch, chunks, flat_text, lower_ascii, partitions, released, shingle_sets, small_batches
 from .components import connect
 
 WIDTH = 5
@@ -86,7 +86,7 @@ def _digest(docs: DataFrame, width: int, percent: int) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("hot", pa.list_(pa.int64())), ("hits", pa.list_(pa.int64()))])
 
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             n, d1, d2, hot, hits = [], [], [], [], []
             for _, _, sets in _sets(batch.column(1), width):
                 distinct = {}
@@ -111,7 +111,7 @@ def _prefixes(docs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
 
     def run(batches):
         values, ranks = frequent.value
-        for batch in batches:
+        for batch in released(batches):
             ids, columns = batch.column(0), ([], [], [])
             for _, _, sets in _sets(batch.column(1), width):
                 for s in sets:
@@ -148,7 +148,7 @@ def _tiles(prefixes: DataFrame) -> DataFrame:
 
     def run(batches):
         held, forced = None, True  # rows of a run still open; whether the next run to end goes out even if it is lone
-        for batch in batches:
+        for batch in released(batches):
             columns = [c.to_numpy() for c in batch.columns]
             columns = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
             if not len(columns[0]):
@@ -183,7 +183,7 @@ def _arrays(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     out = pa.schema([("rep", pa.int64()), ("hashes", pa.binary())])
 
     def arrays(batches):
-        for batch in batches:
+        for batch in released(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for _, _, sets in _sets(batch.column(1), width) for s in sets], pa.binary())], schema=out)
 
     return _only(docs, ids, "left_semi").select("doc_id", "text").mapInArrow(arrays, "rep long, hashes binary")
@@ -196,7 +196,7 @@ def _exact(docs: DataFrame, pairs: DataFrame, width: int, percent: int, scratch:
     both = pairs.join(sets.withColumnsRenamed({"rep": "a", "hashes": "x"}), "a").join(sets.withColumnsRenamed({"rep": "b", "hashes": "y"}), "b")
 
     def intersect(batches):
-        for batch in batches:
+        for batch in released(batches):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = sorted((np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)), key=len)
@@ -216,7 +216,7 @@ def _bounded(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(side.withColumnsRenamed({"rep": "a", "n": "n_a", "bits": "x"}), "a").join(side.withColumnsRenamed({"rep": "b", "n": "n_b", "bits": "y"}), "b")
 
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             keep = []
             for n_a, n_b, x, y in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
                 x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
@@ -242,7 +242,7 @@ def _between(tiles: DataFrame, prefixes: DataFrame, labels: DataFrame, percent:
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             found = []
             for tile in batch.column(0).to_pylist():
                 n, rep, label = (np.array([m[k] for m in tile], np.int64) for k in ("n", "rep", "label"))
@@ -322,7 +322,7 @@ def _across(docs: DataFrame, tiles: DataFrame, labels: DataFrame, width: int, pe
         return np.array([m["rep"] for m in side], np.int64), np.array([m["label"] for m in side], np.int64), [np.frombuffer(m["hashes"], np.uint64) for m in side]
 
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             found = []
             for k in range(batch.num_rows):
                 (rep_l, label_l, sets_l), (rep_r, label_r, sets_r) = (unpack(batch.column(c)[k].as_py()) for c in (0, 1))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, small_batches
+from .common import Scratch, partitions, released, small_batches
 
 CAPACITY = 1024
 END_TOKEN = 2
@@ -68,7 +68,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_token: int
     small_batches(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(encode(text or "", path), end_token).astype("<u4")
@@ -132,7 +132,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_token: int =
         from pyspark import TaskContext
 
         part, length, seen = TaskContext.get().partitionId(), -1, 0
-        for batch in batches:
+        for batch in released(batches):
             lengths = batch.column(3).to_numpy()
             if not len(lengths):
                 continue
@@ -159,7 +159,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_token: int =
     def placed(batches):
         base, steps = sent.value
         keys = steps[:, 0] << 44 | steps[:, 1]
-        for batch in batches:
+        for batch in released(batches):
             lengths, parts, ranks = (batch.column(k).to_numpy() for k in (3, 5, 6))
             if not len(lengths):
                 continue
@@ -183,7 +183,7 @@ def sequences(docs: DataFrame, path: str, capacity: int = CAPACITY, end_token: i
     out = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(encode(text or "", path), end_token).astype(np.int32)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_text, passed_through, small_batches
+from .common import flat_text, passed_through, released, small_batches
 from .features import quality_features
 
 LABELLED = 6000
@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pooled:
     out = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("text_view", pa.binary()), ("meta_view", pa.binary())])
 
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             text, meta = _featurise(batch)
             parts = [pa.array([r.tobytes() for r in view.astype(np.float16)], pa.binary()) for view in (text, meta)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5).cast(pa.int32()), *parts], schema=out)
@@ -165,7 +165,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
     out = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("text_score", pa.float64()), ("meta_score", pa.float64()), ("keep", pa.bool_())])
 
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             a, b, both = _scores(sent.value, batch)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(both), pa.array(a), pa.array(b), pa.array(both >= threshold)], schema=out)
 
@@ -182,7 +182,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     at = [docs.columns.index(c) for c in ("doc_id", "text", "lang", "source", "n_chars")]
 
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             yield batch.filter(pa.array(_scores(sent.value, batch.select(at))[2] >= threshold))
 
     return passed_through(docs, run)
