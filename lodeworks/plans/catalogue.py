@@ -73,9 +73,13 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("path_kind", paths.path_kind(F.col("path"), KINDS))
 
 
-def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that begin with "th" as target records: a word's first place in a document is its definition."""
-    tokens = source_texts.tokens(_t(spark, sf_dir, "documents")).where(F.col("token").startswith("th"))
+def targets(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """Words as target records: a word's first place in a document is its definition.
+
+    ``dealt``: documents are dealt by path before they are split, so that words need no shuffle of their own.  Without it
+    a filter on words reaches them before they are dealt.
+    """
+    tokens = source_texts.tokens(_t(spark, sf_dir, "documents"), dealt)
     sym = F.concat(F.lit("W_"), "token")
     ranked = lookup.numbered(tokens, [F.col("path"), F.col("token")], [F.col("lno"), F.col("col")], "r")
     return ranked.select("path", "doc_id", "lno", "col", sym.alias("sym"), F.col("token").alias("pretty"), F.when(F.col("r") == 1, "def").otherwise("use").alias("kind"), F.struct("doc_id", "lno", "col").alias("ord"))
@@ -150,13 +154,13 @@ def search_text_path(spark, sf_dir):
 # ---------------------------------------------------------------- records
 
 
-def _records(spark, sf_dir):
-    return targets(spark, sf_dir).withColumn("record_type", F.lit("target")).withColumn("syntax", F.lit("")).withColumn("pretty", F.concat(F.lit("word "), "pretty"))
+def _records(spark, sf_dir, dealt=False):
+    return targets(spark, sf_dir, dealt).withColumn("record_type", F.lit("target")).withColumn("syntax", F.lit("")).withColumn("pretty", F.concat(F.lit("word "), "pretty"))
 
 
 @query(f"WITH {_TOKENS} SELECT path, sym, lno, col FROM targets WHERE kind = 'def'")
 def filter_records_kind(spark, sf_dir):
-    return filters.filter_records(_records(spark, sf_dir), ["target"], kind="def").select("path", "sym", *_long("lno", "col"))
+    return filters.filter_records(_records(spark, sf_dir, dealt=True), ["target"], kind="def").select("path", "sym", *_long("lno", "col"))
 
 
 @query(f"WITH {_TOKENS} SELECT path, sym, kind, lno, col FROM targets WHERE starts_with(sym, 'W_thou')")
@@ -226,7 +230,7 @@ def structured_per_platform(spark, sf_dir):
 
 @query(f"WITH {_TOKENS} SELECT sym, kind, path, {_KIND} AS path_kind, count(*) AS n, min(lno) AS first_lno FROM targets GROUP BY sym, kind, path")
 def crossref_hits(spark, sf_dir):
-    found = crossref.grouped(crossref.hits(targets(spark, sf_dir), files(spark, sf_dir)))
+    found = crossref.grouped(crossref.hits(targets(spark, sf_dir, dealt=True), files(spark, sf_dir)))
     return found.select("sym", "kind", "path", "path_kind", F.size("lines").cast("bigint").alias("n"), F.get("lines", F.lit(0))["lno"].cast("bigint").alias("first_lno"))
 
 
@@ -791,8 +795,8 @@ def mixin_consumers(spark, sf_dir):
 
 
 def index(spark: SparkSession, sf_dir: str) -> runner.Index:
-    """The tables as an index: words that begin with "th" are its symbols."""
-    marked = targets(spark, sf_dir)
+    """The tables as an index: words are its symbols."""
+    marked = targets(spark, sf_dir, dealt=True)
     ids = crossref.identifiers(marked.select("pretty", "sym"), udf=False).withColumn("id_upper", F.upper("id"))
     kinds = files(spark, sf_dir)
     calls = _call_edges(spark, sf_dir).withColumn("ord", F.lit(0))

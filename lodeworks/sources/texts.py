@@ -34,11 +34,12 @@ def shown(text: Column) -> tuple[Column, Column]:
     return F.substring(trimmed, 1, SHOWN), moved
 
 
-def tokens(documents: DataFrame) -> DataFrame:
+def tokens(documents: DataFrame, dealt: bool = False) -> DataFrame:
     """path, doc_id, lno, col, token for every word of letters, lower-cased: documents as if they were source code.
 
-    The column is where the token's line has it for the first time.
+    The column is where the token's line has it for the first time.  ``dealt``: rows are dealt by path.
     """
-    split = documents.select("doc_id", document_path().alias("path"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    named = documents.select("doc_id", document_path().alias("path"), "text")
+    split = (named.repartition("path") if dealt else named).select("doc_id", "path", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     words = split.select("doc_id", "path", (F.col("at") + 1).alias("lno"), "line", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit("([A-Za-z]+)"), F.lit(1)))).alias("word"))
     return words.select("doc_id", "path", "lno", F.expr("locate(word, line) - 1").alias("col"), F.lower("word").alias("token"))
