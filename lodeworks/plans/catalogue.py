@@ -487,7 +487,7 @@ _WAYS = f"""s AS ({_SUPERS}), e AS (SELECT sym AS a, super AS b FROM s WHERE sym
 
 
 def _ways(spark, sf_dir):
-    s = _supers(spark, sf_dir).where("sym like 'N%' or sym in ('S1', 'S2', 'S3', 'S4')")
+    s = _supers(spark, sf_dir)
     edges = s.select(F.col("sym").alias("src"), F.col("super").alias("dst")).unionByName(s.select(F.col("super").alias("src"), F.col("sym").alias("dst")))
     ends = [spark.createDataFrame([(x,) for x in pair], "sym string") for pair in (("S1", "S2"), ("S3", "S4"))]
     return graph.paths_between(*ends, edges, 6)
@@ -561,8 +561,9 @@ def facet_path_counts(spark, sf_dir):
 @query("""WITH l AS (SELECT o_custkey AS k, o_orderpriority AS p FROM orders WHERE o_orderkey % 3 = 0), r AS (SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderkey % 2 = 0)
  SELECT k, p, 'left' AS side FROM (FROM l EXCEPT ALL FROM r) UNION ALL SELECT o_custkey, o_orderpriority, 'right' FROM (FROM r EXCEPT ALL FROM l)""")
 def result_difference(spark, sf_dir):
-    rows = _t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("p"))
-    return results.difference(rows.where("o_orderkey % 3 = 0").drop("o_orderkey"), rows.where("o_orderkey % 2 = 0").drop("o_orderkey"))
+    """Finished orders against all others: every order is on one side, one without a status on the right."""
+    rows = _t(spark, sf_dir, "orders").select("o_orderstatus", F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("p"))
+    return results.difference(rows.where("o_orderstatus <=> 'F'").drop("o_orderstatus"), rows.where("not (o_orderstatus <=> 'F')").drop("o_orderstatus"))
 
 
 @query(f"""WITH few AS (SELECT super FROM ({_SUPERS}) GROUP BY super HAVING count(*) < 100), h AS (SELECT 'S' || l_suppkey AS sym, l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 40)
@@ -632,7 +633,7 @@ _PLATFORM_FIELDS = "SELECT DISTINCT l_partkey AS cls, l_returnflag AS platform,
 
 
 def _platform_fields(spark, sf_dir):
-    rows = _t(spark, sf_dir, "lineitem").where("l_linenumber < 3").select(F.col("l_partkey").alias("cls"), F.col("l_returnflag").alias("platform"), F.col("l_linenumber").alias("field")).distinct()
+    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("cls"), F.col("l_returnflag").alias("platform"), F.col("l_linenumber").alias("field")).distinct()
     return rows.withColumn("offset", F.col("field") * 8).withColumn("size", F.lit(4))
 
 
