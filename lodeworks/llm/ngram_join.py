@@ -1,16 +1,16 @@
 """N-gram Jaccard join: every pair of texts whose word-shingle sets overlap by the threshold, as linked components.
 
 1. Equal sets collapse to one representative, so exact copies never meet again.
-2. Shingles get one global order: those that many texts share come last.  Two sets that overlap by the threshold share one
-   of their first few shingles in any such order (prefix filter), so grouping by these loses no pair.
-3. Each group of a shingle is cut into tiles of representatives sorted by set size.  First each member is tried against the
-   tile's smallest set only; members of one component need no further trial against each other.
-4. What is left, members of different components within a shingle's tile, is compared by hashed bitmap signatures whose
-   length follows the set's size band: a set bit that the other lacks witnesses a shingle that the other lacks, so bit counts
-   bound the overlap from above.  Size bands that cannot reach the threshold are skipped.
-5. Pairs under the bound are decided exactly, on sorted hash arrays made anew from the texts.
-6. A shingle of several tiles belongs to a large group of near copies: its tiles are paired, and all intersections of a
-   pair of tiles are counted exactly at once, so that only links that join components become rows.
+2. Sets that share too few shingles with any other are done: most texts end here (``shared_grams``).
+3. Shingles get one global order, the seldom ones first.  Two sets that overlap by the threshold share one of their first
+   few shingles in any such order (prefix filter), so grouping by these loses no pair.
+4. Each group of a shingle is cut into tiles of representatives sorted by set size.  First each member is tried against the
+   smallest set only; members of one component need no further trial against each other.
+5. What is left, members of different components within a shingle's tile or in two tiles of one shingle, is compared by
+   hashed bitmap signatures whose length follows the set's size band: a set bit that the other lacks witnesses a shingle
+   that the other lacks, so bit counts bound the overlap from above.  Size bands that cannot reach the threshold are skipped.
+6. Pairs under the bound are decided exactly, by intersecting sorted hash arrays made anew from the texts.  Pairs of one
+   tile, or of one smallest set, are decided together, so an array travels there once whatever the number of its pairs.
 
 Only the components are needed, so no group is ever expanded into all its pairs, and no link between texts is lost.
 
@@ -26,46 +26,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, flat_text, lower_ascii, partitions, released, shingle_sets, small_batches
+from .common import BATCH_ROWS, Scratch, partitions, released, small_batches
 from .components import connect
+from .shared_grams import bitmap, prefixes, survivors, text_sets
 
 WIDTH = 5
 #: Jaccard threshold in per cent.
 PERCENT = 75
 #: Representatives in a tile, at most.
 TILE = 256
-#: A shingle that at least so many of one chunk's texts share is noted as frequent; the list sent to all tasks is bounded.
-NOTED = 4
-FREQUENT = 50_000
-MIN_BITS = 64
+#: Shingles in a tile, at most, unless one text alone has more; so much is held to intersect a tile's arrays.
+TILE_SHINGLES = 2_000_000
+#: Sets whose pairs are decided together, at most.
+UNIT_SETS = 4096
 #: Tiles of a shingle that one task pairs with all others, about.
 TILES_A_TASK = 16
-#: Shingles that a matrix of intersections takes at a time.
-MATRIX_COLUMNS = 16384
 #: Ids (8 bytes each) that are sent to all tasks rather than joined by a shuffle, at most.
 BROADCAST_IDS = 1_000_000
 
 
-def _sets(column: pa.Array, width: int):
-    data, offsets = flat_text(column)
-    for a, b in chunks(offsets):
-        part = lower_ascii(data[offsets[a] : offsets[b]])
-        yield a, b, shingle_sets(part, offsets[a : b + 1] - offsets[a], width)
-
-
-def prefix_length(n: int, percent: int) -> int:
-    """Shingles of a set of ``n`` of which a set that overlaps enough must share one."""
-    return n - -(-percent * n // 100) + 1
-
-
-def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """A power of two of bits, at least the set's size: bit ``hash mod length`` is set."""
-    bits = max(MIN_BITS, 1 << int(len(hashes) - 1).bit_length()) if len(hashes) else MIN_BITS
-    out = np.zeros(bits, bool)
-    out[(hashes & np.uint64(bits - 1)).astype(np.int64)] = True
-    return np.packbits(out, bitorder="little")
-
-
 def fold(signature: np.ndarray, size: int) -> np.ndarray:
     """A bitmap at a smaller power of two of bytes."""
     return np.bitwise_or.reduce(signature.reshape(-1, size), 0)
@@ -77,100 +56,81 @@ def overlap_bound(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray
     return np.minimum(n_a - only_a, n_b - only_b)
 
 
-def enough(common, n_a, n_b, percent: int):
-    return 100 * common >= percent * (n_a + n_b - common)
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted distinct arrays overlap by the threshold."""
+    x, y = sorted((x, y), key=len)
+    if not len(x):
+        return False
+    at = np.searchsorted(y, x)
+    return bool(enough(int((y[np.minimum(at, len(y) - 1)] == x).sum()), len(x), len(y), percent))
 
 
-def _digest(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n, set digest; on the first row of a chunk also the shingles that several of its prefixes share."""
-    out = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("hot", pa.list_(pa.int64())), ("hits", pa.list_(pa.int64()))])
+def find(root: dict[int, int], x: int) -> int:
+    while root.get(x, x) != x:
+        x = root[x]
+    return x
 
-    def run(batches):
-        for batch in released(batches):
-            n, d1, d2, hot, hits = [], [], [], [], []
-            for _, _, sets in _sets(batch.column(1), width):
-                distinct = {}
-                for s in sets:
-                    n.append(len(s))
-                    weighed = s * (s | np.uint64(1))
-                    d1.append(int((s ^ (s >> np.uint64(29))).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-                    d2.append(int((weighed ^ (weighed >> np.uint64(31))).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-                    distinct[d1[-1], d2[-1]] = s
-                values, counts = np.unique(np.concatenate(list(distinct.values())), return_counts=True) if distinct else (np.zeros(0, np.uint64), np.zeros(0, int))
-                often = counts >= NOTED
-                hot += [values[often].view(np.int64).tolist(), *[[]] * (len(sets) - 1)]
-                hits += [counts[often].tolist(), *[[]] * (len(sets) - 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip((n, d1, d2, hot, hits), list(out)[1:], strict=True))], schema=out)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, hot array<long>, hits array<long>")
-
-
-def _prefixes(docs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
-    """doc_id, n, bitmap, and the set's first shingles in the global order: seldom ones by hash, then frequent ones by rank."""
-    out = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
-    def run(batches):
-        values, ranks = frequent.value
-        for batch in released(batches):
-            ids, columns = batch.column(0), ([], [], [])
-            for _, _, sets in _sets(batch.column(1), width):
-                for s in sets:
-                    at = np.searchsorted(values, s)
-                    common = values[np.minimum(at, len(values) - 1)] == s if len(values) else np.zeros(len(s), bool)
-                    p, seldom = prefix_length(len(s), percent), s[~common]
-                    if len(seldom) < p:
-                        late = s[common]
-                        seldom = np.concatenate((seldom, late[np.argsort(ranks[at[common]], kind="stable")]))
-                    columns[0].append(len(s))
-                    columns[1].append(bitmap(s).tobytes())
-                    columns[2].append(seldom[:p].view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, f.type) for c, f in zip(columns, list(out)[1:], strict=True))], schema=out)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "rep long, n long, bits binary, prefix array<long>")
+def enough(common, n_a, n_b, percent: int):
+    return 100 * common >= percent * (n_a + n_b - common)
+
+
+def tile_starts(sizes: np.ndarray) -> list[int]:
+    """Where tiles begin in a run of sets of these sizes: at most TILE sets and TILE_SHINGLES shingles, one set at least."""
+    total, out = np.concatenate(([0], np.cumsum(sizes))), [0]
+    while (end := min(out[-1] + TILE, max(out[-1] + 1, int(np.searchsorted(total, total[out[-1]] + TILE_SHINGLES, "right")) - 1))) < len(sizes):
+        out.append(end)
+    return out
 
 
 def _tiles(prefixes: DataFrame) -> DataFrame:
-    """shingle, lone, sizes, reps: runs of at most TILE representatives that share a shingle, sorted by set size.
+    """shingle, cut, sizes, reps, low: runs of at most TILE representatives that share a shingle, sorted by set size.
 
-    Rows are range-dealt by (shingle, n, rep), so even a shingle of very many texts is spread over tasks and each task
-    holds one tile at a time.  A run that a task's border may have cut is given out even if it is ``lone`` there.
+    A linked pair's smaller set has some common shingle among its ``low`` first ones, so a shingle's members before its
+    first ``low`` one have nothing to try there and are left out.  Rows are range-dealt by (shingle, n, rep), so even a
+    shingle of very many texts is spread over tasks and each task holds one tile at a time.  ``cut``: the run may go on
+    in another tile.
     """
-    out = pa.schema([("shingle", pa.int64()), ("lone", pa.bool_()), ("sizes", pa.list_(pa.int64())), ("reps", pa.list_(pa.int64()))])
-    rows = prefixes.select(F.explode("prefix").alias("shingle"), "n", "rep")
+    out = pa.schema([("shingle", pa.int64()), ("cut", pa.bool_()), ("sizes", pa.list_(pa.int64())), ("reps", pa.list_(pa.int64())), ("low", pa.list_(pa.bool_()))])
+    rows = prefixes.select("n", "rep", "low", F.posexplode("prefix").alias("at", "shingle")).select("shingle", "n", "rep", (F.col("at") < F.col("low")).alias("low"))
     dealt = rows.repartitionByRange(partitions(prefixes.sparkSession), "shingle", "n", "rep").sortWithinPartitions("shingle", "n", "rep")
 
-    def given(columns, starts, ends):
-        many = ends - starts
-        at = np.repeat(starts - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
-        borders = pa.array(np.concatenate(([0], np.cumsum(many))), pa.int32())
-        lists = [pa.ListArray.from_arrays(borders, pa.array(c[at])) for c in columns[1:]]
-        return pa.RecordBatch.from_arrays([pa.array(columns[0][starts]), pa.array(many == 1), *lists], schema=out)
+    def given(columns, pieces):
+        """Pieces: start, end and ``cut`` of each tile."""
+        found = []
+        for start, end, cut in pieces:
+            if not cut:
+                first = np.flatnonzero(columns[3][start:end])
+                start = start + int(first[0]) if len(first) else end
+                if end - start < 2:
+                    continue
+            found.append((columns[0][start], cut, *(c[start:end] for c in columns[1:])))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], f.type) for i, f in enumerate(out)], schema=out)
 
     def run(batches):
-        held, forced = None, True  # rows of a run still open; whether the next run to end goes out even if it is lone
+        held, cut = None, True  # rows of a run still open; whether the next run to end may have begun elsewhere
         for batch in released(batches):
-            columns = [c.to_numpy() for c in batch.columns]
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             columns = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
             if not len(columns[0]):
                 continue
-            starts = np.flatnonzero(np.concatenate(([True], columns[0][1:] != columns[0][:-1])))
-            whole, ends = starts[:-1], starts[1:]
-            out_now = ends - whole >= 2
-            if len(whole):
-                out_now[0] |= forced
-                forced = False
-            cuts = [(s, min(e, s + TILE)) for a, e in zip(whole[out_now].tolist(), ends[out_now].tolist(), strict=True) for s in range(a, e, TILE)]
-            last = int(starts[-1])
-            while len(columns[0]) - last >= TILE:
-                cuts.append((last, last + TILE))
-                last, forced = last + TILE, True
-            if cuts:
-                yield given(columns, *np.array(cuts).T)
+            starts = np.flatnonzero(np.concatenate(([True], columns[0][1:] != columns[0][:-1]))).tolist()
+            pieces = []
+            for a, b in zip(starts, starts[1:]):
+                cuts = [*tile_starts(columns[1][a:b]), b - a]
+                pieces += [(a + s, a + e, cut or len(cuts) > 2) for s, e in zip(cuts, cuts[1:])]
+                cut = False
+            last = starts[-1]
+            cuts = tile_starts(columns[1][last:])
+            pieces += [(last + s, last + e, True) for s, e in zip(cuts, cuts[1:])]
+            cut, last = cut or len(cuts) > 1, last + cuts[-1]
+            if pieces:
+                yield given(columns, pieces)
             held = [c[last:] for c in columns]
         if held is not None and len(held[0]):
-            yield given(held, np.array([0]), np.array([len(held[0])]))
+            yield given(held, [(0, len(held[0]), True)])
 
-    return dealt.mapInArrow(run, "shingle long, lone boolean, sizes array<long>, reps array<long>")
+    return dealt.mapInArrow(run, "shingle long, cut boolean, sizes array<long>, reps array<long>, low array<boolean>")
 
 
 def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -178,163 +138,156 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
 
 
-def _arrays(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """rep, hashes: the sorted hash arrays of the texts of some ids."""
-    out = pa.schema([("rep", pa.int64()), ("hashes", pa.binary())])
+def _units(pairs: DataFrame, firsts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(unit, a, b): pairs that hang together are decided together, as far as their arrays fit into one task.
+
+    Ids of a larger cluster are dealt into blocks, and a unit has the pairs of two blocks, so that an array travels to as
+    many units as there are blocks at most, whether its cluster is a star, a chain or dense.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    cluster = connect(scratch, ids, pairs)
+    sizes = cluster.join(firsts.select("rep", "n"), "rep").groupBy("label").agg(F.greatest(F.sum("n") / TILE_SHINGLES, F.count("*") / UNIT_SETS).alias("size"))
+    parts = sizes.select("label", F.when(F.col("size") <= 1, 1).otherwise(F.ceil(2 * F.col("size"))).cast("long").alias("parts"))
+
+    def block(c):
+        return F.pmod(F.xxhash64(c), "parts")
+
+    return pairs.join(cluster.select(F.col("rep").alias("a"), "label"), "a").join(parts, "label").select(F.xxhash64("label", block("a"), block("b")).alias("unit"), "a", "b")
+
+
+def _arrays(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """unit, rep, hashes: the sorted hash array of each member's text for each of its units."""
+    of = members.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list("unit").alias("units"))
+    few = members.select("rep").distinct().count() <= BROADCAST_IDS
+    wanted = docs.join(F.broadcast(of) if few else of, "doc_id").select("doc_id", "text", "units")
+    out = pa.schema([("unit", pa.int64()), ("rep", pa.int64()), ("hashes", pa.binary())])
 
     def arrays(batches):
         for batch in released(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for _, _, sets in _sets(batch.column(1), width) for s in sets], pa.binary())], schema=out)
+            for a, b, sets in text_sets(batch.column(1), width):
+                ids, units = (batch.column(k).slice(a, b - a).to_pylist() for k in (0, 2))
+                rows = [(u, i, s.tobytes()) for i, us, s in zip(ids, units, sets, strict=True) for u in us]
+                for at in range(0, len(rows), BATCH_ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[at : at + BATCH_ROWS]], f.type) for k, f in enumerate(out)], schema=out)
+
+    return wanted.mapInArrow(arrays, "unit long, rep long, hashes binary")
 
-    return _only(docs, ids, "left_semi").select("doc_id", "text").mapInArrow(arrays, "rep long, hashes binary")
 
+def _exact(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links among the pairs (a, b), decided on the sorted hash arrays of the texts concerned.
 
-def _exact(docs: DataFrame, pairs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) that reach the threshold, decided on sorted hash arrays of the texts concerned."""
-    ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    sets = scratch.save(_arrays(docs, ids, width), "sets")
-    both = pairs.join(sets.withColumnsRenamed({"rep": "a", "hashes": "x"}), "a").join(sets.withColumnsRenamed({"rep": "b", "hashes": "y"}), "b")
+    Within a unit only links that join what earlier ones have not are given out.
+    """
+    pairs = scratch.save(_units(pairs, firsts, scratch), "pairs")
+    members = scratch.save(pairs.select("unit", F.explode(F.array("a", "b")).alias("rep")).distinct(), "members")
+    none = F.lit(None)
+    rows = _arrays(docs, members, width).select("unit", F.lit(0).alias("kind"), "rep", none.cast("long").alias("b"), "hashes")
+    rows = rows.unionByName(pairs.select("unit", F.lit(1).alias("kind"), F.col("a").alias("rep"), "b", none.cast("binary").alias("hashes")))
+    dealt = rows.repartition(partitions(docs.sparkSession), "unit").sortWithinPartitions("unit", "kind", "rep", "b")
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def intersect(batches):
+        unit, held, root = None, {}, {}
         for batch in released(batches):
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = sorted((np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)), key=len)
-                at = np.searchsorted(y, x)
-                common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep.append(bool(enough(common, len(x), len(y), percent)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    links = scratch.save(both.select("a", "b", "x", "y").mapInArrow(intersect, "a long, b long").distinct(), "links")
-    scratch.drop(sets)
+            found = []
+            for k, kind, a, b, hashes in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), strict=True):
+                if k != unit:
+                    unit, held, root = k, {}, {}
+                if kind == 0:  # a doc_id with several texts keeps all their sets
+                    held.setdefault(a, []).append(np.frombuffer(hashes.as_buffer(), np.uint64).copy())
+                elif (x := find(root, a)) != (y := find(root, b)) and any(linked(s, t, percent) for s in held.get(a, ()) for t in held.get(b, ())):
+                    root[max(x, y)] = min(x, y)
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], schema=out)
+
+    links = scratch.save(dealt.mapInArrow(intersect, "a long, b long").distinct(), "links")
+    for done in (members, pairs):
+        scratch.drop(done)
     return links
 
 
-def _bounded(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose bitmaps leave room for the threshold."""
-    side = prefixes.select("rep", "n", "bits")
+def _bounded(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps leave room for the threshold."""
+    side = firsts.select("rep", "n", "bits")
     both = pairs.join(side.withColumnsRenamed({"rep": "a", "n": "n_a", "bits": "x"}), "a").join(side.withColumnsRenamed({"rep": "b", "n": "n_b", "bits": "y"}), "b")
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         for batch in released(batches):
-            keep = []
-            for n_a, n_b, x, y in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+            found = []
+            for a, b, n_a, n_b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
                 size = min(len(x), len(y))
-                keep.append(bool(enough(overlap_bound(fold(x, size), n_a, fold(y, size), n_b), n_a, n_b, percent)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                if enough(overlap_bound(fold(x, size), n_a, fold(y, size), n_b), n_a, n_b, percent):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], schema=out)
 
     return both.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _between(tiles: DataFrame, prefixes: DataFrame, labels: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs of different components within a shingle's only tile that pass the bitmap bound.
+def bounded_pairs(left: list[dict], right: list[dict] | None, percent: int) -> list[tuple[int, int]]:
+    """Pairs of members of different components that the bitmaps let pass: within one tile, or across two.
 
-    A tile of one component, or of two members, has nothing left to try.  Tiles with the same members, from shingles that
-    stand together, are tried once; bitmaps join what is left.
+    Members are sorted by size; the smaller of a linked pair is ``low``.
     """
-    told = F.monotonically_increasing_id()
-    lone = scratch.save(tiles.where("not several and size(reps) > 2").select("reps").distinct().withColumn("tile", told), "lone")
-    members = lone.select("tile", F.explode("reps").alias("rep")).join(labels, "rep")
-    mixed = members.groupBy("tile").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("tile")
-    side = members.join(mixed, "tile", "left_semi").join(prefixes.select("rep", "n", "bits"), "rep")
-    full = side.groupBy("tile").agg(F.sort_array(F.collect_list(F.struct("n", "rep", "label", "bits"))).alias("members"))
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def run(batches):
-        for batch in released(batches):
-            found = []
-            for tile in batch.column(0).to_pylist():
-                n, rep, label = (np.array([m[k] for m in tile], np.int64) for k in ("n", "rep", "label"))
-                bits = [np.frombuffer(m["bits"], np.uint8) for m in tile]
-                bands = {size: np.array([i for i, b in enumerate(bits) if len(b) == size]) for size in {len(b) for b in bits}}
-                stacked = {size: np.stack([bits[i] for i in rows]) for size, rows in bands.items()}
-                for i in range(1, len(tile)):  # the first member has been tried against all others
-                    for size, rows in bands.items():
-                        ok = (rows > i) & (label[rows] != label[i]) & (100 * np.minimum(n[rows], n[i]) >= percent * np.maximum(n[rows], n[i]))
-                        if not ok.any():
-                            continue
-                        at, small = rows[ok], min(size, len(bits[i]))
-                        y = stacked[size][ok]
-                        y = y if small == size else np.bitwise_or.reduce(y.reshape(len(at), -1, small), 1)
-                        bound = overlap_bound(fold(bits[i], small), n[i], y, n[at])
-                        found += [(min(rep[i], rep[j]), max(rep[i], rep[j])) for j in at[enough(bound, n[i], n[at], percent)]]
-            yield pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in found], pa.int64()) for k in (0, 1)], schema=out)
-
-    return full.select("members").mapInArrow(run, "a long, b long").distinct()
-
-
-def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of two lists of sorted distinct arrays: products of 0-1 matrices, some columns at a time."""
-    flat = np.concatenate([*left, *right])
-    values, column = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
-    out = np.zeros((len(left), len(right)), np.float32)
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    for a in range(0, len(values), MATRIX_COLUMNS):
-        lo, hi = np.searchsorted(column, (a, a + MATRIX_COLUMNS))
-        matrix = np.zeros((len(left) + len(right), min(MATRIX_COLUMNS, len(values) - a)), np.float32)
-        matrix[owner[lo:hi], column[lo:hi] - a] = 1
-        out += matrix[: len(left)] @ matrix[len(left) :].T
-    return out.astype(np.int64)
-
-
-def joining(pairs: np.ndarray, labels_l: np.ndarray, labels_r: np.ndarray) -> list[tuple[int, int]]:
-    """Of linked index pairs, those that join components not yet joined by earlier ones."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.get(x, x) != x:
-            x = root[x]
-        return x
-
-    out = []
-    for i, j in pairs.tolist():
-        a, b = find(int(labels_l[i])), find(int(labels_r[j]))
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append((i, j))
-    return out
+    def unpacked(side):
+        n, rep, label, low = (np.array([m[k] for m in side], np.int64) for k in ("n", "rep", "label", "low"))
+        bits = [np.frombuffer(m["bits"], np.uint8) for m in side]
+        bands = {}
+        for size in {len(b) for b in bits}:
+            rows = np.array([i for i, b in enumerate(bits) if len(b) == size])
+            bands[size] = (rows, np.stack([bits[i] for i in rows]))
+        return n, rep, label, low, bits, bands
+
+    own = unpacked(left)
+    n, rep, label, low, bits, bands = own if right is None else unpacked(right)
+    found = []
+    for i in range(len(left)):
+        n_i, rep_i, label_i, low_i, bits_i = (own[k][i] for k in range(5))
+        for size, (rows, stacked) in bands.items():
+            smaller = np.where(n[rows] > n_i, low_i, np.where(n[rows] < n_i, low[rows], low_i | low[rows]))
+            ok = (label[rows] != label_i) & (100 * np.minimum(n[rows], n_i) >= percent * np.maximum(n[rows], n_i)) & (smaller > 0)
+            if right is None:
+                ok &= rows > i
+            if not ok.any():
+                continue
+            at, short = rows[ok], min(size, len(bits_i))
+            y = stacked[ok] if short == size else np.bitwise_or.reduce(stacked[ok].reshape(len(at), -1, short), 1)
+            bound = overlap_bound(fold(bits_i, short), n_i, y, n[at])
+            found += [(int(min(rep_i, rep[j])), int(max(rep_i, rep[j]))) for j in at[enough(bound, n_i, n[at], percent)]]
+    return found
 
 
-def _across(docs: DataFrame, tiles: DataFrame, labels: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Links between different components within shingles that need several tiles, by pairs of tiles.
+def _between(tiles: DataFrame, firsts: DataFrame, labels: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b): pairs of different components that share a shingle and pass the bitmap bound.
 
-    Such a shingle belongs to a large group of near copies.  Its pairs would be many, so they are never rows: a task takes
-    two tiles with their exact hash arrays, counts all intersections at once, and gives out only links that join
-    components.  The tiles of a shingle are dealt over more tasks the more there are.
+    A shingle of one component has nothing left to try.  Tiles with the same members, from shingles that stand together,
+    are tried once.  The tiles of a shingle that has several are dealt over more tasks the more there are.
     """
-    numbered = scratch.save(tiles.where("several").select("shingle", "reps").withColumn("tile", F.monotonically_increasing_id()), "several")
-    members = numbered.select("shingle", "tile", F.explode("reps").alias("rep")).join(labels, "rep")
-    span = members.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count_distinct("tile").alias("tiles")).where("least < most")
-    members = scratch.save(members.join(span.select("shingle", F.ceil(F.col("tiles") / TILES_A_TASK).cast("int").alias("parts")), "shingle"), "members")
-    ids = scratch.save(members.select(F.col("rep").alias("doc_id")).distinct(), "ids")
-    sets = scratch.save(_arrays(docs, ids, width), "sets")
-    full = members.join(sets, "rep").groupBy("shingle", "parts", "tile").agg(F.collect_list(F.struct("rep", "label", "hashes")).alias("members"), F.min("label").alias("least"), F.max("label").alias("most"))
+    told = F.monotonically_increasing_id()
+    lone = tiles.where("not several and size(reps) > 2").select("reps", "low").distinct().withColumn("tile", told).withColumn("shingle", -1 - F.col("tile"))
+    numbered = scratch.save(lone.unionByName(tiles.where("several").select("reps", "low", "shingle").withColumn("tile", told)), "tiles")
+    members = numbered.select("shingle", "tile", F.explode(F.arrays_zip("reps", "low")).alias("m")).select("shingle", "tile", F.col("m.reps").alias("rep"), F.col("m.low").cast("int").alias("low")).join(labels, "rep")
+    # Shingles are at hand in many tasks; only each task's least and largest label of a shingle is dealt.
+    mixed = members.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count_distinct("tile").alias("tiles")).where("least < most")
+    side = members.join(mixed.select("shingle", F.ceil(F.col("tiles") / TILES_A_TASK).cast("int").alias("parts")), "shingle").join(firsts.select("rep", "n", "bits"), "rep")
+    full = side.groupBy("shingle", "parts", "tile").agg(F.sort_array(F.collect_list(F.struct("n", "rep", "label", "low", "bits"))).alias("members"), F.min("label").alias("least"), F.max("label").alias("most"))
     full = scratch.save(full, "full")
-    left = full.select("shingle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("tile").alias("t"), F.col("members").alias("l"), F.col("least").alias("least_l"), F.col("most").alias("most_l"))
-    right = full.select("shingle", F.pmod(F.xxhash64("tile"), F.col("parts")).cast("int").alias("part"), F.col("tile").alias("u"), F.col("members").alias("r"), F.col("least").alias("least_r"), F.col("most").alias("most_r"))
-    pairs = left.join(right, ["shingle", "part"]).where("t <= u and (least_l <> least_r or most_l <> most_r or least_l <> most_l)")
+    several = full.where("shingle >= 0")
+    left = several.select("shingle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("tile").alias("t"), F.col("members").alias("l"), F.col("least").alias("least_l"), F.col("most").alias("most_l"))
+    right = several.select("shingle", F.pmod(F.xxhash64("tile"), F.col("parts")).cast("int").alias("part"), F.col("tile").alias("u"), F.col("members").alias("r"), F.col("least").alias("least_r"), F.col("most").alias("most_r"))
+    across = left.join(right, ["shingle", "part"]).where("t < u and (least_l <> least_r or most_l <> most_r or least_l <> most_l)").select("l", "r")
+    within = full.where("least <> most").select(F.col("members").alias("l"), F.lit(None).cast(full.schema["members"].dataType).alias("r"))
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def unpack(side):
-        return np.array([m["rep"] for m in side], np.int64), np.array([m["label"] for m in side], np.int64), [np.frombuffer(m["hashes"], np.uint64) for m in side]
-
     def run(batches):
         for batch in released(batches):
-            found = []
             for k in range(batch.num_rows):
-                (rep_l, label_l, sets_l), (rep_r, label_r, sets_r) = (unpack(batch.column(c)[k].as_py()) for c in (0, 1))
-                size_l, size_r = np.array([len(x) for x in sets_l]), np.array([len(x) for x in sets_r])
-                linked = enough(common_counts(sets_l, sets_r), size_l[:, None], size_r[None, :], percent) & (label_l[:, None] != label_r[None, :])
-                found += [(int(min(rep_l[i], rep_r[j])), int(max(rep_l[i], rep_r[j]))) for i, j in joining(np.argwhere(linked), label_l, label_r)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], schema=out)
-
-    links = scratch.save(pairs.select("l", "r").mapInArrow(run, "a long, b long").distinct(), "links")
-    for done in (sets, full, members):
-        scratch.drop(done)
-    return links
+                found = bounded_pairs(*(batch.column(i)[k].as_py() for i in (0, 1)), percent)
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], schema=out)
+
+    return scratch.save(within.unionByName(across).mapInArrow(run, "a long, b long").distinct(), "rest")
 
 
 def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -343,37 +296,27 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     small_batches(spark)
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    digest = scratch.save(_digest(docs, width, percent), "digest")
-    copies = scratch.save(digest.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "copies")
-    noted = digest.where(F.size("hot") > 0).select(F.explode(F.arrays_zip("hot", "hits")).alias("h")).groupBy(F.col("h.hot").alias("shingle")).agg(F.sum("h.hits").alias("hits"))
-    # Any choice of frequent shingles gives the same links; the bound keeps the list sent to all tasks small.
-    top = noted.orderBy(F.desc("hits"), "shingle").limit(FREQUENT).toArrow()
-    values, hits = top["shingle"].to_numpy().view(np.uint64), top["hits"].to_numpy()
-    order = np.argsort(values, kind="stable")
-    ranks = np.empty(len(values), np.int64)
-    ranks[np.lexsort((values, hits))] = np.arange(len(values))
-    frequent = spark.sparkContext.broadcast((values[order], ranks[order]))
-    spare = scratch.save(digest.select("doc_id").distinct().join(copies.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"), "spare")
-    chosen = _only(docs.where("doc_id is not null"), spare, "left_anti")
-    prefixes = scratch.save(_prefixes(chosen, frequent, width, percent), "prefixes")
-    tiles = scratch.save(_tiles(prefixes), "tiles")
-    cut = tiles.groupBy("shingle").agg(F.count("*").alias("tiles"), F.min(F.struct(F.get("sizes", F.lit(0)).alias("n"), F.get("reps", F.lit(0)).alias("rep"))).alias("first"))
-    cut = scratch.save(cut.where("tiles > 1"), "cut")
-    tiles = tiles.join(cut.select("shingle", F.lit(True).alias("several")), "shingle", "left").withColumn("several", F.coalesce("several", F.lit(False))).where("several or not lone")
-    stars = tiles.select(F.get("reps", F.lit(0)).alias("a"), F.explode("reps").alias("b"))
-    stars = stars.unionByName(tiles.where("several").join(cut, "shingle").select(F.col("first.rep").alias("a"), F.get("reps", F.lit(0)).alias("b")))
-    tried = stars.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = _exact(docs, scratch.save(_bounded(tried, prefixes, percent), "near"), width, percent, scratch)
-    reps = prefixes.select("rep").distinct()
+    digest = scratch.save(survivors(docs, width, percent), "digest")
+    copies = scratch.save(digest.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("shares").alias("shares")), "copies")
+    sharing = scratch.save(copies.where("shares and rep is not null").select(F.col("rep").alias("doc_id")).distinct(), "sharing")
+    firsts = scratch.save(prefixes(_only(docs, sharing, "left_semi"), width, percent), "prefixes")
+    tiles = scratch.save(_tiles(firsts), "tiles")
+    low = F.filter(F.arrays_zip("sizes", "reps", "low"), lambda m: m["low"])
+    cut = tiles.where("cut").groupBy("shingle").agg(F.count("*").alias("tiles"), F.min(F.get(low, F.lit(0))).alias("first"))
+    cut = scratch.save(cut, "cut")
+    tiles = tiles.join(cut.select("shingle", (F.col("tiles") > 1).alias("several")), "shingle", "left").withColumn("several", F.coalesce("several", F.lit(False))).where("several or size(reps) > 1")
+    member = F.explode(F.arrays_zip("reps", "sizes")).alias("m")
+    stars = tiles.select(F.get(low, F.lit(0)).alias("c"), member).unionByName(tiles.where("several").join(cut, "shingle").select(F.col("first").alias("c"), member))
+    reach = F.least("c.sizes", "m.sizes") * 100 >= F.greatest("c.sizes", "m.sizes") * percent
+    tried = stars.where(F.col("c").isNotNull() & (F.col("c.reps") != F.col("m.reps")) & reach).select(F.least("c.reps", "m.reps").alias("a"), F.greatest("c.reps", "m.reps").alias("b")).distinct()
+    near = scratch.save(_bounded(tried, firsts, percent), "near")
+    links = _exact(docs, near, firsts, width, percent, scratch)
+    reps = firsts.select("rep").distinct()
     labels = connect(scratch, reps, links)
-    if not tiles.where("several").isEmpty():
-        links = links.unionByName(_across(docs, tiles, labels, width, percent, scratch))
-        labels = connect(scratch, reps, links)
-    rest = scratch.save(_between(tiles, prefixes, labels, percent, scratch), "rest")
+    rest = _between(tiles, firsts, labels, percent, scratch)
     if not rest.isEmpty():
-        links = links.unionByName(_exact(docs, rest, width, percent, scratch))
-        labels = connect(scratch, reps, links)
-    of_set = scratch.save(copies.join(labels, "rep").select("n", "d1", "d2", "label"), "of-set")
+        labels = connect(scratch, reps, links.unionByName(_exact(docs, rest, firsts, width, percent, scratch)))
+    of_set = scratch.save(copies.join(labels, "rep", "left").select("n", "d1", "d2", F.coalesce("label", "rep").alias("label")), "of-set")
     known = digest.select("doc_id", "n", "d1", "d2").join(of_set, ["n", "d1", "d2"], "left")
     return known.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
 
