@@ -1,9 +1,9 @@
 """Licence scans by a positional rare-token index, in DataFrame functions only.
 
-A first pass counts in how many documents each licence word stands.  Each template is indexed under the highest-IDF words
-of its key phrase, with their places in the template.  A second pass looks up each document's index words, turns every
-posting into the start that the template would have, keeps starts on which a template's postings agree, and verifies the
-mandatory key phrase there.  The base phrases are templates too; every place of theirs is reported.
+A first pass counts in how many documents each licence word stands.  A second pass takes each document's licence words; of
+every template whose key phrase they can make up, it looks up the document's highest-IDF words, turns each posting into
+the start that the template would have, keeps starts on which a template's postings agree, and verifies the mandatory key
+phrase there.  The base phrases are templates too; every place of theirs is reported.
 
 Defined results: null or empty text has no words and no labels, first and last word null, score 0; labels are distinct,
 sorted and comma-joined; repeated rows are scanned alike; an empty table gives no rows.  The score is the largest share of
@@ -30,6 +30,7 @@ TEMPLATES = [
     ("mit", 0, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 12),
     ("bsd", 0, "redistribution and use in source and binary forms with or without modification are permitted", 8),
     ("isc", 0, "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 9),
+    ("mpl", 11, "this source code form is subject to the terms of the mozilla public license", 3),
     ("epl", 14, "this program and the accompanying materials are made available under the terms of the eclipse public license", 3),
     ("cc-by-nc", 2, "licensed under cc by nc", 3),
     ("cc-by-sa", 2, "licensed under cc by sa", 3),
@@ -58,12 +59,6 @@ def strings(values) -> Column:
     return F.array(*map(F.lit, values))
 
 
-def places(w: Column, wanted) -> Column:
-    """Indices of the words that are in ``wanted``."""
-    every = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.filter(every, lambda i: F.get(w, i).isin(*wanted))
-
-
 def document_frequencies(docs: DataFrame) -> dict[str, int]:
     """In how many documents each word of the key phrases stands; at most one row per such word reaches the driver."""
     vocabulary = sorted({w for _, _, _, key in templates() for w in key})
@@ -72,33 +67,54 @@ def document_frequencies(docs: DataFrame) -> dict[str, int]:
     return {w: 0 for w in vocabulary} | {r.word: r.n for r in rows}
 
 
-def rare_index(frequency: dict[str, int]) -> dict[str, list[tuple[int, int]]]:
-    """Word -> (template, place in it) of its postings: each template under its key phrase's rarest words."""
-    index: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, at, _, key) in enumerate(templates()):
-        for i in sorted(range(len(key)), key=lambda i: (frequency[key[i]], i))[:RAREST]:
-            index.setdefault(key[i], []).append((t, at + i))
-    return index
+def rarest(frequency: dict[str, int]) -> list[list[tuple[str, int]]]:
+    """Per template: the rarest words of its key phrase with their places in the template, the highest IDF first."""
+    out = []
+    for _, at, _, key in templates():
+        order = sorted(range(len(key)), key=lambda i: (frequency[key[i]], i))
+        out.append([(key[i], at + i) for i in order[:RAREST]])
+    return out
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     known = templates()
-    index = rare_index(document_frequencies(docs))
-    postings = F.create_map(*[x for w, p in sorted(index.items()) for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(r).alias("r")) for t, r in p]))])
-    need = strings([sum(t in {q for q, _ in p} for p in index.values()) for t in range(len(known))])
+    rare = rarest(document_frequencies(docs))
+    by_word: dict[str, list[tuple[int, int]]] = {}
+    for t, posts in enumerate(rare):
+        for word, r in posts:
+            by_word.setdefault(word, []).append((t, r))
+    postings = F.create_map(*[x for w, p in sorted(by_word.items()) for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(r).alias("r")) for t, r in p]))])
+    vocabulary = strings(sorted({w for _, _, _, key in known for w in key}))
+    need = strings([len(posts) for posts in rare])
+    looked_up = F.array(*[strings(sorted({w for w, _ in posts})) for posts in rare])
+    wanted_keys = F.array(*[strings(sorted(set(key))) for _, _, _, key in known])
     keys = F.array(*[strings(key) for _, _, _, key in known])
     full = F.array(*[strings(w) for _, _, w, _ in known])
     at = strings([a for _, a, _, _ in known])
     names = strings([label for label, _, _, _ in known])
 
+    def possible(w: Column) -> Column:
+        """Templates whose key phrase the document's licence words can make up."""
+        every = F.sequence(F.lit(0), F.lit(len(known) - 1))
+        return let(F.array_intersect(w, vocabulary), lambda own: F.filter(every, lambda t: F.size(F.array_except(F.get(wanted_keys, t), own)) == 0))
+
     def started(w: Column) -> Column:
-        """(t, s): template t would start at word s, by the posting of each index word of the document."""
-        return F.flatten(F.transform(places(w, sorted(index)), lambda i: F.transform(F.element_at(postings, F.get(w, i)), lambda p: F.struct(p["t"].alias("t"), (i - p["r"]).alias("s")))))
+        """(t, s): template t would start at word s, by the posting of each word that the document looks up."""
+
+        def of(z: Column) -> Column:
+            at_words = F.filter(F.sequence(F.lit(0), F.size(z["w"]) - 1), lambda i: F.array_contains(z["own"], F.get(z["w"], i)))
+            posted = lambda i: F.filter(F.element_at(postings, F.get(z["w"], i)), lambda p: F.array_contains(z["ts"], p["t"]))
+            found = F.flatten(F.transform(at_words, lambda i: F.transform(posted(i), lambda p: F.struct(p["t"].alias("t"), (i - p["r"]).alias("s")))))
+            return F.when(F.size(z["ts"]) > 0, found).otherwise(F.array().cast("array<struct<t:int,s:int>>"))
+
+        own = lambda ts: F.array_distinct(F.flatten(F.transform(ts, lambda t: F.get(looked_up, t))))
+        return let(possible(w), lambda ts: let(F.struct(w.alias("w"), ts.alias("ts"), own(ts).alias("own")), of))
 
     def agreed(starts: Column) -> Column:
-        """Starts that all index words of their template give; equal ones stand together after sorting."""
-        return let(F.array_sort(starts), lambda c: F.array_distinct(F.filter(c, lambda x, i: F.get(c, i + F.get(need, x["t"]) - 1) == x)))
+        """Starts that all looked-up words of their template give, once each; equal ones stand together after sorting."""
+        first = lambda c, x, i: F.when(i > 0, F.get(c, i - 1) != x).otherwise(True)
+        return let(F.array_sort(starts), lambda c: F.filter(c, lambda x, i: first(c, x, i) & (F.get(c, i + F.get(need, x["t"]) - 1) == x)))
 
     def verified(w: Column, starts: Column) -> Column:
         return F.filter(starts, lambda x: let(F.get(keys, x["t"]), lambda key: (x["s"] + F.get(at, x["t"]) >= 0) & (F.slice(w, x["s"] + F.get(at, x["t"]) + 1, F.size(key)) == key)))

@@ -9,14 +9,15 @@
 5. What is left, members of different components within a shingle's tile or in two tiles of one shingle, is compared by
    hashed bitmap signatures whose length follows the set's size band: a set bit that the other lacks witnesses a shingle
    that the other lacks, so bit counts bound the overlap from above.  Size bands that cannot reach the threshold are skipped.
-6. Pairs under the bound are decided exactly, by intersecting sorted hash arrays made anew from the texts.  Pairs of one
-   tile, or of one smallest set, are decided together, so an array travels there once whatever the number of its pairs.
+6. What passes the bound is decided exactly, by intersecting sorted hash arrays made anew from the texts.  Sets that hang
+   together by such pairs are decided together, so an array travels there once whatever the number of its pairs; the pairs
+   themselves are never rows: a tile gives out only as many as tell which of its sets hang together.
 
 Only the components are needed, so no group is ever expanded into all its pairs, and no link between texts is lost.
 
 Defined results: null text, or text without words, has an empty set and links with nothing; a text with fewer words than a
-shingle is one shingle; repeated rows of a doc_id count as copies if their texts are equal, and their rows stay; a row
-without doc_id takes the component of an equal text, else none; an empty table gives no rows.
+shingle is one shingle; repeated rows of a doc_id count as copies if their texts are equal; a row without doc_id takes the
+component of an equal text, else none; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import BATCH_ROWS, Scratch, partitions, released, small_batches
+from .common import BATCH_BYTES, Scratch, partitions, released, small_batches
 from .components import connect
-from .shared_grams import bitmap, prefixes, survivors, text_sets
+from .shared_grams import bitmap, prefixes, set_digest, survivors, text_sets
 
 WIDTH = 5
 #: Jaccard threshold in per cent.
@@ -38,7 +40,7 @@ TILE = 256
 #: Shingles in a tile, at most, unless one text alone has more; so much is held to intersect a tile's arrays.
 TILE_SHINGLES = 2_000_000
 #: Sets whose pairs are decided together, at most.
-UNIT_SETS = 4096
+UNIT_SETS = 2048
 #: Tiles of a shingle that one task pairs with all others, about.
 TILES_A_TASK = 16
 #: Ids (8 bytes each) that are sent to all tasks rather than joined by a shuffle, at most.
@@ -66,11 +68,21 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def find(root: dict[int, int], x: int) -> int:
-    while root.get(x, x) != x:
-        x = root[x]
+    while (up := root.get(x, x)) != x:
+        root[x] = root.get(up, up)
+        x = up
     return x
 
 
+def together(pairs) -> list[tuple[int, int]]:
+    """What pairs join, as stars: (smallest, other) for every member of a cluster of several."""
+    root: dict[int, int] = {}
+    for a, b in pairs:
+        if (x := find(root, a)) != (y := find(root, b)):
+            root[max(x, y)] = min(x, y)
+    return [(find(root, m), m) for m in root]
+
+
 def enough(common, n_a, n_b, percent: int):
     return 100 * common >= percent * (n_a + n_b - common)
 
@@ -156,21 +168,106 @@ def _units(pairs: DataFrame, firsts: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _arrays(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """unit, rep, hashes: the sorted hash array of each member's text for each of its units."""
-    of = members.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list("unit").alias("units"))
+    """unit, rep, label, minor, hashes: the sorted hash array of each member (unit, rep, label, minor) for all its units."""
+    of = members.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list(F.struct("unit", "label", "minor")).alias("units"))
     few = members.select("rep").distinct().count() <= BROADCAST_IDS
     wanted = docs.join(F.broadcast(of) if few else of, "doc_id").select("doc_id", "text", "units")
-    out = pa.schema([("unit", pa.int64()), ("rep", pa.int64()), ("hashes", pa.binary())])
+    out = pa.schema([("unit", pa.int64()), ("rep", pa.int64()), ("label", pa.int64()), ("minor", pa.bool_()), ("hashes", pa.binary())])
 
     def arrays(batches):
         for batch in released(batches):
             for a, b, sets in text_sets(batch.column(1), width):
                 ids, units = (batch.column(k).slice(a, b - a).to_pylist() for k in (0, 2))
-                rows = [(u, i, s.tobytes()) for i, us, s in zip(ids, units, sets, strict=True) for u in us]
-                for at in range(0, len(rows), BATCH_ROWS):
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[at : at + BATCH_ROWS]], f.type) for k, f in enumerate(out)], schema=out)
+                rows = [(u["unit"], i, u["label"], u["minor"], s) for i, us, s in zip(ids, units, sets, strict=True) for u in us]
+                for some in by_bytes(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] if k < 4 else r[k].tobytes() for r in some], f.type) for k, f in enumerate(out)], schema=out)
+
+    return wanted.mapInArrow(arrays, "unit long, rep long, label long, minor boolean, hashes binary")
+
+
+def by_bytes(rows: list[tuple]):
+    """Runs of rows whose last values, arrays, have about BATCH_BYTES together."""
+    some, size = [], 0
+    for r in rows:
+        some.append(r)
+        size += r[-1].nbytes
+        if size >= BATCH_BYTES:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
+def unit_links(reps: list[int], labels: list[int], minor: list[bool], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join components, of the ``minor`` members of a unit with all others.
+
+    The unit's arrays are merged into one sorted array once; a member's array is intersected with all others by looking
+    its hashes up there, so that the work is the number of common hashes.
+    """
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    n, label = np.array([len(x) for x in sets]), np.array(labels, np.int64)
+    root: dict[int, int] = {}
+    out = []
+    for i in np.flatnonzero(minor).tolist():
+        first = np.searchsorted(flat, sets[i], "left")
+        many = np.searchsorted(flat, sets[i], "right") - first
+        at = np.repeat(first - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+        common = np.bincount(owner[at], minlength=len(sets))
+        for j in np.flatnonzero(enough(common, n[i], n, percent) & (label != label[i])).tolist():
+            if (x := find(root, labels[i])) != (y := find(root, labels[j])):
+                root[max(x, y)] = min(x, y)
+                out.append((min(reps[i], reps[j]), max(reps[i], reps[j])))
+    return out
+
+
+def _settled(docs: DataFrame, edges: DataFrame, labels: DataFrame, firsts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links between different components among the sets that hang together by ``edges`` (a, b).
 
-    return wanted.mapInArrow(arrays, "unit long, rep long, hashes binary")
+    Members of a cluster's largest component need no trial among themselves, so only the others, the minor ones, are tried
+    against all.  A large cluster is dealt into blocks of minor and of other members; a unit has two blocks.
+    """
+    ids = edges.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    cluster = connect(scratch, ids, edges).withColumnRenamed("label", "cluster")
+    rows = scratch.save(cluster.join(labels, "rep").join(firsts.groupBy("rep").agg(F.max("n").alias("n")), "rep"), "clusters")
+    parts = rows.groupBy("cluster", "label").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    largest = parts.groupBy("cluster").agg(F.max(F.struct("sets", "label")).alias("largest")).select("cluster", F.col("largest.label").alias("major"))
+    sized = parts.join(largest, "cluster").withColumn("minor", F.col("label") != F.col("major"))
+    size = F.greatest(F.sum("shingles") / TILE_SHINGLES, F.sum("sets") / UNIT_SETS)
+    of_side = lambda minor: F.ceil(2 * F.greatest(*[F.sum(F.when(F.col("minor") == minor, F.col(c)).otherwise(0)) / most for c, most in (("shingles", TILE_SHINGLES), ("sets", UNIT_SETS))])).cast("int")
+    blocks = sized.groupBy("cluster", "major").agg(size.alias("size"), of_side(True).alias("minors"), of_side(False).alias("majors"))
+    blocks = blocks.select("cluster", "major", *[F.when(F.col("size") <= 1, 0).otherwise(F.col(c)).alias(c) for c in ("minors", "majors")])
+    told = rows.join(blocks, "cluster").withColumn("minor", F.col("label") != F.col("major"))
+    told = told.withColumn("block", F.when(F.col("minor"), F.pmod(F.xxhash64("rep"), F.greatest("minors", F.lit(1)))).otherwise(F.pmod(F.xxhash64("rep"), F.greatest("majors", F.lit(1)))))
+    every = F.sequence(F.lit(0), F.col("minors") - 1)
+    with_minor = F.transform(every, lambda m: F.xxhash64("cluster", F.least(m, F.col("block")), F.greatest(m, F.col("block")), F.lit("minor")))
+    with_major = F.transform(F.sequence(F.lit(0), F.col("majors") - 1), lambda m: F.xxhash64("cluster", F.col("block"), m, F.lit("major")))
+    of_major = F.transform(every, lambda m: F.xxhash64("cluster", m, F.col("block"), F.lit("major")))
+    units = F.when(F.col("minors") == 0, F.array(F.xxhash64("cluster"))).when(F.col("minor"), F.concat(with_minor, with_major)).otherwise(of_major)
+    members = scratch.save(told.select(F.explode(F.array_distinct(units)).alias("unit"), "rep", "label", "minor"), "members")
+    dealt = _arrays(docs, members, width).repartition(partitions(docs.sparkSession), "unit").sortWithinPartitions("unit", "rep")
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def settle(batches):
+        unit, held = None, []
+
+        def links():
+            found = unit_links(*map(list, zip(*held, strict=True)), percent) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], schema=out)
+
+        for batch in released(batches):
+            for k, rep, label, minor, hashes in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), strict=True):
+                if k != unit:
+                    if held:
+                        yield links()
+                    unit, held = k, []
+                held.append((rep, label, minor, np.frombuffer(hashes.as_buffer(), np.uint64).copy()))
+        if held:
+            yield links()
+
+    return scratch.save(dealt.mapInArrow(settle, "a long, b long").distinct(), "links")
 
 
 def _exact(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -181,7 +278,7 @@ def _exact(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, width: int, per
     pairs = scratch.save(_units(pairs, firsts, scratch), "pairs")
     members = scratch.save(pairs.select("unit", F.explode(F.array("a", "b")).alias("rep")).distinct(), "members")
     none = F.lit(None)
-    rows = _arrays(docs, members, width).select("unit", F.lit(0).alias("kind"), "rep", none.cast("long").alias("b"), "hashes")
+    rows = _arrays(docs, members.withColumns({"label": none.cast("long"), "minor": none.cast("boolean")}), width).select("unit", F.lit(0).alias("kind"), "rep", none.cast("long").alias("b"), "hashes")
     rows = rows.unionByName(pairs.select("unit", F.lit(1).alias("kind"), F.col("a").alias("rep"), "b", none.cast("binary").alias("hashes")))
     dealt = rows.repartition(partitions(docs.sparkSession), "unit").sortWithinPartitions("unit", "kind", "rep", "b")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -260,7 +357,8 @@ def bounded_pairs(left: list[dict], right: list[dict] | None, percent: int) -> l
 
 
 def _between(tiles: DataFrame, firsts: DataFrame, labels: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(a, b): pairs of different components that share a shingle and pass the bitmap bound.
+    """(a, b): enough of the pairs of different components that share a shingle and pass the bitmap bound to tell which
+    sets hang together by them.
 
     A shingle of one component has nothing left to try.  Tiles with the same members, from shingles that stand together,
     are tried once.  The tiles of a shingle that has several are dealt over more tasks the more there are.
@@ -283,15 +381,14 @@ def _between(tiles: DataFrame, firsts: DataFrame, labels: DataFrame, percent: in
 
     def run(batches):
         for batch in released(batches):
-            for k in range(batch.num_rows):
-                found = bounded_pairs(*(batch.column(i)[k].as_py() for i in (0, 1)), percent)
-                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], schema=out)
+            found = together(p for k in range(batch.num_rows) for p in bounded_pairs(*(batch.column(i)[k].as_py() for i in (0, 1)), percent))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], schema=out)
 
     return scratch.save(within.unionByName(across).mapInArrow(run, "a long, b long").distinct(), "rest")
 
 
-def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+def _labelled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n, d1, d2 of every row, and n, d1, d2, label of every set that is not empty."""
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "ngram-join")
@@ -315,14 +412,55 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     labels = connect(scratch, reps, links)
     rest = _between(tiles, firsts, labels, percent, scratch)
     if not rest.isEmpty():
-        labels = connect(scratch, reps, links.unionByName(_exact(docs, rest, firsts, width, percent, scratch)))
+        labels = connect(scratch, reps, links.unionByName(_settled(docs, rest, labels, firsts, width, percent, scratch)))
     of_set = scratch.save(copies.join(labels, "rep", "left").select("n", "d1", "d2", F.coalesce("label", "rep").alias("label")), "of-set")
-    known = digest.select("doc_id", "n", "d1", "d2").join(of_set, ["n", "d1", "d2"], "left")
+    return digest.select("doc_id", "n", "d1", "d2"), of_set
+
+
+def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    rows, of_set = _labelled(docs, width, percent)
+    known = rows.join(of_set, ["n", "d1", "d2"], "left")
     return known.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
 
 
+def _with_digest(docs: DataFrame, width: int) -> DataFrame:
+    """The rows of ``docs`` as one struct each, with their set's size and digest and the hash that decides among equal rows."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    hashable = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t]
+    told = docs.select(F.struct(*columns).alias("row"), F.xxhash64(*hashable).alias("tie"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def run(batches):
+        for batch in released(batches):
+            sets = [s for _, _, part in text_sets(batch.column("text"), width) for s in part]
+            digests = np.array([set_digest(s) for s in sets], np.int64).reshape(-1, 2)
+            made = [pa.array(x, pa.int64()) for x in ([len(s) for s in sets], digests[:, 0], digests[:, 1])]
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(3)] + made, names=["row", "tie", "doc_id", "n", "d1", "d2"])
+
+    schema = StructType([*told.schema.fields[:3], *(StructField(c, LongType()) for c in ("n", "d1", "d2"))])
+    return told.mapInArrow(run, schema)
+
+
 def keep_first(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, unchanged, but of each component only those of its smallest doc_id."""
+    """The rows of ``docs``, unchanged, but of each component only those of its smallest doc_id.
+
+    Of rows with one doc_id, or none, and equal sets one stays.  Rows of one doc_id whose sets differ are judged each by its
+    own text; a row without doc_id goes if a row with one has an equal set.  Texts without words stay.
+    """
     scratch = Scratch(docs.sparkSession, "near-copies")
-    gone = components(docs, width, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    return _only(docs, scratch.save(gone, "gone"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, of_set = _labelled(docs, width, percent)
+    judged = rows.join(of_set, ["n", "d1", "d2"], "left").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("label") != F.col("doc_id")).alias("copy"))
+    # One row for each id that has copies or is repeated; rows without an id are told apart by their text below.
+    odd = scratch.save(judged.where("doc_id is not null and rows > 1").select("doc_id"), "odd")
+    gone = scratch.save(judged.where("doc_id is not null and rows = 1 and copy").select("doc_id").unionByName(odd), "gone")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    unnamed = docs.where("doc_id is null")
+    plain = _only(docs.where("doc_id is not null"), gone, "left_anti").select(*columns)
+    again = not odd.isEmpty()
+    if not again and rows.where("doc_id is null").isEmpty():
+        return plain
+    repeated = _only(docs.where("doc_id is not null"), odd, "left_semi").select(*columns) if again else docs.where("false")
+    told = _with_digest(repeated.unionByName(unnamed), width).join(of_set, ["n", "d1", "d2"], "left")
+    left = told.where("n = 0 or label is null or label <=> doc_id")
+    once = left.where("n > 0").groupBy("doc_id", "n", "d1", "d2").agg(F.min_by("row", "tie").alias("row")).select("row.*")
+    return plain.unionByName(left.where("n = 0").select("row.*")).unionByName(once)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -11,9 +12,10 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodeworks.llm import bpe, langid, license_scan, media, ngram_join, packing, pii, quality, queries, url_filter
+from lodeworks.llm import bpe, langid, license_scan, media, ngram_join, packing, pii, quality, queries, shared_grams, url_filter
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score double, seeds string, added string, `odd.name` string"
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -218,6 +220,33 @@ def test_pii_learns_contexts_and_redacts(spark):
     assert new[0].text == "please call me: [phone] today"
 
 
+@pytest.mark.parametrize("listed", [0, 10_000])
+def test_pii_redacts_repeated_rows_each_by_itself(spark, monkeypatch, listed):
+    monkeypatch.setattr(pii, "LISTED", listed)
+    rows = [(i, f"please call me: +1 (275) 555-{2000 + i} today", 1, "s") for i in range(12)]
+    rows += [(50, "please call me: 275 555 2469 today", 2, "a"), (50, "so then please call me: 275 555 2469 now", 3, "b"), (None, "please call me: 275 555 2469", 4, "c"), (60, None, 5, "d"), (61, "", 6, "e")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, seeds string")
+    got = sorted(((r.seeds, r.text, r.n_chars) for r in pii.redact(d).where("seeds <> 's'").collect()))
+    assert got == [("a", "please call me: [phone] today", 29), ("b", "so then please call me: [phone] now", 35), ("c", "please call me: [phone]", 23), ("d", None, 5), ("e", "", 0)]
+    assert pii.redact(d).columns == d.columns and pii.redact(d).where("seeds = 's'").count() == 12
+
+
+def test_pii_and_licences_are_linear_in_one_text(spark):
+    """A text of numbers, of addresses and of licence names, megabytes each, in a minute together; spans stay exact."""
+    numbers, mails, notice = "12 x " * 1_000_000, "a@b.example 1.2.3.4 " * 40_000, "mit license " * 400_000
+    d = spark.createDataFrame([(1, numbers), (2, mails), (3, notice)], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r.doc_id: r for r in pii.digests(d).collect()}
+    assert (got[1].spans, got[3].spans) == ("", "") and (got[2].n_email, got[2].n_ip) == (40_000, 40_000)
+    want = ",".join(f"email:{i * 20}:{i * 20 + 11},ip:{i * 20 + 12}:{i * 20 + 19}" for i in range(40_000))
+    assert got[2].spans == want and got[2].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    masked = pii.redact(d.withColumn("n_chars", F.lit(0).cast("long")).where("doc_id = 2")).first()
+    assert masked.text == "[email] [ip] " * 40_000 and masked.n_chars == 13 * 40_000
+    found = {r.doc_id: r for r in license_scan.scan(d).collect()}
+    assert (found[3].n_base, found[3].first_word, found[3].last_word, found[3].labels) == (400_000, 0, 799_998, "mit") and found[1].n_base == 0
+    assert time.monotonic() - began < 120
+
+
 def test_language_held_out_accuracy(spark, sf_dir):
     docs_ = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet")
     got = queries.op5_language(spark, sf_dir.replace("sf0.001", "sf0.01")).join(docs_.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
@@ -290,4 +319,48 @@ def test_bitmap_bound_is_above():
         size = min(len(x), len(y))
         common = len(np.intersect1d(a, b))
         assert ngram_join.overlap_bound(ngram_join.fold(x, size), len(a), ngram_join.fold(y, size), len(b)) >= common
-        assert ngram_join.common_counts([a], [b])[0, 0] == common
+        assert ngram_join.linked(a, b, 75) == (100 * common >= 75 * (len(a) + len(b) - common))
+        found = ngram_join.unit_links([4, 9], [4, 9], [True, False], [a, b], 75)
+        assert found == ([(4, 9)] if ngram_join.linked(a, b, 75) else [])
+
+
+def test_packed_numbers_round_trip():
+    rng = np.random.default_rng(4)
+    for values in ([], [0], [7] * 9, [2**64 - 1, 0, 1], rng.integers(0, 1 << 40, 3000)):
+        a = np.array(values, np.uint64)
+        assert shared_grams.unpack(shared_grams.pack(a)).tolist() == a.tolist()
+        assert shared_grams.unpack_sorted(shared_grams.pack_sorted(np.sort(a))).tolist() == sorted(a.tolist())
+
+
+def test_tiles_are_bounded(monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", 3)
+    monkeypatch.setattr(ngram_join, "TILE_SHINGLES", 10)
+    for sizes in ([1] * 8, [4, 4, 4, 4], [50, 50], [1, 2, 3, 20, 1], [9]):
+        cuts = [*ngram_join.tile_starts(np.array(sizes)), len(sizes)]
+        assert cuts[0] == 0 and all(a < b <= a + 3 for a, b in zip(cuts, cuts[1:]))
+        assert all(b == a + 1 or sum(sizes[a:b]) <= 10 for a, b in zip(cuts, cuts[1:]))
+
+
+def test_units_of_a_large_cluster_meet(spark, monkeypatch):
+    """A cluster that is dealt into many blocks still joins what one unit would."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for _ in range(60):
+        w = list(base)
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(80)] = f"x{rng.randrange(50)}"
+        texts.append(" ".join(w))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(tuple, ngram_join.components(d).collect()))
+    monkeypatch.setattr(ngram_join, "UNIT_SETS", 4)
+    monkeypatch.setattr(ngram_join, "TILE", 5)
+    assert sorted(map(tuple, ngram_join.components(d).collect())) == want
+
+
+def test_join_keeps_one_row_of_repeated_and_unnamed_rows(spark):
+    same, other, third = "a b c d e f g h", "q r s t u v w x", "1 2 3 4 5 6 7"
+    rows = [(5, same, "x"), (5, same, "x"), (5, other, "x"), (9, same, "y"), (None, same, "z"), (None, third, "z"), (None, third, "z"), (7, "", "e"), (7, "", "e"), (None, None, "n")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(((r.doc_id, r.text, r.source) for r in ngram_join.keep_first(d).collect()), key=str)
+    assert got == sorted([(5, same, "x"), (5, other, "x"), (None, third, "z"), (7, "", "e"), (7, "", "e"), (None, None, "n")], key=str)
