@@ -76,6 +76,22 @@ def mangled(parts: list[str]) -> str:
     return "_ZN" + "".join(f"{len(p)}{p}" for p in parts) + "E"
 
 
+def is_callable(kind: Column) -> Column:
+    return kind.isin("function", "method", "file")
+
+
+def is_class(kind: Column) -> Column:
+    return kind.isin("class", "struct")
+
+
+def is_lambda(pretty: Column) -> Column:
+    return pretty.rlike(r"\(lambda\d+\)$")
+
+
+def is_namespace(sym: Column) -> Column:
+    return sym.startswith("NS_")
+
+
 # ---------------------------------------------------------------- types
 
 
@@ -158,10 +174,8 @@ def pointees(text: str, rules: TypeRules) -> tuple[list[tuple[str, str]], list[s
         if t.name in rules.decorators:
             labels.extend(rules.decorators[t.name])
             return [p for a in t.args for p in visit(a, False)]
-        if t.args:
-            found = [p for a in (t.args if t.name in rules.variants else t.args[:1]) for p in visit(a, False)]
-            if found or t.name in rules.containers | rules.variants:
-                return found
+        if t.name in rules.containers | rules.variants:
+            return [p for a in (t.args if t.name in rules.variants else t.args[:1]) for p in visit(a, False)]
         if t.sign == "*":
             return [("raw", t.name)]
         if t.sign == "&":

@@ -58,10 +58,26 @@ def mangle(path: Column) -> Column:
     return F.array_join(F.transform(F.split(path, ""), coded), "")
 
 
-def natural_key(path: Column, digits: int = 20) -> Column:
-    """A string whose byte order is natural order: lower case, runs of digits padded to one width."""
+def unmangle(path: Column) -> Column:
+    """Every ``@XX`` as the character of that number."""
+    parts = F.split(path, "@(?=[0-9A-F]{2})")
+    read = F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.concat(F.char(F.conv(F.substring(p, 1, 2), 16, 10).cast("int")), F.substring(p, F.lit(3), F.char_length(p))))
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(read, ""))
+
+
+def natural_key(path: Column) -> Column:
+    """A string whose byte order is natural order: lower case, and numbers by size, whatever their length.
+
+    A run of digits goes without leading zeros behind its length: one character for up to eight digits, else more.
+    """
     pieces = F.regexp_extract_all(F.lower(path), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, digits, "0")).otherwise(p)), "")
+
+    def sized(digits: Column) -> Column:
+        n = F.char_length(digits)
+        return F.concat(F.repeat(F.lit("9"), F.floor(n / 9).cast("int")), (n % 9).cast("string"), digits)
+
+    bare = lambda p: F.coalesce(F.nullif(F.regexp_replace(p, "^0+", ""), F.lit("")), F.lit("0"))
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^[0-9]"), sized(bare(p))).otherwise(p)), "")
 
 
 def valid_path(path: str) -> str:

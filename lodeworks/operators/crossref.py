@@ -107,3 +107,29 @@ def annotate_first(records: DataFrame, table: DataFrame) -> DataFrame:
     each = records.select("record_id", F.posexplode("syms").alias("at", "sym")).join(table, "sym", "left")
     best = each.groupBy("record_id").agg(F.min_by("path", F.when(F.col("path").isNotNull(), F.col("at"))).alias("gc_path"))
     return best.select("record_id", "gc_path", F.col("gc_path").isNotNull().alias("can_gc"))
+
+
+def with_all_symbols(found: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Hits with a row, without a kind, for each known symbol that has none, so that every symbol is a key."""
+    return symbols.select("sym").distinct().join(found, "sym", "left")
+
+
+def text_hits_by_file(matches: DataFrame) -> DataFrame:
+    """path, n, lines: text matches (path, lno) by file, lines in order."""
+    return matches.groupBy("path").agg(F.count("*").cast("long").alias("n"), F.array_sort(F.collect_list("lno")).alias("lines"))
+
+
+def resolve_relative(records: DataFrame, urls: DataFrame) -> DataFrame:
+    """record_id, url: what a relative path means at each URL of the file that holds it.
+
+    ``records``: record_id, path, relative; ``urls``: path, url with a scheme.  Steps ``.`` and ``..`` are walked; a step
+    above the root stays at the root.
+    """
+    scheme, rest = F.regexp_extract("url", r"^([a-z]+:/)/(.*)$", 1), F.regexp_extract("url", r"^([a-z]+:/)/(.*)$", 2)
+    whole = F.split(F.concat(F.regexp_extract(rest, r"^(.*/)?[^/]*$", 1), F.col("relative")), "/")
+
+    def walked(acc, part):
+        return F.when(part.isin("", "."), acc).when(part == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(part)))
+
+    steps = F.aggregate(whole, F.array().cast("array<string>"), walked)
+    return records.join(urls, "path").select("record_id", F.concat(scheme, F.lit("/"), F.array_join(steps, "/")).alias("url"))

@@ -7,11 +7,13 @@ lost executor costs a reread.
 
 from __future__ import annotations
 
-import uuid
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut_lineage
+
 MAX_DEPTH = 8
 NODE_LIMIT = 384
 PATH_NODE_LIMIT = 8192
@@ -21,15 +23,6 @@ LOCAL_LIMIT = 100
 GLOBAL_LIMIT = 400
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows written in the shared folder and read back."""
-    spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/lodeworks"
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def traverse(seeds: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH, stop: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) that a breadth-first walk from ``seeds`` (sym) meets.
 
@@ -94,6 +87,203 @@ def traverse_limited(seeds: list[str], edges: DataFrame, max_depth: int = MAX_DE
     return nodes, out, overloads
 
 
+@dataclass(frozen=True)
+class Step:
+    """How a walk follows one relation of a symbol.
+
+    ``inward``: the edge leads to the symbol.  ``kind``: the edge's, or None for the relation row's own.  ``ends``: if the
+    symbol has such rows, its later relations are not followed.  ``once``: a neighbour met before gets no edge.  ``turn``:
+    after this step only steps of the same turn, or without one, are followed.  ``edge``: False only schedules.
+    """
+
+    relation: str
+    limit: str
+    inward: bool = False
+    kind: str | None = "default"
+    ends: bool = False
+    once: bool = False
+    turn: str = ""
+    edge: bool = True
+
+
+_IDL = Step("slot_idl", "DepthLimitOnBindingSlot", inward=True, kind="implementation")
+_SUBCLASSES = Step("subclasses", "DepthLimitOnSubclass", kind="inheritance", turn="sub")
+_SUPERS = Step("supers", "DepthLimitOnSuper", inward=True, kind="inheritance", turn="super")
+_OVERRIDES = Step("overrides", "DepthLimitOnOverrides", inward=True, kind="implementation", once=True)
+_OVERRIDDEN = Step("overriddenBy", "DepthLimitOnOverriddenBy", kind="implementation", once=True)
+#: The relations that each kind of walk follows, in this order.
+WALKS = {
+    "class": (Step("fields", "DepthLimitOnFieldPointer", kind=None), Step("member_uses", "DepthLimitOnFieldMemberUses", edge=False), _IDL, _SUBCLASSES, _SUPERS),
+    "callees": (
+        Step("slot_send", "DepthLimitOnBindingSlot", kind="ipc", ends=True),
+        _IDL,
+        Step("slot_other", "DepthLimitOnBindingSlot", kind="cross-language", ends=True),
+        Step("runnable_method", "DepthLimitOnOntologySlot", ends=True),
+        _OVERRIDDEN,
+        Step("callees", "DepthLimitOnCallees"),
+    ),
+    "uses": (
+        Step("slot_recv", "DepthLimitOnBindingSlot", inward=True, kind="ipc", ends=True),
+        _IDL,
+        Step("binding", "DepthLimitOnBindingSlot", inward=True, kind="cross-language", ends=True),
+        Step("runnable_constructor", "DepthLimitOnOntologySlot", inward=True, ends=True),
+        _OVERRIDES,
+        Step("uses", "DepthLimitOnUses", inward=True),
+    ),
+    "inheritance": (_IDL, _SUBCLASSES, _SUPERS, _OVERRIDES, _OVERRIDDEN),
+}
+#: Label that keeps a walk from going on at a symbol, and the prefix of labels that put a badge in place of a super edge.
+STOP = {"class": "class-diagram:stop", "callees": "calls-diagram:stop", "uses": "uses-diagram:stop"}
+BADGE = "class-diagram:elide-and-badge:"
+
+
+@dataclass
+class Walk:
+    """What a walk met, in its order: nodes with depth, edges (src, dst, kind), limits that were hit, badges."""
+
+    nodes: dict[str, int] = field(default_factory=dict)
+    edges: dict[tuple[str, str], str] = field(default_factory=dict)
+    overloads: list[dict] = field(default_factory=list)
+    badges: list[tuple[str, str]] = field(default_factory=list)
+
+
+def _fetch(links: DataFrame, queue: list[str], relations: list[str], most: int) -> dict[tuple[str, str], list]:
+    """A level's relation rows by (symbol, relation), in order, at most ``most`` a list; uses come with counts of paths."""
+    level = links.where(F.col("sym").isin(queue) & F.col("relation").isin(relations))
+    # Uses are ordered by path, then line; a list too long is cut before it reaches the driver.
+    listed = Window.partitionBy("sym", "relation").orderBy("path", "ord", "other")
+    paths = level.groupBy("sym", "relation").agg(F.count_distinct("path").alias("paths"))
+    in_path = level.groupBy("sym", "relation", "path").agg(F.count("*").alias("lines"))
+    counted = level.withColumn("at", F.row_number().over(listed)).where(F.col("at") <= most)
+    rows = counted.join(paths, ["sym", "relation"])
+    rows = rows.join(in_path.select("sym", "relation", F.coalesce("path", F.lit("")).alias("in_path"), "lines"), ["sym", "relation"]).where(F.coalesce("path", F.lit("")) == F.col("in_path"))
+    by: dict[tuple[str, str], list] = {}
+    for r in rows.select("sym", "relation", "other", "kind", "path", "paths", "lines", "at").orderBy("sym", "relation", "at").collect():
+        by.setdefault((r.sym, r.relation), []).append(r)
+    return by
+
+
+def _within_uses(sym: str, rows: list, skip_at: int, overloads: list[dict]) -> list:
+    """The uses that a walk follows: none of a symbol in too many paths, and none from a path on that has too many lines."""
+    if rows and rows[0].paths >= skip_at:
+        overloads.append({"kind": "UsesPaths", "sym": sym, "exist": rows[0].paths, "included": 0, "local_limit": skip_at, "global_limit": 0})
+        return []
+    kept, total, path = [], 0, None
+    for r in rows:
+        if r.path != path or not kept:
+            path = r.path
+            if r.lines >= skip_at:
+                overloads.append({"kind": "UsesLines", "sym": sym, "exist": r.lines, "included": 0, "local_limit": skip_at, "global_limit": 0})
+                break
+            total += r.lines
+            if total >= skip_at:
+                overloads.append({"kind": "UsesLines", "sym": sym, "exist": total, "included": total - r.lines, "local_limit": 0, "global_limit": skip_at})
+                break
+        kept.append(r)
+    return kept
+
+
+def walk(
+    seeds: list[str],
+    links: DataFrame,
+    mode: str,
+    labels: DataFrame | None = None,
+    names: DataFrame | None = None,
+    max_depth: int = MAX_DEPTH,
+    node_limit: int = NODE_LIMIT,
+    skip_uses_at: int = SKIP_USES,
+    ignore: frozenset[str] = frozenset(),
+    member_uses_depth: int = 0,
+) -> Walk:
+    """Breadth-first walk along the relations of a kind of diagram, with its limits.
+
+    ``links``: sym, relation, other, kind, path, ord; ``labels``: sym, label; ``names``: sym, pretty.  The node limit is
+    looked at when a symbol's turn comes, a neighbour at ``max_depth`` is not walked from, one whose name is in ``ignore``
+    gets no edge, and one of several edges of a pair keeps the first kind.  The limits bound what is met, so the walk keeps
+    its state on the driver and fetches one level's relations at a time.
+    """
+    steps, out = WALKS[mode], Walk()
+    queue = [(s, 0, frozenset(("sub", "super"))) for s in dict.fromkeys(seeds)]
+    out.nodes.update((s, 0) for s, _, _ in queue)
+    met = set(out.nodes)
+    while queue:
+        syms = [s for s, _, _ in queue]
+        by = _fetch(links, syms, [s.relation for s in steps], max(node_limit + 1, skip_uses_at))
+        others = sorted({r.other for rows in by.values() for r in rows})
+        told: dict[str, set[str]] = {}
+        if labels is not None:
+            for r in labels.where(F.col("sym").isin(syms + others)).distinct().collect():
+                told.setdefault(r.sym, set()).add(r.label)
+        ignored = {r.sym for r in names.where(F.col("sym").isin(others) & F.col("pretty").isin(sorted(ignore))).collect()} if ignore and names is not None else set()
+        following = []
+        for sym, depth, turns in queue:
+            if len(out.nodes) >= node_limit:
+                out.overloads.append({"kind": "NodeLimit", "sym": sym, "exist": len(out.nodes), "included": len(out.nodes), "local_limit": 0, "global_limit": node_limit})
+                return out
+            if depth and STOP.get(mode) in told.get(sym, ()):
+                continue
+            for step in steps:
+                if step.turn and step.turn not in turns or step.relation == "member_uses" and depth > member_uses_depth:
+                    continue
+                rows = by.get((sym, step.relation), [])
+                for r in _within_uses(sym, rows, skip_uses_at, out.overloads) if step.relation == "uses" else rows:
+                    badge = next((x.removeprefix(BADGE) for x in sorted(told.get(r.other, ())) if x.startswith(BADGE)), None)
+                    if step.relation == "supers" and badge is not None:
+                        out.badges.append((sym, badge))
+                        continue
+                    out.nodes.setdefault(r.other, depth + 1)
+                    if r.other in ignored or step.once and r.other in met:
+                        continue
+                    if step.edge:
+                        ends = (r.other, sym) if step.inward else (sym, r.other)
+                        out.edges.setdefault(ends, step.kind or r.kind)
+                    if r.other in met:
+                        continue
+                    met.add(r.other)
+                    if depth + 1 >= max_depth:
+                        out.overloads.append({"kind": step.limit, "sym": r.other, "exist": depth + 1, "included": depth + 1, "local_limit": max_depth, "global_limit": 0})
+                        continue
+                    following.append((r.other, depth + 1, frozenset((step.turn,)) if step.turn else frozenset(("sub", "super"))))
+                if rows and step.ends:
+                    break
+        queue = following
+    return out
+
+
+def edges_between(edges: list[tuple[str, str]], sources: set[str], targets: set[str], max_nodes: int, node_limit: int = PATH_NODE_LIMIT) -> list[tuple[str, str]]:
+    """The edges of simple paths of at most ``max_nodes`` nodes from a source to a target, in the order of their paths.
+
+    Looked at path by path: once ``node_limit`` nodes lie on paths no more are added.  A step that can no longer reach a
+    target in time is not tried.
+    """
+    after: dict[str, list[str]] = {}
+    before: dict[str, list[str]] = {}
+    for a, b in edges:
+        after.setdefault(a, []).append(b)
+        before.setdefault(b, []).append(a)
+    left, ring = dict.fromkeys(targets, 1), list(targets)
+    while ring:
+        ring = [p for n in ring for p in before.get(n, ()) if p not in left and left.setdefault(p, left[n] + 1)]
+    found: dict[tuple[str, str], None] = {}
+    on_path: set[str] = set()
+    for start in sorted(sources):
+        way, tries = [start], [iter(after.get(start, ()))]
+        while way:
+            step = next(tries[-1], None)
+            if step is None:
+                way.pop()
+                tries.pop()
+            elif step not in way and len(way) + left.get(step, max_nodes + 1) <= max_nodes:
+                way.append(step)
+                tries.append(iter(after.get(step, ())))
+                if step in targets:
+                    if len(on_path) >= node_limit:
+                        return list(found)
+                    on_path.update(way)
+                    found.update(dict.fromkeys(zip(way, way[1:])))
+    return list(found)
+
+
 def uses_edges(hits: DataFrame, skip_at: int = SKIP_USES) -> tuple[DataFrame, DataFrame]:
     """(edges caller -> sym, overloads) from use hits (sym, path, contextsym): a symbol used in too many paths is skipped."""
     count = hits.groupBy("sym").agg(F.countDistinct("path").alias("n_paths"))
@@ -107,7 +297,7 @@ def merge_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.min_by("kind", "ord").alias("kind"), F.count("*").alias("n_edges"))
 
 
-def expand_relations(seeds: DataFrame, relations: DataFrame, local_limit: int = LOCAL_LIMIT, global_limit: int = GLOBAL_LIMIT, max_rounds: int = 16) -> tuple[DataFrame, list[dict]]:
+def expand_relations(seeds: DataFrame, relations: DataFrame, local_limit: int = LOCAL_LIMIT, global_limit: int = GLOBAL_LIMIT) -> tuple[DataFrame, list[dict]]:
     """sym, relation, root, distance of the symbols that relations tie to the seeds, and the lists that were too long.
 
     ``relations`` holds (sym, relation, other): ``overrides`` and ``supers`` lead up, ``overriddenBy`` and ``subclasses``
@@ -132,9 +322,7 @@ def expand_relations(seeds: DataFrame, relations: DataFrame, local_limit: int =
     queue = [(r.sym, "Queried", r.sym, 0) for r in seeds.select("sym").orderBy("sym").collect()]
     met, rows, overloads = {q[0] for q in queue}, list(queue), []
     used = {"overriddenBy": 0, "subclasses": 0}
-    for _ in range(max_rounds):
-        if not queue:
-            break
+    while queue:
         around = relations.where(F.col("sym").isin(sorted({q[0] for q in queue})))
         listed = around.groupBy("sym", "relation").agg(F.count("*").alias("n"))
         fits = listed.where((F.col("n") <= local_limit) | F.col("relation").isin("overrides", "supers"))
@@ -183,14 +371,17 @@ def path_edges(paths: DataFrame) -> DataFrame:
     return steps.select("e.src", "e.dst").distinct()
 
 
-def closure(roots: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """root, sym, distance of everything reachable from each root, roots themselves at 0; cycles end."""
+def closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """root, sym, distance of everything reachable from each root, roots themselves at 0.
+
+    Rounds go on until nothing new is met, so chains of any length are whole and cycles end.
+    """
     found = frontier = cut_lineage(roots.select(F.col("sym").alias("root"), "sym", F.lit(0).alias("distance")).distinct())
-    for d in range(1, max_rounds + 1):
+    d = 0
+    while not frontier.isEmpty():
+        d += 1
         step = frontier.select("root", F.col("sym").alias("src")).join(edges.select("src", "dst"), "src").select("root", F.col("dst").alias("sym")).distinct()
         frontier = cut_lineage(step.join(found.select("root", "sym"), ["root", "sym"], "left_anti").withColumn("distance", F.lit(d)))
-        if frontier.isEmpty():
-            break
         found = found.unionByName(frontier)
     return found
 

@@ -4,48 +4,163 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLAME = "path string, rev long, lno int, orig_rev long, orig_lno int"
+from ..storage import cut_lineage
+from .graph import closure
+
+BLAME = "path string, rev long, lno int, orig_rev long, orig_lno int, orig_path string"
 
 
 def kept_lines(old: list[str], new: list[str]) -> list[tuple[int, int]]:
-    """(new line, old line), from 1, of the lines that a revision left as they were."""
-    blocks = difflib.SequenceMatcher(None, old, new, autojunk=False).get_matching_blocks()
-    return [(b.b + i + 1, b.a + i + 1) for b in blocks for i in range(b.size)]
+    """(new line, old line), from 1, of the lines that a revision left as they were.
+
+    Equal heads and tails are paired at once; only what lies between is matched block by block.
+    """
+    head, most = 0, min(len(old), len(new))
+    while head < most and old[head] == new[head]:
+        head += 1
+    tail = 0
+    while tail < most - head and old[-1 - tail] == new[-1 - tail]:
+        tail += 1
+    blocks = difflib.SequenceMatcher(None, old[head : len(old) - tail], new[head : len(new) - tail], autojunk=False).get_matching_blocks()
+    kept = [(i + 1, i + 1) for i in range(head)]
+    kept += [(head + b.b + i + 1, head + b.a + i + 1) for b in blocks for i in range(b.size)]
+    return kept + [(len(new) - i, len(old) - i) for i in reversed(range(tail))]
+
 
+@dataclass
+class Version:
+    """A file as one revision left it; ``parents`` are the revisions whose versions it was made from, the first one first."""
 
-def blame_file(revisions: list[tuple[int, str]]) -> Iterator[tuple[int, int, int, int]]:
-    """(rev, line, original rev, original line) over a file's revisions, oldest first: kept lines keep their origin."""
-    before: list[str] = []
-    origin: list[tuple[int, int]] = []
-    for rev, text in revisions:
-        lines = text.split("\n")
-        now = [(rev, i + 1) for i in range(len(lines))]
-        for new, old in kept_lines(before, lines):
-            now[new - 1] = origin[old - 1]
-        for i, (r, n) in enumerate(now):
-            yield rev, i + 1, r, n
-        before, origin = lines, now
+    rev: int
+    text: str
+    parents: list[int]
+    path: str = ""
 
 
-def blame(versions: DataFrame) -> DataFrame:
-    """path, rev, lno, orig_rev, orig_lno from versions (path, rev, text).
+def blame_versions(versions: list[Version], ignored: frozenset[int] = frozenset()) -> Iterator[tuple[int, int, int, int, str]]:
+    """(rev, line, original rev, original line, original path), parents before children.
 
-    A file's revisions must be folded in order, so they are one group: its size is one file's history, not the corpus.
+    A line is the revision's own unless a parent has it unchanged; of several parents the first counts.  A line that an
+    ignored revision wrote takes the blame of the line that stood there in its first parent.
     """
+    lines_of: dict[int, list[str]] = {}
+    blame_of: dict[int, list[tuple[int, int, str]]] = {}
+    for v in versions:
+        lines = v.text.split("\n")
+        now = [(v.rev, i + 1, v.path) for i in range(len(lines))]
+        parents = [p for p in v.parents if p in lines_of]
+        if v.rev in ignored and parents:
+            before = blame_of[parents[0]]
+            now = [before[i] if i < len(before) else own for i, own in enumerate(now)]
+        for p in reversed(parents):
+            for new, old in kept_lines(lines_of[p], lines):
+                now[new - 1] = blame_of[p][old - 1]
+        for i, (rev, lno, path) in enumerate(now):
+            yield v.rev, i + 1, rev, lno, path
+        lines_of[v.rev], blame_of[v.rev] = lines, now
+
+
+def blame(versions: DataFrame, ignored: DataFrame | None = None) -> DataFrame:
+    """path, rev, lno, orig_rev, orig_lno, orig_path from versions (path, rev, text, and parents and old_path if there).
+
+    ``rev`` numbers revisions, parents before children.  Without ``parents`` each version of a path follows the one
+    before.  ``old_path`` names the file that a renamed one went on from: its versions are folded with those of the new
+    name.  A file's revisions must be folded in order, so they are one group: its size is one file's history, not the
+    corpus.  ``ignored`` (rev): a configured list.
+    """
+    skip = frozenset(r.rev for r in ignored.select("rev").distinct().collect()) if ignored is not None else frozenset()
+    linear = "parents" not in versions.columns
+    none = F.lit(None)
+    rows = versions.select("path", "rev", "text", (none.cast("array<long>") if linear else F.col("parents").cast("array<long>")).alias("parents"), (F.col("old_path") if "old_path" in versions.columns else none.cast("string")).alias("old_path"))
+    renames = rows.where("old_path is not null").select(F.col("path").alias("src"), F.col("old_path").alias("dst")).distinct()
+    both = cut_lineage(renames.unionByName(renames.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    family = rows.withColumn("family", F.col("path"))
+    if not both.isEmpty():
+        first = closure(both.select(F.col("src").alias("sym")), both).groupBy(F.col("root").alias("path")).agg(F.min("sym").alias("first"))
+        family = rows.join(first, "path", "left").withColumn("family", F.coalesce("first", "path"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values("rev")
-        rows = list(blame_file(list(zip(ordered["rev"].tolist(), ordered["text"].tolist(), strict=True))))
-        out = pd.DataFrame(rows, columns=["rev", "lno", "orig_rev", "orig_lno"])
-        out.insert(0, "path", pdf["path"].iloc[0])
+        made, last = [], {}
+        ordered = pdf.sort_values("rev", kind="stable")
+        for r in ordered.itertuples():
+            came = r.old_path if isinstance(r.old_path, str) else r.path
+            parents = ([last[came]] if came in last else []) if linear else [int(x) for x in (r.parents if r.parents is not None else [])]
+            made.append(Version(int(r.rev), r.text if isinstance(r.text, str) else "", parents, r.path))
+            last[r.path] = int(r.rev)
+        path_of = {v.rev: v.path for v in made}
+        out = pd.DataFrame(blame_versions(made, skip), columns=["rev", "lno", "orig_rev", "orig_lno", "orig_path"])
+        out.insert(0, "path", out["rev"].map(path_of))
         return out
 
-    return versions.groupBy("path").applyInPandas(fold, BLAME)
+    return family.select("family", "path", "rev", "text", "parents", "old_path").groupBy("family").applyInPandas(fold, BLAME)
+
+
+def line_changes(pairs: DataFrame) -> DataFrame:
+    """key, old_lno, new_lno, text: every line of (key, old, new) text pairs, as a unified view of the whole file.
+
+    A removed line has no new number, an added one no old number.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for key, old, new in zip(pdf["key"], pdf["old"], pdf["new"], strict=True):
+                a, b = (old or "").split("\n"), (new or "").split("\n")
+                i = j = 1
+                for n, o in [*kept_lines(a, b), (len(b) + 1, len(a) + 1)]:
+                    rows += [(key, x, None, a[x - 1]) for x in range(i, o)] + [(key, None, x, b[x - 1]) for x in range(j, n)]
+                    if o <= len(a) and n <= len(b):
+                        rows.append((key, o, n, b[n - 1]))
+                    i, j = o + 1, n + 1
+            yield pd.DataFrame(rows, columns=["key", "old_lno", "new_lno", "text"]).astype({"old_lno": "Int32", "new_lno": "Int32"})
+
+    return pairs.select(F.col("key").cast("string"), "old", "new").mapInPandas(run, "key string, old_lno int, new_lno int, text string")
+
+
+def at_revision(versions: DataFrame, rev: int) -> DataFrame:
+    """path, rev, text of every file as it was at a revision: its last version up to then; a null text was removed."""
+    last = versions.where(F.col("rev") <= rev).groupBy("path").agg(F.max_by(F.struct("rev", "text"), "rev").alias("v"))
+    return last.select("path", "v.*").where("text is not null")
+
+
+#: Share of lines, in per cent, that a renamed file has in common with the old one, at least.
+RENAME_PERCENT = 30
+
+
+def renames(removed: DataFrame, added: DataFrame, percent: int = RENAME_PERCENT, common: int = 100) -> DataFrame:
+    """path, old_path, similarity of added files (rev, path, text) that go on from a file removed in the same revision.
+
+    Files are paired by equal lines; a line that more than ``common`` removed files of a revision have pairs nothing, but
+    counts for those paired.  Of several old files the most alike counts, then the first by path.
+    """
+
+    def lines(df, name):
+        each = df.select("rev", F.col("path").alias(name), F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''")
+        return each.groupBy("rev", name, "line").agg(F.count("*").alias("n"))
+
+    old, new = lines(removed, "old_path"), lines(added, "path")
+    often = old.groupBy("rev", "line").agg(F.count("*").alias("files")).where(F.col("files") <= common).select("rev", "line")
+    pairs = old.join(often, ["rev", "line"], "left_semi").select("rev", "line", "old_path").join(new.select("rev", "line", "path"), ["rev", "line"]).select("rev", "old_path", "path").distinct()
+    shared = pairs.join(old.withColumnRenamed("n", "n_old"), ["rev", "old_path"]).join(new.withColumnRenamed("n", "n_new"), ["rev", "path", "line"]).groupBy("rev", "path", "old_path").agg(F.sum(F.least("n_old", "n_new")).alias("same"))
+    sizes = [df.groupBy("rev", name).agg(F.sum("n").alias(f"of_{name}")) for df, name in ((old, "old_path"), (new, "path"))]
+    scored = shared.join(sizes[0], ["rev", "old_path"]).join(sizes[1], ["rev", "path"]).withColumn("similarity", (100 * F.col("same") / F.greatest("of_path", "of_old_path")).cast("int"))
+    best = scored.where(F.col("similarity") >= percent).groupBy("rev", "path").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "old_path")).alias("b"))
+    return best.select("rev", "path", F.col("b.old_path").alias("old_path"), (-F.col("b.s")).alias("similarity"))
+
+
+def map_counts(**maps: DataFrame) -> DataFrame:
+    """name, n: how many entries each map of a tree has."""
+    out = None
+    for name, df in maps.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def replace_changed(state: DataFrame, fresh: DataFrame, changed: DataFrame, key: str) -> DataFrame:
@@ -84,20 +199,35 @@ def ignored_revisions(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def canonical_authors(commits: DataFrame, mailmap: DataFrame) -> DataFrame:
-    """name and email by a map (old_name, old_email, name, email): an entry with both old parts beats one with the mail only."""
-    both = mailmap.where("old_name is not null").select("old_name", "old_email", F.col("name").alias("n2"), F.col("email").alias("e2"))
-    mail = mailmap.where("old_name is null").select(F.col("old_email").alias("m_email"), F.col("name").alias("n1"), F.col("email").alias("e1"))
-    joined = commits.join(both, (F.col("author_name") == F.col("old_name")) & (F.col("author_email") == F.col("old_email")), "left").join(mail, F.col("author_email") == F.col("m_email"), "left")
-    return joined.select(*commits.columns, F.coalesce("n2", "n1", "author_name").alias("name"), F.coalesce("e2", "e1", "author_email").alias("email"))
+    """name and email by a map (old_name, old_email, name, email) in which a null part is not given.
+
+    An entry with both old parts beats one with the old mail only; a part that an entry does not give stays.  The map is a
+    configured table, one entry for an old name and mail.
+    """
+    both = mailmap.where("old_name is not null").groupBy("old_name", "old_email").agg(F.max("name").alias("n2"), F.max("email").alias("e2"))
+    mail = mailmap.where("old_name is null").groupBy(F.col("old_email").alias("m_email")).agg(F.max("name").alias("n1"), F.max("email").alias("e1"))
+    joined = commits.join(both, (F.lower("author_name") == F.lower("old_name")) & (F.lower("author_email") == F.lower("old_email")), "left").join(mail, F.lower("author_email") == F.lower("m_email"), "left")
+    found = F.col("old_email").isNotNull()
+    name = F.when(found, F.coalesce("n2", "author_name")).otherwise(F.coalesce("n1", "author_name"))
+    email = F.when(found, F.coalesce("e2", "author_email")).otherwise(F.coalesce("e1", "author_email"))
+    return joined.select(*commits.columns, name.alias("name"), email.alias("email"))
+
 
+def map_to_fixpoint(paths: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """url, path: each prefix rewrite (``from_prefix`` to ``to_prefix``, longest first) until none fits.
 
-def map_to_fixpoint(paths: DataFrame, prefixes: DataFrame, max_rounds: int = 16) -> DataFrame:
-    """url, path: each prefix rewrite (``from_prefix`` to ``to_prefix``, longest first) until none fits."""
-    rows = paths.select("url", F.col("url").alias("path"))
+    Rewrites that come back to an earlier path stop there.  ``prefixes`` is a configured table.
+    """
     rules = sorted(((r.from_prefix, r.to_prefix) for r in prefixes.collect()), key=lambda r: len(r[0]))
     step = F.col("path")
     for old, new in rules:
         step = F.when(F.col("path").startswith(old), F.concat(F.lit(new), F.substring(F.col("path"), F.lit(len(old) + 1), F.char_length("path")))).otherwise(step)
-    for _ in range(max_rounds):
-        rows = rows.withColumn("path", step)
-    return rows
+    rows = cut_lineage(paths.select("url", F.col("url").alias("path"), F.array("url").alias("met")).withColumn("next", step))
+    done = None
+    while True:
+        moves = (F.col("next") != F.col("path")) & ~F.array_contains("met", F.col("next"))
+        ended = rows.where(~moves | F.col("next").isNull()).select("url", "path")
+        done = ended if done is None else done.unionByName(ended)
+        rows = cut_lineage(rows.where(moves).select("url", F.col("next").alias("path"), F.concat("met", F.array("next")).alias("met")).withColumn("next", step))
+        if rows.isEmpty():
+            return done

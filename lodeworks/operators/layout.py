@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut_lineage
+
 HOLES = "cls string, field string, offset long, hole long, end long"
 
 
@@ -46,18 +48,20 @@ def merged_rows(fields: DataFrame) -> DataFrame:
     return fields.groupBy("cls", "field").agg(F.floor(F.avg("line")).cast("long").alias("line"), F.floor(F.avg("bit_offset")).cast("long").alias("bit_offset"), F.bit_or(F.expr("shiftleft(1L, platform_ord)")).alias("platforms"))
 
 
-def with_bases(supers: DataFrame, max_depth: int = 16) -> DataFrame:
-    """cls, base, offset, depth: all base classes with summed offsets, from (cls, base, offset)."""
-    from .graph import cut_lineage
+def with_bases(supers: DataFrame) -> DataFrame:
+    """cls, base, offset, depth: all base classes with summed offsets, from (cls, base, offset), however deep.
 
-    found = frontier = cut_lineage(supers.select("cls", "base", "offset", F.lit(1).alias("depth")))
-    for depth in range(2, max_depth + 1):
-        up = supers.select(F.col("cls").alias("base"), F.col("base").alias("next"), F.col("offset").alias("more"))
-        frontier = cut_lineage(frontier.join(up, "base").where("next <> cls").select("cls", F.col("next").alias("base"), (F.col("offset") + F.col("more")).alias("offset"), F.lit(depth).alias("depth")))
-        if frontier.isEmpty():
-            break
+    A base that is met again on its own way up ends that way, so a cyclic hierarchy ends too.
+    """
+    frontier = cut_lineage(supers.select("cls", "base", "offset", F.lit(1).alias("depth"), F.array("cls", "base").alias("way")).where("cls <> base"))
+    found, depth = frontier, 1
+    up = supers.select(F.col("cls").alias("base"), F.col("base").alias("next"), F.col("offset").alias("more"))
+    while not frontier.isEmpty():
+        depth += 1
+        higher = frontier.join(up, "base").where(~F.array_contains("way", F.col("next")))
+        frontier = cut_lineage(higher.select("cls", F.col("next").alias("base"), (F.col("offset") + F.col("more")).alias("offset"), F.lit(depth).alias("depth"), F.concat("way", F.array("next")).alias("way")))
         found = found.unionByName(frontier)
-    return found
+    return found.drop("way")
 
 
 def table_rows(pdf: pd.DataFrame) -> list[str]:

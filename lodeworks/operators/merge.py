@@ -58,3 +58,27 @@ def per_platform(merged: DataFrame, key: str) -> DataFrame:
     forms = F.concat(F.array(F.struct(F.lit(0).alias("at"), "platforms", "form")), F.transform("variants", lambda v, i: F.struct((i + 1).alias("at"), v["platforms"].alias("platforms"), v["form"].alias("form"))))
     rows = merged.select(key, F.explode(forms).alias("f")).select(key, "f.at", F.explode(F.split("f.platforms", ",")).alias("platform"), F.col("f.form").alias("form"))
     return rows.groupBy(key, "platform").agg(F.min_by("form", "at").alias("form"))
+
+
+#: How sure a symbol of a source record is, the least sure first.
+CONFIDENCE = ["cppTemplateHeuristic", "concrete"]
+
+
+def merge_confidence(records: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, sym, confidence: of each symbol of a place (``syms`` beside ``confidence``, arrays) the surest there is."""
+    level = F.array_position(F.array(*map(F.lit, CONFIDENCE)), F.col("c"))
+    each = records.select(*keys, F.explode(F.arrays_zip("syms", "confidence")).alias("z")).select(*keys, F.col("z.syms").alias("sym"), F.col("z.confidence").alias("c"))
+    best = each.where("sym is not null").groupBy(*keys, "sym").agg(F.max(level).alias("level"))
+    return best.select(*keys, "sym", F.get(F.array(*map(F.lit, CONFIDENCE)), (F.col("level") - 1).cast("int")).alias("confidence"))
+
+
+def merge_expansions(records: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, expansion: the expansions of a place by name and platform, one map of JSON texts.
+
+    ``expansion`` is a map of a name to what it expands to.  A place whose records disagree on one kind of expansion
+    (``expansion_kind``) is an error of the inputs and raises where the row is read.
+    """
+    each = records.where("expansion is not null").select(*keys, "platform_ord", "expansion_kind", F.explode("expansion").alias("name", "to"))
+    agreed = F.when(F.min("expansion_kind") == F.max("expansion_kind"), F.lit(True)).otherwise(F.raise_error(F.lit("two kinds of expansions at one place")).cast("boolean"))
+    one = each.groupBy(*keys, "name").agg(F.max_by("to", "platform_ord").alias("to"), F.min("expansion_kind").alias("expansion_kind"))
+    return one.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "to")))).alias("expansion"), agreed.alias("agreed")).where("agreed").drop("agreed")

@@ -5,6 +5,10 @@ Each gives path, lno, col, kind, sym and pretty, as target records have them.
 
 from __future__ import annotations
 
+import posixpath
+import re
+import tomllib
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,3 +106,131 @@ def yaml_keys(files: DataFrame) -> DataFrame:
             yield pd.DataFrame([(p, *r) for p, t in zip(pdf["path"], pdf["text"], strict=True) for r in read(t or "")], columns=["path", "lno", "key", "last"])
 
     return files.select("path", "text").mapInPandas(run, "path string, lno int, key string, last int")
+
+
+_RECORD = "path string, lno int, col int, end int, kind string, pretty string, sym string"
+
+
+def _join_path(directory: str, name: str) -> str:
+    return posixpath.normpath(posixpath.join(directory, name))
+
+
+def _string_places(text: str, value: str, after: int) -> int:
+    """Where a quoted value stands next; -1 if it is not written out."""
+    found = [i for q in "\"'" if (i := text.find(q + value + q, after)) >= 0]
+    return min(found) + 1 if found else -1
+
+
+def _manifest_uses(path: str, text: str) -> list[tuple[str, int, int]]:
+    """(file, place, length) of the files that a test manifest names: its tables, ``include:`` ones too, and the values of
+    ``support-files`` and ``head``."""
+    tree = tomllib.loads(text)
+    directory, uses = posixpath.dirname(path), []
+
+    def told(value, at):
+        place = _string_places(text, value, at)
+        if place >= 0:
+            uses.append((_join_path(directory, value.removeprefix("include:")), place, len(value)))
+
+    def files(table, at):
+        for key in ("support-files", "head"):
+            if (m := re.compile(rf"^\s*{key}\s*=", re.M).search(text, at)) and key in table:
+                for v in table[key] if isinstance(table[key], list) else [table[key]]:
+                    if isinstance(v, str):
+                        told(v, m.end())
+
+    files(tree, 0)
+    for name, table in tree.items():
+        if isinstance(table, dict):
+            if (m := re.search(rf"^\s*\[\s*[\"']{re.escape(name)}[\"']\s*\]", text, re.M)) is not None:
+                told(name, m.start())
+            head = re.search(rf"^\s*\[\s*[\"']?{re.escape(name)}[\"']?\s*\]", text, re.M)
+            files(table, head.end() if head else 0)
+    return uses
+
+
+def manifest_files(files: DataFrame) -> DataFrame:
+    """Records of TOML manifests (path, text): the manifest's own file on line 1, and each file that it names.
+
+    A file that cannot be parsed gives no records.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for path, text in zip(pdf["path"], pdf["text"], strict=True):
+                try:
+                    uses = _manifest_uses(path, text or "")
+                except tomllib.TOMLDecodeError:
+                    continue
+                rows.append((path, 1, 0, 0, "def", path, file_sym(path)))
+                for name, at, n in uses:
+                    lno, col = text.count("\n", 0, at) + 1, at - text.rfind("\n", 0, at) - 1
+                    rows.append((path, lno, col, col + n, "use", name, file_sym(name)))
+            yield pd.DataFrame(rows, columns=["path", "lno", "col", "end", "kind", "pretty", "sym"])
+
+    return files.select("path", "text").mapInPandas(run, _RECORD)
+
+
+def file_sym(path: str) -> str:
+    return "FILE_" + re.sub(r"[^A-Za-z0-9_/]", lambda m: f"@{ord(m[0]):02X}", path)
+
+
+_IDL_INTERFACE = re.compile(r"(?P<attributes>\[[^\]]*\])?\s*interface\s+(?P<name>\w+)\s*(?::\s*(?P<base>\w+)\s*)?\{(?P<body>[^}]*)\}")
+_IDL_MEMBER = re.compile(r"(?:\[[^\]]*\]\s*)?(?:(?P<attribute>(?:readonly\s+)?attribute\s+[\w<>]+\s+(?P<a>\w+))|(?P<const>const\s+\w+\s+(?P<c>\w+)\s*=\s*[^;]+)|(?:[\w<>]+\s+(?P<m>\w+)\s*\([^)]*\)))\s*;")
+
+
+def interface_records(files: DataFrame) -> DataFrame:
+    """path, lno, interface, member, member_kind, scriptable, base of interface definitions and their members.
+
+    Comments are blanked first, so places stay.
+    """
+
+    def blank(m: re.Match) -> str:
+        return re.sub(r"[^\n]", " ", m[0])
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for path, text in zip(pdf["path"], pdf["text"], strict=True):
+                bare = re.sub(r"/\*.*?\*/|//[^\n]*", blank, text or "", flags=re.S)
+                for i in _IDL_INTERFACE.finditer(bare):
+                    line = lambda at: bare.count("\n", 0, at) + 1  # noqa: B023, E731
+                    scriptable = bool(re.search(r"\bscriptable\b", i["attributes"] or ""))
+                    rows.append((path, line(i.start("name")), i["name"], None, "interface", scriptable, i["base"]))
+                    for m in _IDL_MEMBER.finditer(i["body"]):
+                        name = m["a"] or m["c"] or m["m"]
+                        kind = "attribute" if m["a"] else "const" if m["c"] else "method"
+                        rows.append((path, line(i.start("body") + m.start(m.lastgroup if m.lastgroup in ("a", "c", "m") else 0)), i["name"], name, kind, scriptable, i["base"]))
+            yield pd.DataFrame(rows, columns=["path", "lno", "interface", "member", "member_kind", "scriptable", "base"])
+
+    return files.select("path", "text").mapInPandas(run, "path string, lno int, interface string, member string, member_kind string, scriptable boolean, base string")
+
+
+def interface_slots(members: DataFrame, symbols: DataFrame) -> DataFrame:
+    """sym, slot, other: the C++ symbols (sym, pretty) of an interface's methods and attributes, and its script names.
+
+    A method binds to ``Interface::Name``, an attribute to its getter and, unless it is read only, its setter; scripts see
+    members of scriptable interfaces by their plain name.
+    """
+    capital = F.concat(F.upper(F.substring("member", 1, 1)), F.substring("member", F.lit(2), F.char_length("member")))
+    names = F.when(F.col("member_kind") == "attribute", F.array(F.concat(F.lit("Get"), capital), F.concat(F.lit("Set"), capital))).when(F.col("member_kind") == "method", F.array(capital))
+    idl = F.concat_ws("::", F.lit("XPIDL"), "interface", "member")
+    native = members.where("member is not null").select(idl.alias("sym"), F.explode(names).alias("name"), "interface").select("sym", F.lit("native").alias("slot"), F.concat_ws("::", "interface", "name").alias("pretty"))
+    script = members.where("member is not null and scriptable").select(idl.alias("sym"), F.lit("script").alias("slot"), F.concat(F.lit("#"), "member").alias("other"))
+    return native.join(symbols.select(F.col("sym").alias("other"), "pretty"), "pretty").select("sym", "slot", "other").unionByName(script)
+
+
+def script_names(properties: DataFrame) -> DataFrame:
+    """Each property (object, name) bare, and with its object's name where that is known."""
+    both = F.filter(F.array(F.concat(F.lit("#"), "name"), F.concat("object", F.lit("#"), "name")), lambda s: s.isNotNull())
+    return properties.select("*", F.explode(both).alias("sym"))
+
+
+def page_scripts(pages: DataFrame) -> DataFrame:
+    """page_id, at, kind, value of pages (page_id, html): scripts, their addresses, and handlers in attributes, in order."""
+    whole = r"(?is)<script\b[^>]*>|\son[a-z]+\s*=\s*(?:\"[^\"]*\"|'[^']*')"
+    each = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(whole), F.lit(0))).alias("at", "m"))
+    source = F.regexp_extract("m", r"(?is)\ssrc\s*=\s*[\"']([^\"']*)[\"']", 1)
+    handler = F.regexp_extract("m", r"(?is)^\s(on[a-z]+)\s*=", 1)
+    return each.select("page_id", "at", F.when(handler != "", "handler").when(source != "", "source").otherwise("inline").alias("kind"), F.when(handler != "", F.lower(handler)).otherwise(source).alias("value"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Groups of a result in order (fixed order).
 PRESENTATION = ["IDL", "IDLPartial", "Definitions", "Declarations", "Assignments", "Uses", "TextualOccurrences"]
 _OF_KIND = {"idl": "IDL", "idlp": "IDLPartial", "def": "Definitions", "decl": "Declarations", "assign": "Assignments", "use": "Uses"}
+#: Kinds of hits that results show.
+KINDS_SHOWN = list(_OF_KIND)
 PATH_KINDS = ["normal", "thirdparty", "test", "generated"]
 LINE_CAP = 4000
 RELATED = 100
@@ -28,10 +30,10 @@ def semantic_results(hits: DataFrame) -> DataFrame:
 
 
 def compile_results(semantic: DataFrame, text: DataFrame) -> DataFrame:
-    """Semantic rows and those text hits whose line no semantic row has, each line once, as one ordered table.
+    """Semantic rows and those text hits whose line no semantic row has, each line once.
 
-    ``pos`` numbers the rows in order of kind of path, kind, rank, name, path and line.  Each row is numbered within its
-    own group (a file's lines of one kind) in parallel; groups are numbered after that, so no task holds all rows.
+    ``kind_ord`` orders the kinds; ``line_ord`` numbers the rows of a group, a file's lines of one kind and name, in
+    parallel.  ``presented`` puts the rows into the order of a result page.
     """
     taken = semantic.select("path", "lno").distinct()
     extra = text.select("path_kind", "path", "lno").distinct().join(taken, ["path", "lno"], "left_anti")
@@ -41,6 +43,11 @@ def compile_results(semantic: DataFrame, text: DataFrame) -> DataFrame:
     return rows.withColumn("kind_ord", kind_order(F.col("kind")).cast("int")).withColumn("line_ord", F.row_number().over(Window.partitionBy(*key).orderBy("l0", "l1")))
 
 
+def presented(rows: DataFrame) -> DataFrame:
+    """Compiled rows in order of kind of path, kind, rank, name, path and line."""
+    return rows.orderBy(F.array_position(F.array(*map(F.lit, PATH_KINDS)), F.col("path_kind")), "path_kind", "kind_ord", "rank", "pretty", "path", "line_ord")
+
+
 def with_context(spans: DataFrame, lines: DataFrame, before: int, after: int) -> DataFrame:
     """path, l0, lno, text: each span's lines with those around it, without running into the spans before and after."""
     w = Window.partitionBy("path").orderBy("l0", "l1")
@@ -56,7 +63,7 @@ def with_context(spans: DataFrame, lines: DataFrame, before: int, after: int) ->
 
 def relation_facet(rows: DataFrame) -> DataFrame:
     """How many results each relation to the query gives."""
-    label = F.when(F.col("relation") == "Queried", "Self").when(F.col("relation") == "OverrideOf", "Overridden By").when(F.col("relation") == "OverriddenBy", "Overrides").when(F.col("relation") == "CousinOverrideOf", "Cousin Overrides").otherwise(F.col("relation"))
+    label = F.when(F.col("relation") == "Queried", "Self").when(F.col("relation") == "OverrideOf", "Overriden By").when(F.col("relation") == "OverriddenBy", "Overrides").when(F.col("relation") == "CousinOverrideOf", "Cousin Overrides").otherwise(F.col("relation"))
     return rows.groupBy(label.alias("facet")).agg(F.count("*").alias("n"))
 
 

@@ -33,11 +33,17 @@ def query(sql: str | None = None):
     return register
 
 
+def _all_registered() -> None:
+    from . import catalogue_graph, catalogue_records  # noqa: F401  they register on import
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all_registered()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all_registered()
     return dict(_sql)
 
 
@@ -53,10 +59,11 @@ _PATH = "lang || '/' || source || '/' || doc_id || '.txt'"
 _LINES = f"SELECT {_PATH} AS path, doc_id, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT AS lno, unnest(string_split(text, chr(10))) AS text FROM documents"
 _TOKENS = f"""
 lines AS ({_LINES}),
-words AS (SELECT path, doc_id, lno, text AS line, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]+'))) AS word FROM lines),
-tokens AS (SELECT path, doc_id, lno, strpos(line, word) - 1 AS col, lower(word) AS token FROM words),
+chars AS (SELECT path, doc_id, lno, text AS line, unnest(range(1, length(text) + 1)) AS at FROM lines WHERE regexp_matches(text, '[A-Za-z]')),
+tokens AS (SELECT path, doc_id, lno, at - 1 AS col, lower(regexp_extract(substr(line, at), '^[A-Za-z]+')) AS token FROM chars
+  WHERE regexp_matches(substr(line, at, 1), '[A-Za-z]') AND (at = 1 OR NOT regexp_matches(substr(line, at - 1, 1), '[A-Za-z]'))),
 targets AS (SELECT path, doc_id, lno, col::BIGINT AS col, 'W_' || token AS sym, token AS pretty,
-  CASE WHEN row_number() OVER (PARTITION BY path, token ORDER BY lno, col) = 1 THEN 'def' ELSE 'use' END AS kind FROM tokens WHERE starts_with(token, 'th'))
+  CASE WHEN row_number() OVER (PARTITION BY path, token ORDER BY lno, col) = 1 THEN 'def' ELSE 'use' END AS kind FROM tokens)
 """
 _KIND = """CASE WHEN starts_with(path, 'de/') THEN 'third_party' WHEN list_contains(string_split(path, '/'), 'src3') OR list_contains(string_split(path, '/'), 'src4')
  OR suffix(string_split(path, '/')[2], '7') THEN 'test' WHEN starts_with(path, 'es/') THEN 'generated' ELSE 'normal' END"""
@@ -481,7 +488,7 @@ def expand_relations(spark, sf_dir):
     return rows.select("sym", "relation", "root", *_long("distance"))
 
 
-_WAYS = f"""s AS ({_SUPERS}), e AS (SELECT sym AS a, super AS b FROM s WHERE sym LIKE 'N%' OR sym IN ('S1', 'S2', 'S3', 'S4') UNION SELECT super, sym FROM s WHERE sym LIKE 'N%' OR sym IN ('S1', 'S2', 'S3', 'S4')),
+_WAYS = f"""s AS ({_SUPERS}), e AS (SELECT sym AS a, super AS b FROM s UNION SELECT super, sym FROM s),
  ways(src, path) AS (SELECT unnest(['S1', 'S2']), [unnest(['S1', 'S2'])] UNION ALL SELECT src, list_append(path, b) FROM ways JOIN e ON a = path[-1] WHERE len(path) < 6 AND NOT list_contains(path, b)),
  found AS (SELECT src, path[-1] AS dst, array_to_string(path, '>') AS path, len(path)::BIGINT AS n_nodes FROM ways WHERE path[-1] IN ('S3', 'S4') AND len(path) > 1)"""
 
@@ -558,7 +565,7 @@ def facet_path_counts(spark, sf_dir):
     return results.path_counts(files(spark, sf_dir))
 
 
-@query("""WITH l AS (SELECT o_custkey AS k, o_orderpriority AS p FROM orders WHERE o_orderkey % 3 = 0), r AS (SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderkey % 2 = 0)
+@query("""WITH l AS (SELECT o_custkey AS k, o_orderpriority AS p FROM orders WHERE o_orderstatus IS NOT DISTINCT FROM 'F'), r AS (SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus IS DISTINCT FROM 'F')
  SELECT k, p, 'left' AS side FROM (FROM l EXCEPT ALL FROM r) UNION ALL SELECT o_custkey, o_orderpriority, 'right' FROM (FROM r EXCEPT ALL FROM l)""")
 def result_difference(spark, sf_dir):
     """Finished orders against all others: every order is on one side, one without a status on the right."""
@@ -629,7 +636,7 @@ def layout_end_padding(spark, sf_dir):
     return layout.end_padding(fields, fields.groupBy("cls").agg((F.count("*") * 40).alias("size_bytes")))
 
 
-_PLATFORM_FIELDS = "SELECT DISTINCT l_partkey AS cls, l_returnflag AS platform, l_linenumber AS field FROM lineitem WHERE l_linenumber < 3"
+_PLATFORM_FIELDS = "SELECT DISTINCT l_partkey AS cls, l_returnflag AS platform, l_linenumber AS field FROM lineitem"
 
 
 def _platform_fields(spark, sf_dir):

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graph, lookup, results
-from .language import GROUPS, JUNCTIONS, Command, Plan, QueryError, compile_query
+from ..functions.names import split_name
+from ..functions.paths import escape_regex, glob_to_regex
+from ..operators import graph, layout, legacy, lookup, results
+from .language import GROUPS, JUNCTIONS, Command, Plan, QueryError, compile_query, parse_legacy, too_short
 
 
 @dataclass
@@ -16,7 +19,9 @@ class Index:
     """What queries run over.
 
     files: path, path_kind, file_size; lines: path, lno, text; identifiers: id, id_upper, sym; hits: sym, kind, path,
-    path_kind, lno; names: sym, pretty; relations: sym, relation, other; edges: src, dst, kind, ord, by edge name.
+    path_kind, lno; names: sym, pretty; relations: sym, relation, other; edges: src, dst, kind, ord, by edge name;
+    links: sym, relation, other, kind, path, ord, what graph walks follow; labels: sym, label; methods: sym, method;
+    fields: cls, field, offset, size, bit_begin, bit_width of class layouts.
     """
 
     files: DataFrame
@@ -26,6 +31,10 @@ class Index:
     names: DataFrame
     relations: DataFrame | None = None
     edges: dict[str, DataFrame] | None = None
+    links: DataFrame | None = None
+    labels: DataFrame | None = None
+    methods: DataFrame | None = None
+    fields: DataFrame | None = None
 
 
 def _search(index: Index, commands: list[Command]) -> DataFrame | None:
@@ -40,7 +49,14 @@ def _search(index: Index, commands: list[Command]) -> DataFrame | None:
         elif c.name == "crossref-lookup":
             if found is None:
                 found = index.names.where(F.col("sym").isin(c.positional)).select("sym", F.lit(0).alias("rank"), F.lit("").alias("from_ident"))
-            found, _ = lookup.crossref_lookup(found, index.names, "exact-match" in c.bools)
+                if c.positional and "exact-match" in c.bools:
+                    found = found.join(index.names.select("sym", F.col("pretty").alias("p")), "sym").select("sym", "rank", F.col("p").alias("from_ident"))
+            if "methods" in c.bools and index.methods is not None:
+                own = found.join(index.methods, "sym").select(F.col("method").alias("sym"), "rank", "from_ident")
+                found = found.join(index.methods.select("sym"), "sym", "left_anti").select("sym", "rank", "from_ident").unionByName(own)
+                found, _ = lookup.crossref_lookup(found, index.names)
+            else:
+                found, _ = lookup.crossref_lookup(found, index.names, "exact-match" in c.bools)
             found = found.withColumn("relation", F.lit("Queried"))
         elif c.name == "crossref-expand" and index.relations is not None and found is not None:
             more, _ = graph.expand_relations(found, index.relations)
@@ -81,15 +97,13 @@ def _group(index: Index, name: str, commands: list[Command], given: DataFrame |
     if name.startswith(("semantic-search", "semantic-lookup", "graph-symbols")):
         return _search(index, commands)
     if name == "graph-traverse":
-        c = commands[0]
-        edges = (index.edges or {}).get(c.named["edge"][0] if "edge" in c.named else "callees")
-        if edges is None or given is None:
-            raise QueryError("the index has no such edges")
-        depth = _int(c, "max-depth", graph.MAX_DEPTH) or graph.MAX_DEPTH
-        if "paths-between" in c.bools:
-            ends = given.where("flags <> 1")
-            return graph.path_edges(graph.paths_between(given.where("flags <> 2"), ends, edges, depth + 2))
-        return graph.traverse(given, edges, depth)[1].select("src", "dst").distinct()
+        if given is None:
+            raise QueryError("the query names no symbol to walk from")
+        return _traverse(index, commands[0], given)
+    if name == "graph-render":
+        return _render(index, next(c for c in commands if c.name == "graph"), given)
+    if name == "semantic-format":
+        return _format(index, next((c for c in commands if c.name == "format-symbols"), Command("format-symbols")), given)
     if name == "display" and given is not None and commands and "before" in commands[0].named:
         before, after = _int(commands[0], "before", 0), _int(commands[0], "after", 0)
         shown = results.with_context(given.where("l0 > 0"), index.lines, before, after)
@@ -97,6 +111,110 @@ def _group(index: Index, name: str, commands: list[Command], given: DataFrame |
     return given
 
 
+def _names(text: str) -> list[str]:
+    return [x.strip() for x in text.split(",") if x.strip()]
+
+
+def _value(command: Command, name: str, default: str = "") -> str:
+    return command.named[name][0] if name in command.named else default
+
+
+def _traverse(index: Index, c: Command, given: DataFrame) -> DataFrame:
+    """src, dst, kind: the edges of a walk under the command's limits."""
+    mode, between = _value(c, "edge", "callees"), "paths-between" in c.bools
+    limit = _int(c, "paths-between-node-limit", graph.PATH_NODE_LIMIT) if between else _int(c, "node-limit", graph.NODE_LIMIT)
+    depth = _int(c, "max-depth", graph.MAX_DEPTH) or graph.MAX_DEPTH
+    # More seeds than the limit on nodes would stop the walk at its first step.
+    seeds = given.groupBy("sym").agg(F.min("flags").alias("least"), F.max("flags").alias("most")).orderBy("sym").limit(limit + 1).collect()
+    sources, targets = {r.sym for r in seeds if r.least < 2}, {r.sym for r in seeds if r.least != 1 or r.most != 1}
+    schema = "src string, dst string, kind string"
+    spark = index.names.sparkSession
+    if index.links is None:
+        edges = (index.edges or {}).get(mode)
+        if edges is None:
+            raise QueryError("the index has no such edges")
+        if between:
+            ends = given.where("flags <> 1")
+            return graph.path_edges(graph.paths_between(given.where("flags <> 2"), ends, edges, depth + 2)).withColumn("kind", F.lit("default"))
+        return graph.traverse(given, edges, depth)[1].select("src", "dst", "kind").distinct()
+    met = graph.walk(
+        [r.sym for r in seeds if r.sym in targets],
+        index.links,
+        mode,
+        index.labels,
+        index.names,
+        max_depth=depth,
+        node_limit=limit,
+        skip_uses_at=_int(c, "skip-uses-at-path-count", graph.SKIP_USES),
+        ignore=frozenset(_names(_value(c, "ignore-nodes"))),
+        member_uses_depth=_int(c, "traverse-field-member-uses", 0),
+    )
+    kept = list(met.edges)
+    if between:
+        kept = graph.edges_between(kept, sources, targets, depth, limit)
+    return spark.createDataFrame([(a, b, met.edges[a, b]) for a, b in kept], schema)
+
+
+def _render(index: Index, c: Command, given: DataFrame) -> DataFrame:
+    """The graph's edges, or one row with its text in a format; ``hier`` adds the tree that names span."""
+    form = _value(c, "format", "bundle")
+    if form not in ("bundle", "json", "dot"):
+        raise QueryError(f"graph format {form} is drawn by the client")
+    if form == "bundle" and "hier" not in c.named:
+        return given
+    edges = [(r.src, r.dst, r.kind) for r in given.limit(graph.PATH_NODE_LIMIT * graph.MAX_DEPTH).collect()]
+    syms = sorted({s for a, b, _ in edges for s in (a, b)})
+    pretty = {r.sym: r.pretty for r in index.names.where(F.col("sym").isin(syms)).collect()}
+    if form == "dot":
+        text = graph.to_dot(edges, pretty, tuple(_names(_value(c, "colorize-callees"))))
+    else:
+        whole = {"graph": graph.to_json(edges), "pretty": {s: pretty.get(s, s) for s in syms}}
+        if _value(c, "hier", "flat") != "flat":
+            whole["tree"] = graph.hierarchy([(s, split_name(pretty.get(s, s), s)[0]) for s in syms])
+        text = json.dumps(whole, sort_keys=True)
+    return index.names.sparkSession.createDataFrame([(form, text)], "format string, text string")
+
+
+def _format(index: Index, c: Command, given: DataFrame) -> DataFrame:
+    """The fields of the symbols' classes with the holes between them; columns as asked for."""
+    if _value(c, "mode") != "field-layout" or index.fields is None:
+        return given
+    rows = layout.holes(index.fields.join(given.select(F.col("sym").alias("cls")).distinct(), "cls", "left_semi"))
+    shown, hidden = _names(_value(c, "show-cols")), _names(_value(c, "hide-cols"))
+    return rows.select(*[x for x in rows.columns if x == "cls" or (not shown or x in shown) and x not in hidden])
+
+
+def run_legacy(index: Index, query: str) -> DataFrame:
+    """The older search: path_kind, kind, pretty, path, lno of one page, each line once.
+
+    A query of parts that are all too short gives nothing.
+    """
+    terms = parse_legacy(query)
+    empty = index.hits.where("false").select("path_kind", "kind", F.lit(0).alias("rank"), F.lit("").alias("pretty"), "path", "lno")
+    path = terms["pathre"] if "pathre" in terms else glob_to_regex(terms["path"]) if "path" in terms else None
+    words = {k: v for k, v in terms.items() if k in ("id", "default", "symbol", "re", "text")}
+    if not words or too_short(words):
+        return results.legacy_compile(empty)
+    rows = empty
+    needle = terms.get("id") or terms.get("default")
+    if "symbol" in terms:
+        found = index.names.where(F.col("sym").isin(_names(terms["symbol"])))
+    elif needle:
+        ids = lookup.search_identifiers(index.identifiers, [needle], exact="id" in terms, limit=legacy.IDENTIFIERS)
+        found = ids.groupBy("sym").agg(F.min("rank").alias("rank")).join(index.names, "sym")
+    if "symbol" in terms or needle:
+        hits = index.hits.join(found.select("sym", "pretty"), "sym").where(F.col("kind").isin(*results.KINDS_SHOWN))
+        rows = rows.unionByName(hits.select("path_kind", results.presentation(F.col("kind")).alias("kind"), F.lit(0).alias("rank"), "pretty", "path", "lno"))
+    pattern = terms.get("re") or escape_regex(terms.get("text") or terms.get("default") or "")
+    if pattern and "id" not in terms and "symbol" not in terms:
+        text = lookup.search_text(index.lines, pattern).join(index.files.select("path", "path_kind"), "path")
+        rows = rows.unionByName(text.select("path_kind", F.lit("TextualOccurrences").alias("kind"), F.lit(0).alias("rank"), F.lit("").alias("pretty"), "path", "lno"))
+    if "default" in terms:
+        named = lookup.search_files(index.files, regex=f"(?iu){escape_regex(terms['default'])}").select("path_kind", F.lit("Files").alias("kind"), F.lit(0).alias("rank"), F.lit("").alias("pretty"), "path", F.lit(0).alias("lno"))
+        rows = named.unionByName(rows)
+    return results.legacy_compile(rows if path is None else rows.where(F.col("path").rlike(f"(?iu){path}")))
+
+
 def _compile(index: Index, parts: dict[str, DataFrame]) -> DataFrame:
     """Files, semantic hits and text hits in one table."""
     empty = index.hits.where("false")
@@ -110,4 +228,4 @@ def _compile(index: Index, parts: dict[str, DataFrame]) -> DataFrame:
     if "file-search" in parts:
         found = parts["file-search"].select("path_kind", F.lit("Files").alias("kind"), F.lit(0).alias("rank"), F.lit("").alias("pretty"), "path", F.lit(0).alias("l0"), F.lit(0).alias("l1"), F.lit(-1).alias("kind_ord"), F.lit(1).alias("line_ord"))
         rows = found.unionByName(rows)
-    return rows
+    return results.presented(rows)

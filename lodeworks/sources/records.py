@@ -32,6 +32,31 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return parse_records(lines)
 
 
+def existing_path(spark: SparkSession, path: str) -> str:
+    """``path`` with ``.gz`` if such a file is there, else ``path``; Spark unpacks by the ending."""
+    jvm = spark.sparkContext._jvm
+    packed = jvm.org.apache.hadoop.fs.Path(f"{path}.gz")
+    return f"{path}.gz" if packed.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(packed) else path
+
+
+def read_headed(spark: SparkSession, path: str, header: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(headers, rows) of NDJSON files whose first line is a record of its own: file and the columns of each schema."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("value"), F.min("at").alias("first"))
+    heads = first.select("file", F.from_json("value", header).alias("r")).select("file", "r.*")
+    rest = lines.join(first.select("file", "first"), "file").where("at <> first")
+    return heads, rest.select("file", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).where("r is not null").select("file", "r.*")
+
+
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A TOML or JSON configuration, read through Spark so that it may lie in any store; it is small and stays here."""
+    import json
+    import tomllib
+
+    text = spark.read.text(path, wholetext=True).first().value
+    return json.loads(text) if path.endswith(".json") else tomllib.loads(text)
+
+
 def parse_records(lines: DataFrame) -> DataFrame:
     """``lines`` (file, ord, value) as typed records; a line that is no JSON object, or bears no tag, is dropped."""
     parsed = lines.select("file", "ord", F.col("value").alias("raw"), F.from_json("value", RECORD, {"mode": "PERMISSIVE"}).alias("r"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import placed
+
 #: Characters of a line that results show.
 SHOWN = 100
 #: A line of more bytes is left out of text search.
@@ -35,11 +37,11 @@ def shown(text: Column) -> tuple[Column, Column]:
 
 
 def tokens(documents: DataFrame, dealt: bool = False) -> DataFrame:
-    """path, doc_id, lno, col, token for every word of letters, lower-cased: documents as if they were source code.
+    """path, doc_id, lno, col, token for every place of every word of letters, lower-cased: documents as source code.
 
-    The column is where the token's line has it for the first time.  ``dealt``: rows are dealt by path.
+    ``dealt``: rows are dealt by path.
     """
     named = documents.select("doc_id", document_path().alias("path"), "text")
     split = (named.repartition("path") if dealt else named).select("doc_id", "path", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    words = split.select("doc_id", "path", (F.col("at") + 1).alias("lno"), "line", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit("([A-Za-z]+)"), F.lit(1)))).alias("word"))
-    return words.select("doc_id", "path", "lno", F.expr("locate(word, line) - 1").alias("col"), F.lower("word").alias("token"))
+    words = split.select("doc_id", "path", (F.col("at") + 1).alias("lno"), F.explode(placed(F.col("line"), "[A-Za-z]+")).alias("w"))
+    return words.select("doc_id", "path", "lno", F.col("w.s").alias("col"), F.lower("w.x").alias("token"))
