@@ -1,7 +1,7 @@
 """Shared pieces of the training-data operators: shared-folder tables, Arrow text buffers and 64-bit text hashes.
 
 Intermediate tables are written as Parquet below ``spark.checkpoint.dir``, which all executors share, so a lost
-executor never loses them.  Only a session that sets no such folder (a local test) gets ``LOCAL_DIR``.
+executor never loses them.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-LOCAL_DIR = "/tmp/checkpoints/lodeworks"
+from ..storage import shared_dir
+
 #: Rows in one Arrow batch.  Texts average a few KB, so a batch is a few MB; a very long text only makes its own batch long.
 BATCH_ROWS = 512
 #: Bytes in one Arrow batch, about; a single longer row is its own batch.
@@ -34,30 +35,39 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR
-
-
 class Scratch:
     """Tables written once in the shared folder and read back: lineage ends there, and a lost executor costs one reread."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.base = spark, f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-        self.count = 0
+        self.saved: list[str] = []
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
-        self.count += 1
-        path = f"{self.base}/{name}-{self.count}"
+        path = f"{self.base}/{name}-{len(self.saved)}"
+        self.saved.append(path)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
 
+    def kept(self, df: DataFrame, *columns: str) -> DataFrame:
+        """Some columns of a saved table, which can be freed like it."""
+        out = df.select(*columns)
+        out.scratch_path = df.scratch_path
+        return out
+
     def drop(self, df: DataFrame) -> None:
         """Free a table that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(df.scratch_path)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Free all tables but these, once nothing else that is still to be read rests on others."""
+        for path in set(self.saved) - {t.scratch_path for t in tables}:
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def passed_through(docs: DataFrame, run) -> DataFrame:

@@ -5,7 +5,7 @@
 3. Shingles get one global order, the seldom ones first.  Two sets that overlap by the threshold share one of their first
    few shingles in any such order (prefix filter), so grouping by these loses no pair.
 4. Each group of a shingle is cut into tiles of representatives sorted by set size.  First each member is tried against the
-   smallest set only; members of one component need no further trial against each other.
+   smallest set of at most two of its groups; members of one component need no further trial against each other.
 5. What is left, members of different components within a shingle's tile or in two tiles of one shingle, is compared by
    hashed bitmap signatures whose length follows the set's size band: a set bit that the other lacks witnesses a shingle
    that the other lacks, so bit counts bound the overlap from above.  Size bands that cannot reach the threshold are skipped.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import BATCH_BYTES, Scratch, partitions, released, small_batches
-from .components import connect
+from .components import connect, find, join, together
 from .shared_grams import bitmap, prefixes, set_digest, survivors, text_sets
 
 WIDTH = 5
@@ -67,22 +67,6 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return bool(enough(int((y[np.minimum(at, len(y) - 1)] == x).sum()), len(x), len(y), percent))
 
 
-def find(root: dict[int, int], x: int) -> int:
-    while (up := root.get(x, x)) != x:
-        root[x] = root.get(up, up)
-        x = up
-    return x
-
-
-def together(pairs) -> list[tuple[int, int]]:
-    """What pairs join, as stars: (smallest, other) for every member of a cluster of several."""
-    root: dict[int, int] = {}
-    for a, b in pairs:
-        if (x := find(root, a)) != (y := find(root, b)):
-            root[max(x, y)] = min(x, y)
-    return [(find(root, m), m) for m in root]
-
-
 def enough(common, n_a, n_b, percent: int):
     return 100 * common >= percent * (n_a + n_b - common)
 
@@ -217,8 +201,7 @@ def unit_links(reps: list[int], labels: list[int], minor: list[bool], sets: list
         at = np.repeat(first - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
         common = np.bincount(owner[at], minlength=len(sets))
         for j in np.flatnonzero(enough(common, n[i], n, percent) & (label != label[i])).tolist():
-            if (x := find(root, labels[i])) != (y := find(root, labels[j])):
-                root[max(x, y)] = min(x, y)
+            if join(root, labels[i], labels[j]):
                 out.append((min(reps[i], reps[j]), max(reps[i], reps[j])))
     return out
 
@@ -241,10 +224,11 @@ def _settled(docs: DataFrame, edges: DataFrame, labels: DataFrame, firsts: DataF
     blocks = blocks.select("cluster", "major", *[F.when(F.col("size") <= 1, 0).otherwise(F.col(c)).alias(c) for c in ("minors", "majors")])
     told = rows.join(blocks, "cluster").withColumn("minor", F.col("label") != F.col("major"))
     told = told.withColumn("block", F.when(F.col("minor"), F.pmod(F.xxhash64("rep"), F.greatest("minors", F.lit(1)))).otherwise(F.pmod(F.xxhash64("rep"), F.greatest("majors", F.lit(1)))))
-    every = F.sequence(F.lit(0), F.col("minors") - 1)
-    with_minor = F.transform(every, lambda m: F.xxhash64("cluster", F.least(m, F.col("block")), F.greatest(m, F.col("block")), F.lit("minor")))
-    with_major = F.transform(F.sequence(F.lit(0), F.col("majors") - 1), lambda m: F.xxhash64("cluster", F.col("block"), m, F.lit("major")))
-    of_major = F.transform(every, lambda m: F.xxhash64("cluster", m, F.col("block"), F.lit("major")))
+    minors, majors = (F.sequence(F.lit(0).cast("long"), F.col(c).cast("long") - 1) for c in ("minors", "majors"))
+    own = F.col("block").cast("long")  # of one type with the others: numbers of different types hash differently
+    with_minor = F.transform(minors, lambda m: F.xxhash64("cluster", F.least(m, own), F.greatest(m, own), F.lit("minor")))
+    with_major = F.transform(majors, lambda m: F.xxhash64("cluster", own, m, F.lit("major")))
+    of_major = F.transform(minors, lambda m: F.xxhash64("cluster", m, own, F.lit("major")))
     units = F.when(F.col("minors") == 0, F.array(F.xxhash64("cluster"))).when(F.col("minor"), F.concat(with_minor, with_major)).otherwise(of_major)
     members = scratch.save(told.select(F.explode(F.array_distinct(units)).alias("unit"), "rep", "label", "minor"), "members")
     dealt = _arrays(docs, members, width).repartition(partitions(docs.sparkSession), "unit").sortWithinPartitions("unit", "rep")
@@ -292,8 +276,8 @@ def _exact(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, width: int, per
                     unit, held, root = k, {}, {}
                 if kind == 0:  # a doc_id with several texts keeps all their sets
                     held.setdefault(a, []).append(np.frombuffer(hashes.as_buffer(), np.uint64).copy())
-                elif (x := find(root, a)) != (y := find(root, b)) and any(linked(s, t, percent) for s in held.get(a, ()) for t in held.get(b, ())):
-                    root[max(x, y)] = min(x, y)
+                elif find(root, a) != find(root, b) and any(linked(s, t, percent) for s in held.get(a, ()) for t in held.get(b, ())):
+                    join(root, a, b)
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], schema=out)
 
@@ -364,7 +348,7 @@ def _between(tiles: DataFrame, firsts: DataFrame, labels: DataFrame, percent: in
     are tried once.  The tiles of a shingle that has several are dealt over more tasks the more there are.
     """
     told = F.monotonically_increasing_id()
-    lone = tiles.where("not several and size(reps) > 2").select("reps", "low").distinct().withColumn("tile", told).withColumn("shingle", -1 - F.col("tile"))
+    lone = tiles.where("not several").select("reps", "low").distinct().withColumn("tile", told).withColumn("shingle", -1 - F.col("tile"))
     numbered = scratch.save(lone.unionByName(tiles.where("several").select("reps", "low", "shingle").withColumn("tile", told)), "tiles")
     members = numbered.select("shingle", "tile", F.explode(F.arrays_zip("reps", "low")).alias("m")).select("shingle", "tile", F.col("m.reps").alias("rep"), F.col("m.low").cast("int").alias("low")).join(labels, "rep")
     # Shingles are at hand in many tasks; only each task's least and largest label of a shingle is dealt.
@@ -381,7 +365,11 @@ def _between(tiles: DataFrame, firsts: DataFrame, labels: DataFrame, percent: in
 
     def run(batches):
         for batch in released(batches):
-            found = together(p for k in range(batch.num_rows) for p in bounded_pairs(*(batch.column(i)[k].as_py() for i in (0, 1)), percent))
+            root: dict[int, int] = {}
+            for k in range(batch.num_rows):
+                for a, b in bounded_pairs(*(batch.column(i)[k].as_py() for i in (0, 1)), percent):
+                    join(root, a, b)
+            found = together(root)
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], schema=out)
 
     return scratch.save(within.unionByName(across).mapInArrow(run, "a long, b long").distinct(), "rest")
@@ -405,7 +393,10 @@ def _labelled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
     member = F.explode(F.arrays_zip("reps", "sizes")).alias("m")
     stars = tiles.select(F.get(low, F.lit(0)).alias("c"), member).unionByName(tiles.where("several").join(cut, "shingle").select(F.col("first").alias("c"), member))
     reach = F.least("c.sizes", "m.sizes") * 100 >= F.greatest("c.sizes", "m.sizes") * percent
-    tried = stars.where(F.col("c").isNotNull() & (F.col("c.reps") != F.col("m.reps")) & reach).select(F.least("c.reps", "m.reps").alias("a"), F.greatest("c.reps", "m.reps").alias("b")).distinct()
+    met = stars.where(F.col("c").isNotNull() & (F.col("c.reps") != F.col("m.reps")) & reach).groupBy(F.col("m.reps").alias("m"), F.col("c.reps").alias("c")).agg(F.count("*").alias("n"))
+    # Two trials a set are enough here: what they leave apart is tried against all that it shares a shingle with below.
+    first_two = met.groupBy("m").agg(F.max_by("c", F.struct("n", -F.col("c"))).alias("most"), F.min("c").alias("least")).select("m", F.explode(F.array_distinct(F.array("most", "least"))).alias("c"))
+    tried = first_two.select(F.least("c", "m").alias("a"), F.greatest("c", "m").alias("b")).distinct()
     near = scratch.save(_bounded(tried, firsts, percent), "near")
     links = _exact(docs, near, firsts, width, percent, scratch)
     reps = firsts.select("rep").distinct()
@@ -414,6 +405,7 @@ def _labelled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
     if not rest.isEmpty():
         labels = connect(scratch, reps, links.unionByName(_settled(docs, rest, labels, firsts, width, percent, scratch)))
     of_set = scratch.save(copies.join(labels, "rep", "left").select("n", "d1", "d2", F.coalesce("label", "rep").alias("label")), "of-set")
+    scratch.keep(digest, of_set)
     return digest.select("doc_id", "n", "d1", "d2"), of_set
 
 

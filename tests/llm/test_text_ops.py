@@ -274,16 +274,17 @@ def test_join_equals_sql(spark, sf_dir):
 
 @pytest.mark.parametrize("tile", [3, 256])
 def test_join_brute_force(spark, monkeypatch, tile):
-    """Copies, near copies in chains, shared passages; small tiles send large groups over several."""
+    """Copies, near copies in chains, shared passages; small tiles and units send large groups over several."""
     monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "UNIT_SETS", tile + 1)
     rng = random.Random(11)
     vocabulary = [f"w{i}" for i in range(400)]
     passage = rng.choices(vocabulary, k=40)
     texts = [None, "", "one two", "One  TWO", "one two three"]
     base = rng.choices(vocabulary, k=120)
-    for i in range(40):
+    for i in range(60):
         w = list(base)
-        for _ in range(rng.randint(0, 4)):
+        for _ in range(rng.randint(0, 6)):
             w[rng.randrange(len(w))] = rng.choice(vocabulary)
         texts.append(" ".join(w))
         if i % 5 == 0:
