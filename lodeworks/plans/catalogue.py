@@ -59,9 +59,9 @@ _PATH = "lang || '/' || source || '/' || doc_id || '.txt'"
 _LINES = f"SELECT {_PATH} AS path, doc_id, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT AS lno, unnest(string_split(text, chr(10))) AS text FROM documents"
 _TOKENS = f"""
 lines AS ({_LINES}),
-chars AS (SELECT path, doc_id, lno, text AS line, unnest(range(1, length(text) + 1)) AS at FROM lines WHERE regexp_matches(text, '[A-Za-z]')),
-tokens AS (SELECT path, doc_id, lno, at - 1 AS col, lower(regexp_extract(substr(line, at), '^[A-Za-z]+')) AS token FROM chars
-  WHERE regexp_matches(substr(line, at, 1), '[A-Za-z]') AND (at = 1 OR NOT regexp_matches(substr(line, at - 1, 1), '[A-Za-z]'))),
+chars AS (SELECT path, doc_id, lno, text AS line, unnest(range(1, length(text) + 1)) AS i FROM lines WHERE regexp_matches(text, '[A-Za-z]')),
+tokens AS (SELECT path, doc_id, lno, i - 1 AS col, lower(regexp_extract(substr(line, i), '^[A-Za-z]+')) AS token FROM chars
+  WHERE regexp_matches(substr(line, i, 1), '[A-Za-z]') AND (i = 1 OR NOT regexp_matches(substr(line, i - 1, 1), '[A-Za-z]'))),
 targets AS (SELECT path, doc_id, lno, col::BIGINT AS col, 'W_' || token AS sym, token AS pretty,
   CASE WHEN row_number() OVER (PARTITION BY path, token ORDER BY lno, col) = 1 THEN 'def' ELSE 'use' END AS kind FROM tokens)
 """
