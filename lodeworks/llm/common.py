@@ -40,7 +40,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.base = spark, f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-        self.saved: list[str] = []
+        self.saved: list[str | None] = []
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = f"{self.base}/{name}-{len(self.saved)}"
@@ -62,8 +62,11 @@ class Scratch:
 
     def keep(self, *tables: DataFrame) -> None:
         """Free all tables but these, once nothing else that is still to be read rests on others."""
-        for path in set(self.saved) - {t.scratch_path for t in tables}:
-            self._delete(path)
+        stay = {t.scratch_path for t in tables}
+        for path in self.saved:
+            if path is not None and path not in stay:
+                self._delete(path)
+        self.saved = [path if path in stay else None for path in self.saved]
 
     def _delete(self, path: str) -> None:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

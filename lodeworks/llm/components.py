@@ -55,14 +55,32 @@ def contracted(links: DataFrame) -> DataFrame:
     return links.select("a", "b").mapInArrow(run, "a long, b long")
 
 
+def _labelled(links: DataFrame) -> DataFrame:
+    """rep, label of the ids of few links, all in one task."""
+
+    def run(batches):
+        root: dict[int, int] = {}
+        for batch in batches:
+            for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                join(root, a, b)
+        stars = together(root)
+        stars += [(a, a) for a in {a for a, _ in stars}]
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in stars], pa.int64()) for i in (1, 0)], names=["rep", "label"])
+
+    return links.select("a", "b").mapInArrow(run, "rep long, label long")
+
+
 def connect(scratch: Scratch, nodes: DataFrame, links: DataFrame) -> DataFrame:
     """rep, label: the smallest id that links reach, for every node; links are (a, b) pairs in either direction.
 
     In a round each node takes the least label around it, then the label of that label's node, so chains shorten
     geometrically.  Minima are taken before rows are dealt, so a hub's many links do not meet in one task.  Only linked
-    nodes take part; the rest keep their own id.
+    nodes take part; the rest keep their own id.  Few links, counted, are joined in one task instead.
     """
     few = scratch.save(contracted(links), "few")
+    if few.count() <= HELD_IDS:
+        labels = scratch.save(_labelled(few.coalesce(1)), "labels")
+        return scratch.save(nodes.join(labels, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label")), "components")
     both = few.unionByName(few.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = scratch.save(both, "both")
     labels = scratch.save(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("rep"), F.least("a", "m").alias("label")), "labels")

@@ -1,5 +1,6 @@
 """Language, quality, tokens, media, URLs, packing, licences and personal data on written cases."""
 
+import bisect
 import hashlib
 import random
 import re
@@ -15,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodeworks.llm import bpe, langid, license_scan, media, ngram_join, packing, pii, quality, queries, shared_grams, url_filter
+from lodeworks.llm import bpe, common, components, langid, license_scan, media, ngram_join, packing, pii, quality, queries, shared_grams, url_filter
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score double, seeds string, added string, `odd.name` string"
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -127,23 +128,82 @@ def test_digest_array_survives_collisions(tmp_path, monkeypatch):
     assert [p >= 0 for p in index.find(keys)] == [True] * 30 + [False] * 10
 
 
-def test_packing(spark):
-    counts = {1: 700, 3: 5, 10: 50, 300: 7, 512: 3, 513: 4, 900: 2, 1024: 2}
-    steps = packing.plan(counts)
+def best_fit_decreasing(lengths, capacity=1024):
+    gaps, opened = [], 0
+    for n in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(gaps, n)
+        opened += at == len(gaps)
+        left = (capacity if at == len(gaps) else gaps.pop(at)) - n
+        if left:
+            bisect.insort(gaps, left)
+    return opened
+
+
+LENGTHS = {
+    "any": lambda rng: [rng.randint(1, 1024) for _ in range(900)],
+    "short": lambda rng: [rng.randint(1, 300) for _ in range(900)],
+    "middling": lambda rng: [rng.randint(200, 420) for _ in range(700)],
+    "alike": lambda rng: [300] * 500,
+    "tiny": lambda rng: [rng.randint(1, 20) for _ in range(2500)],
+    "two kinds": lambda rng: [rng.randint(500, 1024) for _ in range(300)] + [rng.randint(1, 60) for _ in range(500)],
+    "skewed": lambda rng: [min(1024, int(rng.lognormvariate(5, 1)) + 1) for _ in range(1200)],
+    "none": lambda rng: [],
+}
+
+
+@pytest.mark.parametrize("kind", LENGTHS)
+@pytest.mark.parametrize("part_rows", [250_000, 40])
+def test_packing_fills_like_best_fit_decreasing(spark, monkeypatch, kind, part_rows):
+    """Gapless, whole, within one sequence in 200 of plain best-fit decreasing; in one task and over many parts alike."""
+    if part_rows == 40 and kind not in ("middling", "alike", "none"):
+        pytest.skip("many parts are slow")
+    lengths = LENGTHS[kind](random.Random(9))
+    monkeypatch.setattr(packing, "PART_ROWS", part_rows)
+    scratch = common.Scratch(spark, "t")
+    cut_up = scratch.save(spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "key long, length long"), "p")
+    rows = packing.place(cut_up, 1024, scratch).collect()
     used = defaultdict(list)
-    for length, rank, k, first, offset in steps.tolist():
-        n = min((s[1] for s in steps.tolist() if s[0] == length and s[1] > rank), default=counts[length]) - rank
-        for i in range(n):
-            used[first + i // k].append((offset + i % k * length, length))
-    assert sum(len(v) for v in used.values()) == sum(counts.values())
+    for r in rows:
+        used[r.sequence_id].append((r.offset, r.length))
+    assert sorted(r.key for r in rows) == list(range(len(lengths)))
     for spans in used.values():
         at = 0
         for o, n in sorted(spans):
             assert o == at
             at += n
         assert at <= 1024
-    total = sum(k * v for k, v in counts.items())
-    assert len(used) <= -(-total // 1024) + 2
+    assert len(used) <= max(best_fit_decreasing(lengths) * 1.005, best_fit_decreasing(lengths) + 1)
+
+
+def test_sweeps_of_parts_meet_as_one():
+    """What parts leave over, paired by rank, gives each piece the gap that one sweep over all gives it."""
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        n = int(rng.integers(1, 80))
+        sizes, gap = rng.integers(1, 30, n), rng.random(n) < rng.random()
+        order = np.lexsort((~gap, -sizes))
+        sizes, gap = sizes[order], gap[order]
+        places = np.maximum(1, sizes // 7)
+        whole, slot, _ = packing.sweep(sizes, gap, places)
+        cuts = [0, *sorted(rng.integers(0, n + 1, 4).tolist()), n]
+        got, left, pieces, free = {}, [], {}, {}
+        for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            to, s, stack = packing.sweep(sizes[a:b], gap[a:b], places[a:b])
+            got.update({a + i: (a + to[i], s[i]) for i in range(b - a) if not gap[a + i] and to[i] >= 0})
+            pieces[p] = [a + i for i in range(b - a) if not gap[a + i] and to[i] < 0]
+            free[p] = [(a + row, k) for row, first in reversed(stack) for k in range(first, places[a + row])]
+            left.append((p, len(pieces[p]), len(free[p])))
+        ranges = packing.meet(left)
+        for p, rows in pieces.items():
+            for rank, i in enumerate(rows):
+                _, first, q, place = max(r for r in ranges if r[0] == p and r[1] <= rank)
+                if q >= 0:
+                    got[i] = free[q][place + rank - first]
+        want = {i: (whole[i], slot[i]) for i in range(n) if not gap[i] and whole[i] >= 0}
+        assert {i: v[0] for i, v in got.items()} == {i: v[0] for i, v in want.items()}
+
+
+def test_packing(spark):
     assert packing.cut(2500, 1024) == [(0, 452), (452, 1024), (1476, 1024)] and packing.cut(1024, 1024) == [(0, 1024)] and packing.cut(1, 1024) == [(0, 1)]
     d = docs(spark, repeat=False)
     theirs = Tokenizer.from_file(BYTE)
@@ -365,3 +425,14 @@ def test_join_keeps_one_row_of_repeated_and_unnamed_rows(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = sorted(((r.doc_id, r.text, r.source) for r in ngram_join.keep_first(d).collect()), key=str)
     assert got == sorted([(5, same, "x"), (5, other, "x"), (None, third, "z"), (7, "", "e"), (7, "", "e"), (None, None, "n")], key=str)
+
+
+@pytest.mark.parametrize("held", [0, 5, 500_000])
+def test_components_by_rounds_and_at_once(spark, monkeypatch, held):
+    """A chain of 200, a star, a ring and two pairs; nodes without a link keep their own id."""
+    monkeypatch.setattr(components, "HELD_IDS", held)
+    links = [(i, i + 1) for i in range(1000, 1200)] + [(7, i) for i in range(20, 60)] + [(100 + i, 100 + (i + 1) % 9) for i in range(9)] + [(3, 2), (5, 4)]
+    nodes = sorted({x for p in links for x in p} | {1, 9})
+    got = {r.rep: r.label for r in components.connect(common.Scratch(spark, "t"), spark.createDataFrame([(n,) for n in nodes], "rep long"), spark.createDataFrame(links, "a long, b long")).collect()}
+    want = {n: 1000 if 1000 <= n <= 1200 else 7 if n == 7 or 20 <= n < 60 else 100 if 100 <= n < 109 else 2 if n in (2, 3) else 4 if n in (4, 5) else n for n in nodes}
+    assert got == want
