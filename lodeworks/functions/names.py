@@ -158,28 +158,32 @@ def _read_type(text: str) -> _Type:
 def pointees(text: str, rules: TypeRules) -> tuple[list[tuple[str, str]], list[str]]:
     """(pointer kind, class name) of what a field of this type holds or points to, and labels that the type brings."""
     labels: list[str] = []
+    held: set[int] = set()  # types whose argument a pointer rule has taken
 
-    def visit(t: _Type, top: bool) -> list[tuple[str, str]]:
-        if t.bail or t.name in rules.nothing or t.name in rules.values:
+    def held_by(t: _Type) -> list[tuple[str, str]]:
+        """What a type that stands as an argument is to its container."""
+        if t.bail or id(t) in held or t.name in rules.nothing:
             return []
-        if t.name in rules.pointers and t.args:
+        if t.sign:
+            return [("raw" if t.sign == "*" else "ref", t.name)]
+        return [("contains", t.name)] if t.tagged and t.name not in rules.values else []
+
+    def visit(t: _Type) -> list[tuple[str, str]]:
+        """Of nested templates first, then of the template's own arguments if its rule says so."""
+        found = [p for a in t.args if a.args for p in visit(a)]
+        if t.name in rules.pointers:
             kind, which = rules.pointers[t.name]
-            if which >= len(t.args):
-                return []
-            arg = t.args[which]
-            inner = visit(arg, False) if arg.args else []
-            if arg.args or arg.bail or arg.name in rules.values | rules.nothing:
-                return inner
-            return [(kind, arg.name)]
-        if t.name in rules.decorators:
-            labels.extend(rules.decorators[t.name])
-            return [p for a in t.args for p in visit(a, False)]
-        if t.name in rules.containers | rules.variants:
-            return [p for a in (t.args if t.name in rules.variants else t.args[:1]) for p in visit(a, False)]
-        if t.sign == "*":
-            return [("raw", t.name)]
-        if t.sign == "&":
-            return [("ref", t.name)]
-        return [("contains", t.name)] if t.tagged and not t.args else []
-
-    return visit(_read_type(text), True), labels
+            if which < len(t.args):
+                held.add(id(t))
+                arg = t.args[which]
+                found += [(kind, arg.name)] if arg.tagged and arg.name not in rules.values else []
+        elif t.name in rules.decorators or t.name in rules.containers | rules.variants:
+            labels.extend(rules.decorators.get(t.name, []))
+            found += [p for a in t.args for p in held_by(a)]
+        return found
+
+    whole = _read_type(text)
+    if whole.bail:
+        return [], []
+    found = visit(whole)
+    return found or held_by(whole), labels

@@ -79,6 +79,6 @@ def merge_expansions(records: DataFrame, keys: list[str]) -> DataFrame:
     (``expansion_kind``) is an error of the inputs and raises where the row is read.
     """
     each = records.where("expansion is not null").select(*keys, "platform_ord", "expansion_kind", F.explode("expansion").alias("name", "to"))
-    agreed = F.when(F.min("expansion_kind") == F.max("expansion_kind"), F.lit(True)).otherwise(F.raise_error(F.lit("two kinds of expansions at one place")).cast("boolean"))
-    one = each.groupBy(*keys, "name").agg(F.max_by("to", "platform_ord").alias("to"), F.min("expansion_kind").alias("expansion_kind"))
+    agreed = F.when(F.min("least") == F.max("most"), F.lit(True)).otherwise(F.raise_error(F.lit("two kinds of expansions at one place")).cast("boolean"))
+    one = each.groupBy(*keys, "name").agg(F.max_by("to", "platform_ord").alias("to"), F.min("expansion_kind").alias("least"), F.max("expansion_kind").alias("most"))
     return one.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "to")))).alias("expansion"), agreed.alias("agreed")).where("agreed").drop("agreed")

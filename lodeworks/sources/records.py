@@ -76,12 +76,12 @@ def file_symbol(mangled_path: Column, defs: Column) -> Column:
     return F.when(F.size(own) > 0, own).otherwise(F.array(F.concat(F.lit("FILE_"), mangled_path)))
 
 
-def write_sorted(df: DataFrame, path: str, key: str) -> None:
-    """A keyed lookup table: range-dealt and sorted by its key, so a lookup reads few row groups."""
-    df.repartitionByRange(F.col(key)).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+def write_sorted(df: DataFrame, path: str, *keys: str, parts: int | None = None) -> None:
+    """A keyed lookup table: range-dealt and sorted by its keys, so a lookup reads few files and row groups."""
+    dealt = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
+    dealt.sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
-def write_identifiers(identifiers: DataFrame, path: str) -> None:
+def write_identifiers(identifiers: DataFrame, path: str, parts: int | None = None) -> None:
     """Identifiers in case-insensitive order, ties in byte order, with the upper-case key that prefix scans filter on."""
-    keyed = identifiers.withColumn("id_upper", F.upper("id"))
-    keyed.repartitionByRange("id_upper", "id", "sym").sortWithinPartitions("id_upper", "id", "sym").write.mode("overwrite").parquet(path)
+    write_sorted(identifiers.withColumn("id_upper", F.upper("id")), path, "id_upper", "id", "sym", parts=parts)
