@@ -20,6 +20,8 @@ from ..storage import shared_dir
 BATCH_ROWS = 512
 #: Bytes in one Arrow batch, about; a single longer row is its own batch.
 BATCH_BYTES = 8 << 20
+#: So many partitions of a thin table go into one file.
+THIN = 8
 #: Bytes of text that the vectorised passes look at together.
 CHUNK_BYTES = 2 << 20
 
@@ -42,10 +44,11 @@ class Scratch:
         self.spark, self.base = spark, f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self.saved: list[str | None] = []
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def save(self, df: DataFrame, name: str = "t", thin: bool = False) -> DataFrame:
+        """``thin``: rows are ids and numbers, a small part of a text's size, so that fewer and larger files hold them."""
         path = f"{self.base}/{name}-{len(self.saved)}"
         self.saved.append(path)
-        df.write.parquet(path)
+        (df.coalesce(max(1, partitions(self.spark) // THIN)) if thin else df).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

@@ -77,22 +77,22 @@ def connect(scratch: Scratch, nodes: DataFrame, links: DataFrame) -> DataFrame:
     geometrically.  Minima are taken before rows are dealt, so a hub's many links do not meet in one task.  Only linked
     nodes take part; the rest keep their own id.  Few links, counted, are joined in one task instead.
     """
-    few = scratch.save(contracted(links), "few")
+    few = scratch.save(contracted(links), "few", thin=True)
     if few.count() <= HELD_IDS:
-        labels = scratch.save(_labelled(few.coalesce(1)), "labels")
-        return scratch.save(nodes.join(labels, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label")), "components")
+        labels = scratch.save(_labelled(few.coalesce(1)), "labels", thin=True)
+        return scratch.save(nodes.join(labels, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label")), "components", thin=True)
     both = few.unionByName(few.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = scratch.save(both, "both")
-    labels = scratch.save(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("rep"), F.least("a", "m").alias("label")), "labels")
+    both = scratch.save(both, "both", thin=True)
+    labels = scratch.save(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("rep"), F.least("a", "m").alias("label")), "labels", thin=True)
     while True:
         near = both.join(labels.select(F.col("rep").alias("b"), "label"), "b").groupBy(F.col("a").alias("rep")).agg(F.min("label").alias("around"))
         taken = labels.join(near, "rep").select("rep", F.col("label").alias("old"), F.least("label", "around").alias("label"))
         jumped = taken.join(labels.select(F.col("rep").alias("label"), F.col("label").alias("next")), "label", "left")
-        new = scratch.save(jumped.select("rep", F.least("label", F.coalesce("next", "label")).alias("label"), "old"), "labels")
+        new = scratch.save(jumped.select("rep", F.least("label", F.coalesce("next", "label")).alias("label"), "old"), "labels", thin=True)
         moved = not new.where("label < old").isEmpty()
         scratch.drop(labels)
         labels = scratch.kept(new, "rep", "label")
         if not moved:
             break
     scratch.drop(both)
-    return scratch.save(nodes.join(labels, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label")), "components")
+    return scratch.save(nodes.join(labels, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label")), "components", thin=True)

@@ -214,7 +214,7 @@ def _settled(docs: DataFrame, edges: DataFrame, labels: DataFrame, firsts: DataF
     """
     ids = edges.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     cluster = connect(scratch, ids, edges).withColumnRenamed("label", "cluster")
-    rows = scratch.save(cluster.join(labels, "rep").join(firsts.groupBy("rep").agg(F.max("n").alias("n")), "rep"), "clusters")
+    rows = scratch.save(cluster.join(labels, "rep").join(firsts.groupBy("rep").agg(F.max("n").alias("n")), "rep"), "clusters", thin=True)
     parts = rows.groupBy("cluster", "label").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
     largest = parts.groupBy("cluster").agg(F.max(F.struct("sets", "label")).alias("largest")).select("cluster", F.col("largest.label").alias("major"))
     sized = parts.join(largest, "cluster").withColumn("minor", F.col("label") != F.col("major"))
@@ -230,7 +230,7 @@ def _settled(docs: DataFrame, edges: DataFrame, labels: DataFrame, firsts: DataF
     with_major = F.transform(majors, lambda m: F.xxhash64("cluster", own, m, F.lit("major")))
     of_major = F.transform(minors, lambda m: F.xxhash64("cluster", m, own, F.lit("major")))
     units = F.when(F.col("minors") == 0, F.array(F.xxhash64("cluster"))).when(F.col("minor"), F.concat(with_minor, with_major)).otherwise(of_major)
-    members = scratch.save(told.select(F.explode(F.array_distinct(units)).alias("unit"), "rep", "label", "minor"), "members")
+    members = scratch.save(told.select(F.explode(F.array_distinct(units)).alias("unit"), "rep", "label", "minor"), "members", thin=True)
     dealt = _arrays(docs, members, width).repartition(partitions(docs.sparkSession), "unit").sortWithinPartitions("unit", "rep")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -251,7 +251,7 @@ def _settled(docs: DataFrame, edges: DataFrame, labels: DataFrame, firsts: DataF
         if held:
             yield links()
 
-    return scratch.save(dealt.mapInArrow(settle, "a long, b long").distinct(), "links")
+    return scratch.save(dealt.mapInArrow(settle, "a long, b long").distinct(), "links", thin=True)
 
 
 def _exact(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -259,8 +259,8 @@ def _exact(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, width: int, per
 
     Within a unit only links that join what earlier ones have not are given out.
     """
-    pairs = scratch.save(_units(pairs, firsts, scratch), "pairs")
-    members = scratch.save(pairs.select("unit", F.explode(F.array("a", "b")).alias("rep")).distinct(), "members")
+    pairs = scratch.save(_units(pairs, firsts, scratch), "pairs", thin=True)
+    members = scratch.save(pairs.select("unit", F.explode(F.array("a", "b")).alias("rep")).distinct(), "members", thin=True)
     none = F.lit(None)
     rows = _arrays(docs, members.withColumns({"label": none.cast("long"), "minor": none.cast("boolean")}), width).select("unit", F.lit(0).alias("kind"), "rep", none.cast("long").alias("b"), "hashes")
     rows = rows.unionByName(pairs.select("unit", F.lit(1).alias("kind"), F.col("a").alias("rep"), "b", none.cast("binary").alias("hashes")))
@@ -281,7 +281,7 @@ def _exact(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, width: int, per
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], schema=out)
 
-    links = scratch.save(dealt.mapInArrow(intersect, "a long, b long").distinct(), "links")
+    links = scratch.save(dealt.mapInArrow(intersect, "a long, b long").distinct(), "links", thin=True)
     for done in (members, pairs):
         scratch.drop(done)
     return links
@@ -349,18 +349,18 @@ def _between(tiles: DataFrame, firsts: DataFrame, labels: DataFrame, percent: in
     """
     told = F.monotonically_increasing_id()
     lone = tiles.where("not several").select("reps", "low").distinct().withColumn("tile", told).withColumn("shingle", -1 - F.col("tile"))
-    numbered = scratch.save(lone.unionByName(tiles.where("several").select("reps", "low", "shingle").withColumn("tile", told)), "tiles")
+    numbered = scratch.save(lone.unionByName(tiles.where("several").select("reps", "low", "shingle").withColumn("tile", told)), "tiles", thin=True)
     members = numbered.select("shingle", "tile", F.explode(F.arrays_zip("reps", "low")).alias("m")).select("shingle", "tile", F.col("m.reps").alias("rep"), F.col("m.low").cast("int").alias("low")).join(labels, "rep")
     # Shingles are at hand in many tasks; only each task's least and largest label of a shingle is dealt.
     mixed = members.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count_distinct("tile").alias("tiles")).where("least < most")
     side = members.join(mixed.select("shingle", F.ceil(F.col("tiles") / TILES_A_TASK).cast("int").alias("parts")), "shingle").join(firsts.select("rep", "n", "bits"), "rep")
-    full = side.groupBy("shingle", "parts", "tile").agg(F.sort_array(F.collect_list(F.struct("n", "rep", "label", "low", "bits"))).alias("members"), F.min("label").alias("least"), F.max("label").alias("most"))
-    full = scratch.save(full, "full")
+    full = side.groupBy("shingle", "parts", "tile").agg(F.sort_array(F.collect_list(F.struct("n", "rep", "label", "low", "bits"))).alias("members", thin=True), F.min("label").alias("least"), F.max("label").alias("most"))
+    full = scratch.save(full, "full", thin=True)
     several = full.where("shingle >= 0")
-    left = several.select("shingle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("tile").alias("t"), F.col("members").alias("l"), F.col("least").alias("least_l"), F.col("most").alias("most_l"))
-    right = several.select("shingle", F.pmod(F.xxhash64("tile"), F.col("parts")).cast("int").alias("part"), F.col("tile").alias("u"), F.col("members").alias("r"), F.col("least").alias("least_r"), F.col("most").alias("most_r"))
+    left = several.select("shingle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("tile").alias("t"), F.col("members", thin=True).alias("l"), F.col("least").alias("least_l"), F.col("most").alias("most_l"))
+    right = several.select("shingle", F.pmod(F.xxhash64("tile"), F.col("parts")).cast("int").alias("part"), F.col("tile").alias("u"), F.col("members", thin=True).alias("r"), F.col("least").alias("least_r"), F.col("most").alias("most_r"))
     across = left.join(right, ["shingle", "part"]).where("t < u and (least_l <> least_r or most_l <> most_r or least_l <> most_l)").select("l", "r")
-    within = full.where("least <> most").select(F.col("members").alias("l"), F.lit(None).cast(full.schema["members"].dataType).alias("r"))
+    within = full.where("least <> most").select(F.col("members", thin=True).alias("l"), F.lit(None).cast(full.schema["members"].dataType).alias("r"))
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
@@ -372,7 +372,7 @@ def _between(tiles: DataFrame, firsts: DataFrame, labels: DataFrame, percent: in
             found = together(root)
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], schema=out)
 
-    return scratch.save(within.unionByName(across).mapInArrow(run, "a long, b long").distinct(), "rest")
+    return scratch.save(within.unionByName(across).mapInArrow(run, "a long, b long").distinct(), "rest", thin=True)
 
 
 def _labelled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -382,13 +382,13 @@ def _labelled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     digest = scratch.save(survivors(docs, width, percent), "digest")
-    copies = scratch.save(digest.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("shares").alias("shares")), "copies")
-    sharing = scratch.save(copies.where("shares and rep is not null").select(F.col("rep").alias("doc_id")).distinct(), "sharing")
+    copies = scratch.save(digest.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("shares").alias("shares")), "copies", thin=True)
+    sharing = scratch.save(copies.where("shares and rep is not null").select(F.col("rep").alias("doc_id")).distinct(), "sharing", thin=True)
     firsts = scratch.save(prefixes(_only(docs, sharing, "left_semi"), width, percent), "prefixes")
     tiles = scratch.save(_tiles(firsts), "tiles")
     low = F.filter(F.arrays_zip("sizes", "reps", "low"), lambda m: m["low"])
-    cut = tiles.where("cut").groupBy("shingle").agg(F.count("*").alias("tiles"), F.min(F.get(low, F.lit(0))).alias("first"))
-    cut = scratch.save(cut, "cut")
+    cut = tiles.where("cut", thin=True).groupBy("shingle").agg(F.count("*").alias("tiles"), F.min(F.get(low, F.lit(0))).alias("first"))
+    cut = scratch.save(cut, "cut", thin=True)
     tiles = tiles.join(cut.select("shingle", (F.col("tiles") > 1).alias("several")), "shingle", "left").withColumn("several", F.coalesce("several", F.lit(False))).where("several or size(reps) > 1")
     member = F.explode(F.arrays_zip("reps", "sizes")).alias("m")
     stars = tiles.select(F.get(low, F.lit(0)).alias("c"), member).unionByName(tiles.where("several").join(cut, "shingle").select(F.col("first").alias("c"), member))
@@ -397,14 +397,14 @@ def _labelled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
     # Two trials a set are enough here: what they leave apart is tried against all that it shares a shingle with below.
     first_two = met.groupBy("m").agg(F.max_by("c", F.struct("n", -F.col("c"))).alias("most"), F.min("c").alias("least")).select("m", F.explode(F.array_distinct(F.array("most", "least"))).alias("c"))
     tried = first_two.select(F.least("c", "m").alias("a"), F.greatest("c", "m").alias("b")).distinct()
-    near = scratch.save(_bounded(tried, firsts, percent), "near")
+    near = scratch.save(_bounded(tried, firsts, percent), "near", thin=True)
     links = _exact(docs, near, firsts, width, percent, scratch)
     reps = firsts.select("rep").distinct()
     labels = connect(scratch, reps, links)
     rest = _between(tiles, firsts, labels, percent, scratch)
     if not rest.isEmpty():
         labels = connect(scratch, reps, links.unionByName(_settled(docs, rest, labels, firsts, width, percent, scratch)))
-    of_set = scratch.save(copies.join(labels, "rep", "left").select("n", "d1", "d2", F.coalesce("label", "rep").alias("label")), "of-set")
+    of_set = scratch.save(copies.join(labels, "rep", "left").select("n", "d1", "d2", F.coalesce("label", "rep").alias("label")), "of-set", thin=True)
     scratch.keep(digest, of_set)
     return digest.select("doc_id", "n", "d1", "d2"), of_set
 
@@ -443,8 +443,8 @@ def keep_first(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     rows, of_set = _labelled(docs, width, percent)
     judged = rows.join(of_set, ["n", "d1", "d2"], "left").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("label") != F.col("doc_id")).alias("copy"))
     # One row for each id that has copies or is repeated; rows without an id are told apart by their text below.
-    odd = scratch.save(judged.where("doc_id is not null and rows > 1").select("doc_id"), "odd")
-    gone = scratch.save(judged.where("doc_id is not null and rows = 1 and copy").select("doc_id").unionByName(odd), "gone")
+    odd = scratch.save(judged.where("doc_id is not null and rows > 1").select("doc_id"), "odd", thin=True)
+    gone = scratch.save(judged.where("doc_id is not null and rows = 1 and copy").select("doc_id").unionByName(odd), "gone", thin=True)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     unnamed = docs.where("doc_id is null")
     plain = _only(docs.where("doc_id is not null"), gone, "left_anti").select(*columns)

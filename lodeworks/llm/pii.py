@@ -190,12 +190,12 @@ def score_patterns(scratch: Scratch, edges: DataFrame) -> DataFrame:
 
     The tables hold a row per pattern and instance, which identifier-like strings bound, not texts.
     """
-    edges = scratch.save(edges, "edges")
+    edges = scratch.save(edges, "edges", thin=True)
     sure = None
     for _ in range(ROUNDS):
         known = edges.withColumn("sure", F.col("seed").cast("double")) if sure is None else edges.join(sure, "x", "left").select(*edges.columns, F.greatest(F.col("seed").cast("double"), F.coalesce("belief", F.lit(0.0))).alias("sure"))
         scored = known.groupBy("pattern").agg((F.sum(F.col("n") * F.col("sure")) / F.sum("n")).alias("share"), F.sum("seed").alias("seeds"))
-        patterns = scratch.save(scored.where(F.col("seeds") >= MIN_SEEDS).select("pattern", (F.col("share") * F.col("seeds") / (F.col("seeds") + 0.25)).alias("confidence")), "patterns")
+        patterns = scratch.save(scored.where(F.col("seeds") >= MIN_SEEDS).select("pattern", (F.col("share") * F.col("seeds") / (F.col("seeds") + 0.25)).alias("confidence")), "patterns", thin=True)
         doubt = F.sum(F.log(1 - F.least("confidence", F.lit(0.999))))
         sure = edges.where("seed = 0").join(patterns, "pattern").groupBy("x").agg((1 - F.exp(doubt)).alias("belief"))
     return patterns
@@ -278,7 +278,7 @@ def redact(docs: DataFrame) -> DataFrame:
     kept = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col("text"))
     columns = [F.col(f"c{i}") for i in range(len(docs.columns))]
     rows = scratch.save(annotate(docs).withColumn("row", F.monotonically_increasing_id()), "spans")
-    patterns = scratch.save(confident_patterns(rows, scratch), "confident")
+    patterns = scratch.save(confident_patterns(rows, scratch), "confident", thin=True)
     if patterns.limit(LISTED + 1).count() <= LISTED:
         found = with_added(annotated(kept, *columns), patterns)
     else:
