@@ -31,6 +31,8 @@ ALPHA = 1.2
 #: Nodes inserted together, and queries searched together.
 BLOCK = 512
 QUERY_BLOCK = 2048
+#: Query blocks that one task searches in a shard, about.
+BLOCKS_A_TASK = 16
 #: Parts of a vector's copies that are cut down apart.
 SALTS = 16
 
@@ -135,7 +137,7 @@ def _usable(df: DataFrame, id_column: str, column: str) -> DataFrame:
     return df.where(F.col(id_column).isNotNull() & v.isNotNull() & ~F.coalesce(wrong, F.lit(False)) & F.coalesce(some, F.lit(False))).select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v"))
 
 
-def build_index(scratch: Scratch, rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
+def build_index(scratch: Scratch, rows: DataFrame, k: int, shard_rows: int | None = None) -> tuple[DataFrame, int]:
     """One row per shard: its distinct vectors (with up to k + 1 smallest ids of each) and their graph."""
     # k + 1 ids of a vector are enough for any query, itself left out.  The window limit is applied before rows are dealt
     # and within salts, so a vector with very many copies never meets in one task.
@@ -143,19 +145,28 @@ def build_index(scratch: Scratch, rows: DataFrame, k: int, shard_rows: int = SHA
     few = rows.withColumn("r", F.row_number().over(Window.partitionBy("v", salt).orderBy("vec_id"))).where(F.col("r") <= k + 1)
     nodes = scratch.save(few.groupBy("v").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids")), "nodes")
     n = nodes.count()
-    shards = max(1, -(-n // shard_rows))
+    shards = max(1, -(-n // (shard_rows or SHARD_ROWS)))
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.iloc[np.argsort([i[0] for i in pdf["ids"]], kind="stable")]
-        original = np.array(pdf["v"].tolist(), np.float64)
-        graph, entry = build_graph(unit(original).astype(np.float32))
-        ids = np.full((len(pdf), k + 1), -1, np.int64)
-        for i, own in enumerate(pdf["ids"]):
+    out = pa.schema([("shard", pa.int32()), ("entry", pa.int32()), ("dims", pa.int32()), ("vectors", pa.binary()), ("graph", pa.binary()), ("ids", pa.binary())])
+
+    def build(batches):
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        held, first, shard = (pa.Table.from_batches(got).column(i).combine_chunks() for i in range(3))
+        ids = np.full((len(held), k + 1), -1, np.int64)
+        for i, own in enumerate(first.to_pylist()):
             ids[i, : len(own)] = own
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "entry": [entry], "dims": [original.shape[1]], "vectors": [original.tobytes()], "graph": [graph.tobytes()], "ids": [ids.tobytes()]})
+        original = held.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(held), -1)
+        order = np.argsort(ids[:, 0], kind="stable")
+        original, ids = original[order], ids[order]
+        graph, entry = build_graph(unit(original).astype(np.float32))
+        row = ([shard[0].as_py()], [entry], [original.shape[1]], [original.tobytes()], [graph.tobytes()], [ids.tobytes()])
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, out, strict=True)], schema=out)
 
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
-    return scratch.save(dealt.groupBy("shard").applyInPandas(build, "shard int, entry int, dims int, vectors binary, graph binary, ids binary"), "index"), shards
+    # A partition for each shard, so that graphs are built side by side however small their rows are.
+    dealt = nodes.select("v", "ids", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard")).repartitionById(shards, "shard")
+    return scratch.save(dealt.mapInArrow(build, "shard int, entry int, dims int, vectors binary, graph binary, ids binary"), "index"), shards
 
 
 def search(embeddings: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -175,8 +186,13 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 5, id_column: str
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "query_ids": [ids.tobytes()], "queries": [np.array(pdf["v"].tolist(), np.float64).tobytes()]})
 
     packed = scratch.save(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(gather, "block int, query_ids binary, queries binary"), "queries")
-    # A stated query set against every shard: one row per (query block, shard), both of bounded size.
-    tiles = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "block").repartition(shards * blocks, "shard", "block")
+    # A stated query set against every shard.  Query blocks travel to the shards, which are larger; a shard has a copy for
+    # every BLOCKS_A_TASK blocks, so that no task walks a shard for very many queries.
+    parts = -(-blocks // BLOCKS_A_TASK)
+    asked_of = packed.select("query_ids", "queries", F.pmod("block", F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    copies = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    keys, most = ["shard", "part"], shards * parts
+    tiles = copies.repartition(most, *keys).join(asked_of.repartition(most, *keys), keys)
     out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def walk(batches):

@@ -6,7 +6,7 @@ while payload bytes are only sliced, never decoded.
 
 Defined results: null text is empty text and gives one sample of spaces; equal texts give equal bytes (no clocks or
 random ids are stored); ``probe`` of bytes that hold no track gives codec null, duration 0 and no ranges; a box whose
-size field runs past its parent ends the walk of that parent.  Extra columns of the input are kept only if named.
+size field runs past its parent ends the walk of that parent; tables are read no further than their boxes.  Extra columns of the input are kept only if named.
 """
 
 from __future__ import annotations
@@ -102,52 +102,72 @@ def walk(data, start: int = 0, end: int | None = None, path: tuple[bytes, ...] =
         start += size
 
 
-def probe(data: bytes) -> dict:
-    """Codec, timescale, duration and sample places of the first track, from its boxes alone.
+_TABLES = (b"mdhd", b"stsd", b"stts", b"stss", b"stsc", b"stsz", b"stco", b"co64")
 
-    ``samples`` lists (offset, size) in order; ``keyframes`` the same for the samples that stss names (all, without stss).
-    """
-    view, found = memoryview(data), {}
-    for path, a, b in walk(view):
-        if path[-1] in (b"mdhd", b"stsd", b"stts", b"stss", b"stsc", b"stsz", b"stco", b"co64") and path[-1] not in found:
-            found[path[-1]] = (a, b)
+
+def _entries(view, box: tuple[int, int] | None, head: int, form: str) -> list[tuple]:
+    """The entries of a table whose count stands before them: no more than its box has room for."""
+    if box is None or box[1] - box[0] < head:
+        return []
+    (count,) = struct.unpack_from(">I", view, box[0] + head - 4)
+    width = struct.calcsize(form)
+    return [struct.unpack_from(form, view, box[0] + head + i * width) for i in range(min(count, (box[1] - box[0] - head) // width))]
+
+
+def _track(view, found: dict[bytes, tuple[int, int]]) -> dict:
     out = {"codec": None, "timescale": 0, "duration": 0, "samples": [], "keyframes": []}
-    if b"mdhd" in found:
-        a, _ = found[b"mdhd"]
-        out["timescale"], out["duration"] = struct.unpack_from(">IQ", view, a + 20) if view[a] == 1 else struct.unpack_from(">II", view, a + 12)
-    if b"stsd" in found and found[b"stsd"][1] - found[b"stsd"][0] >= 16:
-        a, _ = found[b"stsd"]
+    a, b = found.get(b"mdhd", (0, 0))
+    if b > a and view[a] == 1 and b - a >= 32:
+        out["timescale"], out["duration"] = struct.unpack_from(">IQ", view, a + 20)
+    elif b > a and view[a] != 1 and b - a >= 20:
+        out["timescale"], out["duration"] = struct.unpack_from(">II", view, a + 12)
+    a, b = found.get(b"stsd", (0, 0))
+    if b - a >= 16:
         out["codec"] = bytes(view[a + 12 : a + 16]).decode("latin-1").strip()
-    if not {b"stsz", b"stsc"} <= found.keys() or not {b"stco", b"co64"} & found.keys():
+    a, b = found.get(b"stsz", (0, 0))
+    offsets = [x for (x,) in (_entries(view, found[b"co64"], 8, ">Q") if b"co64" in found else _entries(view, found.get(b"stco"), 8, ">I"))]
+    runs = _entries(view, found.get(b"stsc"), 8, ">III")
+    if b - a < 12:
         return out
-    a, _ = found[b"stsz"]
     fixed, n = struct.unpack_from(">II", view, a + 4)
-    sizes = [fixed] * n if fixed else list(struct.unpack_from(f">{n}I", view, a + 12))
-    kind = b"co64" if b"co64" in found else b"stco"
-    a, _ = found[kind]
-    (n_chunks,) = struct.unpack_from(">I", view, a + 4)
-    offsets = struct.unpack_from(f">{n_chunks}{'Q' if kind == b'co64' else 'I'}", view, a + 8)
-    a, _ = found[b"stsc"]
-    (n_runs,) = struct.unpack_from(">I", view, a + 4)
-    runs = [struct.unpack_from(">III", view, a + 8 + 12 * i) for i in range(n_runs)]
-    at = 0
+    sizes = iter([x for (x,) in _entries(view, (a, b), 12, ">I")]) if not fixed else None
+    samples, left = out["samples"], n
     for i, (first, per, _) in enumerate(runs):
-        last = runs[i + 1][0] - 1 if i + 1 < n_runs else n_chunks
-        for chunk in range(first - 1, last):
-            place = offsets[chunk]
-            for size in sizes[at : at + per]:
-                out["samples"].append((place, size))
+        last = runs[i + 1][0] - 1 if i + 1 < len(runs) else len(offsets)
+        for place in offsets[max(0, first - 1) : max(0, last)]:
+            for _ in range(min(per, left)):
+                size = fixed or next(sizes, None)
+                if size is None or place + size > len(view):
+                    break
+                samples.append((place, size))
                 place += size
-            at += per
-    if b"stss" in found:
-        a, _ = found[b"stss"]
-        (n_keys,) = struct.unpack_from(">I", view, a + 4)
-        out["keyframes"] = [out["samples"][k - 1] for k in struct.unpack_from(f">{n_keys}I", view, a + 8) if 0 < k <= len(out["samples"])]
-    else:
-        out["keyframes"] = out["samples"]
+            left = n - len(samples)
+    keys = _entries(view, found.get(b"stss"), 8, ">I")
+    out["keyframes"] = [samples[k - 1] for (k,) in keys if 0 < k <= len(samples)] if b"stss" in found else samples
     return out
 
 
+def tracks(data: bytes) -> list[dict]:
+    """Codec, timescale, duration and sample places of each track, from its own boxes alone.
+
+    ``samples`` lists (offset, size) in order; ``keyframes`` the same for the samples that stss names (all, without stss).
+    A table that claims more entries than its box holds gives those it holds; samples past the end of the data are left out.
+    """
+    view, found = memoryview(data), []
+    for path, a, b in walk(view):
+        if path[-1] == b"trak":
+            found.append({})
+        elif b"trak" in path and path[-1] in _TABLES:
+            found[-1].setdefault(path[-1], (a, b))
+    return [_track(view, boxes) for boxes in found]
+
+
+def probe(data: bytes) -> dict:
+    """The first track that has samples, else the first one, else nothing: codec null, duration 0, no ranges."""
+    every = tracks(data)
+    return next((t for t in every if t["samples"]), every[0] if every else _track(memoryview(b""), {}))
+
+
 def read_payload(data: bytes, info: dict | None = None) -> bytes:
     """The stored bytes, sample by sample; samples that lie end to end are sliced together."""
     parts, start, end = [], 0, 0

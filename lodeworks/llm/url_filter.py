@@ -10,19 +10,20 @@ filter's default.  Equal rules given twice keep the first verdict; an empty rule
 
 from __future__ import annotations
 
-import os
 import struct
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
+
 _MAGIC = b"LWURLF01"
+WRITE_BYTES = 4 << 20
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _OUT = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string())])
 
@@ -38,8 +39,8 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.translate(_LOWER), slash + path
 
 
-def build(rules, file: str) -> None:
-    """Write the digest array: header, digests, string offsets, path lengths, verdicts, then the strings.
+def build(rules) -> bytes:
+    """The digest array: header, digests, string offsets, path lengths, verdicts, then the strings.
 
     ``rules``: (verdict, host, path) with verdict "allow" or "block".
     """
@@ -51,11 +52,18 @@ def build(rules, file: str) -> None:
     offsets = np.concatenate(([0], np.cumsum([len(s) for _, s in order], dtype="<u8"))).astype("<u8")
     lengths = np.array(sorted({n for _, n in first.values()}), "<u8")
     blocked = np.array([first[s][0] for _, s in order], np.uint8)
-    with open(file, "wb") as f:
-        f.write(_MAGIC + struct.pack("<QQ", len(order), len(lengths)))
-        for part in (digests, offsets, lengths, blocked):
-            f.write(part.tobytes())
-        f.write(b"".join(s for _, s in order))
+    parts = (part.tobytes() for part in (digests, offsets, lengths, blocked))
+    return b"".join([_MAGIC, struct.pack("<QQ", len(order), len(lengths)), *parts, *(s for _, s in order)])
+
+
+def store(spark: SparkSession, data: bytes, path: str) -> None:
+    """Bytes as a file in any store that Spark can write, a few MB at a time."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    for i in range(0, len(data), WRITE_BYTES):
+        out.write(bytearray(data[i : i + WRITE_BYTES]))
+    out.close()
 
 
 class DigestArray:
@@ -104,13 +112,14 @@ _arrays: dict[str, DigestArray] = {}
 def judge(pages: DataFrame, rules, default: str = "allow", id_column: str = "page_id", url_column: str = "url") -> DataFrame:
     """One row per page: host, path, the longest rule that fits (else null) and the verdict.
 
-    The digest array is built once and handed to the executors as a Spark file, so its size is bounded by disk, not heap.
+    The digest array is built once, written in the shared folder and handed to the executors as a Spark file; a worker maps
+    its machine's copy.
     """
     spark = pages.sparkSession
     name = f"url-rules-{uuid.uuid4().hex}.bin"
-    file = os.path.join(tempfile.mkdtemp(prefix="lodeworks-"), name)
-    build(rules, file)
-    spark.sparkContext.addFile(os.path.realpath(file))
+    file = f"{shared_dir(spark).rstrip('/')}/{name}"
+    store(spark, build(rules), file)
+    spark.sparkContext.addFile(file)
 
     def run(batches):
         if name not in _arrays:

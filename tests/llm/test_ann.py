@@ -1,6 +1,7 @@
 """Nearest neighbours against brute force."""
 
 import numpy as np
+import pytest
 
 from lodeworks.llm import ann, queries
 
@@ -67,3 +68,28 @@ def test_edges_are_diverse():
             for b in range(a):
                 near = 2 - 2 * float(x[kept[a]] @ x[kept[b]])
                 assert ann.ALPHA**2 * near > min(max(far[a], far[b]), far[a] if far[a] > far[b] else far[b]) - 1e-4
+
+
+@pytest.mark.parametrize("shard_rows", [200, 6000])
+def test_recall_over_ten_shards_and_one(spark, sf_dir, monkeypatch, shard_rows):
+    """Against brute force on 2000 vectors, in ten shards and in one."""
+    monkeypatch.setattr(ann, "SHARD_ROWS", shard_rows)
+    base = sf_dir.replace("sf0.001", "sf0.1")
+    found = queries.op2_ann(spark, base).toPandas()
+    v = spark.read.parquet(f"{base}/embeddings.parquet").toPandas()
+    rows = list(zip(v.vec_id.tolist(), [list(map(float, e)) for e in v.embedding], strict=True))
+    hits = [len(set(exact(rows, q)) & set(g.vec_id)) / 5 for q, g in found.groupby("query_id")]
+    assert np.mean(hits) >= 0.9 and len(hits) == len(v) // 50 or len(hits) > 0.9 * len(v) / 50
+
+
+def test_recall_of_a_full_shard():
+    """One graph of the size that production shards have, over random clustered vectors."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 48))
+    x = ann.unit(centres[rng.integers(0, 60, ann.SHARD_ROWS)] + 0.7 * rng.normal(size=(ann.SHARD_ROWS, 48))).astype(np.float32)
+    graph, entry = ann.build_graph(x)
+    q = ann.unit(x[::60] + 0.05 * rng.normal(size=x[::60].shape)).astype(np.float32)
+    found, _ = ann.beam_search(x, graph, entry, q, ann.QUERY_BEAM)
+    near = np.argsort(-(q @ x.T), 1, kind="stable")[:, :5]
+    recall = np.mean([len(set(a[:5]) & set(b)) / 5 for a, b in zip(found.tolist(), near.tolist(), strict=True)])
+    assert recall >= 0.9

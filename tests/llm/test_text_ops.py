@@ -4,6 +4,7 @@ import bisect
 import hashlib
 import random
 import re
+import struct
 import time
 import zlib
 from collections import defaultdict
@@ -107,6 +108,35 @@ def test_media_round_trip(spark):
     assert media.media_columns(d).where("duration_s <= 0 or n_samples < 1").count() == 0
 
 
+def test_media_of_other_writers():
+    """Two tracks, of which only the second names keyframes; tables that claim more than they hold; cut files."""
+    box = lambda kind, *parts: struct.pack(">I4s", 8 + len(b"".join(parts)), kind) + b"".join(parts)
+    full = lambda kind, *parts: box(kind, bytes(4), *parts)
+
+    def track(codec, sizes, place, keys=None, claim=0):
+        stsd = full(b"stsd", struct.pack(">I", 1), box(codec, bytes(16)))
+        stsz = full(b"stsz", struct.pack(f">II{len(sizes)}I", 0, len(sizes) + claim, *sizes))
+        rest = [full(b"stsc", struct.pack(">IIII", 1, 1, len(sizes), 1)), full(b"stco", struct.pack(">II", 1, place))]
+        stss = [full(b"stss", struct.pack(f">I{len(keys)}I", len(keys), *keys))] if keys else []
+        mdhd = full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 600, 1200, 0, 0))
+        return box(b"trak", box(b"mdia", mdhd, box(b"minf", box(b"stbl", stsd, stsz, *rest, *stss))))
+
+    data = box(b"moov", track(b"avc1", [4, 5, 6], 8), track(b"mp4a", [2, 2, 2], 23, [1, 3]), track(b"odd ", [3], 30, claim=1 << 20)) + bytes(100)
+    first, second, odd = media.tracks(data)
+    assert first["keyframes"] == first["samples"] == [(8, 4), (12, 5), (17, 6)] and first["codec"] == "avc1" and (first["timescale"], first["duration"]) == (600, 1200)
+    assert second["samples"] == [(23, 2), (25, 2), (27, 2)] and second["keyframes"] == [(23, 2), (27, 2)] and odd["samples"] == [(30, 3)]
+    assert media.probe(data)["codec"] == "avc1"
+    whole = media.encode(media.pad(b"x" * 5000))
+    for cut in range(0, len(whole), 7):
+        media.tracks(whole[:cut])
+    rng = random.Random(2)
+    for _ in range(300):
+        bad = bytearray(whole)
+        for _ in range(rng.randint(1, 6)):
+            bad[rng.randrange(900)] = rng.randrange(256)
+        assert all(p + n <= len(bad) for t in media.tracks(bytes(bad)) for p, n in t["samples"])
+
+
 def test_urls(spark, sf_dir):
     rows = [(1, "https://X.Example.NET/en/a?b#c"), (2, "http://example.net/de/"), (3, "a.net/x"), (4, None), (5, "http://notnet/"), (6, "http://net"), (7, "http://net?x/"), (8, "ftp://example.com/de/x"), (9, "http://a.b.org/fr/"), (9, "http://a.b.org/fr/"), (None, "://net/")]
     got = sorted((str(r.page_id), r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), queries.URL_RULES).collect())
@@ -122,7 +152,7 @@ def test_urls(spark, sf_dir):
 def test_digest_array_survives_collisions(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda s: len(s) % 2)
     rules = [("block", f"h{i}.com", "/") for i in range(30)]
-    url_filter.build(rules, str(tmp_path / "r"))
+    (tmp_path / "r").write_bytes(url_filter.build(rules))
     index = url_filter.DigestArray(str(tmp_path / "r"))
     keys = [f"h{i}.com/".encode() for i in range(40)]
     assert [p >= 0 for p in index.find(keys)] == [True] * 30 + [False] * 10
