@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,5 +122,34 @@ def nesting_depth(lines: DataFrame, ranges: DataFrame) -> DataFrame:
     return lines.select("path", "lno").join(inside, ["path", "lno"], "left").select("path", "lno", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
+def sticky_ranges(ranges: DataFrame) -> DataFrame:
+    """path, lno, sym, pops: the lines on which a nested range opens (its symbol, of several the last) or ranges close.
+
+    ``ranges``: path, lno and col of a symbol, sym, and first, last line of what it encloses.  A range opens if none is
+    open, or if it begins on this line or later, not where the innermost open one began, and ends past the next line.  At
+    the end of a line the innermost ranges close whose last line is not beyond the next.  A file is one bounded group.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, stack = [], []
+        ordered = pdf.where(pdf.notna(), None).sort_values(["lno", "col"], kind="stable")
+        by_line = {lno: list(zip(g["sym"], g["first"], g["last"], strict=True)) for lno, g in ordered.groupby("lno")}
+        ends = sorted({int(x) - 1 for x in pdf["last"].dropna()})
+        for lno in sorted({*by_line, *ends}):
+            opened = None
+            for sym, first, last in by_line.get(lno, []):
+                if first and (not stack or first >= lno and first != stack[-1][0] and last > lno + 1):
+                    stack.append((first, last))
+                    opened = sym
+            keep = next((i + 1 for i in reversed(range(len(stack))) if stack[i][1] - 1 > lno), 0)
+            pops = len(stack) - keep
+            del stack[keep:]
+            if opened is not None or pops:
+                rows.append((pdf["path"].iloc[0], int(lno), opened, pops))
+        return pd.DataFrame(rows, columns=["path", "lno", "sym", "pops"])
+
+    return ranges.select("path", "lno", "col", "sym", "first", "last").groupBy("path").applyInPandas(run, "path string, lno int, sym string, pops int")
+
+
 def numbered(df: DataFrame, keys: list[Column], order: list[Column], name: str) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

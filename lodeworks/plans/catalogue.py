@@ -693,7 +693,7 @@ def weblog_ip_histogram(spark, sf_dir):
 
 @query("SELECT event_type, count(*) AS n, " + ", ".join(f"round(quantile_cont(value, {p}), 6) AS p{round(p * 100)}" for p in loganalytics.PERCENTILES) + " FROM events GROUP BY event_type")
 def weblog_percentiles(spark, sf_dir):
-    rows = loganalytics.latencies(_t(spark, sf_dir, "events"), ["event_type"], "value")
+    rows = loganalytics.latencies(_t(spark, sf_dir, "events"), ["event_type"], "value", exact=True)
     return rows.select("event_type", "n", *[F.round(c, 6).alias(c) for c in rows.columns[2:]])
 
 
@@ -821,13 +821,13 @@ def query_default(spark, sf_dir):
     return runner.run(index(spark, sf_dir), "thouer").select("path_kind", "kind", "pretty", "path", *_long("l0"))
 
 
-@query()
+@query("SELECT * FROM (VALUES (0, 'file-search'), (0, 'semantic-search'), (0, 'text-search'), (1, 'compile'), (2, 'display')) p(phase, name)")
 def plan_default(spark, sf_dir):
     plan = language.compile_query("thou path:en/** context:2").dump()
     return spark.createDataFrame([(i, g) for i, p in enumerate(plan["phases"]) for g in [*p["groups"], *p["junctions"]]], "phase int, name string")
 
 
-@query()
+@query("SELECT * FROM (VALUES (0, 'graph-symbols-default'), (1, 'graph-fuse-symbols'), (2, 'graph-traverse'), (3, 'graph-render')) p(phase, name)")
 def plan_calls_between(spark, sf_dir):
     plan = language.compile_query("calls-between:'A::b' calls-between:'C::d' depth:4").dump()
     return spark.createDataFrame([(i, g) for i, p in enumerate(plan["phases"]) for g in [*p["groups"], *p["junctions"]]], "phase int, name string")

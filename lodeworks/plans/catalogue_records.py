@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import names, paths, templating, tokenize
 from ..operators import history, merge, ontology, producers
 from ..sources import records as source_records
+from ..sources import texts as source_texts
 from ..storage import shared_dir
 from .catalogue import _LINES, _PATH, _long, _t, files, query
 
-_DOC_PATH = F.concat_ws("/", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-
 # ---------------------------------------------------------------- record files
 
 
@@ -186,7 +185,7 @@ _PLAIN = f"""lines AS ({_LINES}), placed AS (SELECT path, lno, text, coalesce(su
 @query(f"WITH {_PLAIN} SELECT path, start::BIGINT AS start, length(text)::BIGINT AS n FROM placed WHERE text <> '' AND NOT contains(text, chr(13))")
 def plain_tokens(spark, sf_dir):
     """One token for each line that is not empty, with its place in the text; line ends are tokens of their own."""
-    docs = _t(spark, sf_dir, "documents").where("text is not null").select(_DOC_PATH.alias("path"), "text")
+    docs = _t(spark, sf_dir, "documents").where("text is not null").select(source_texts.document_path().alias("path"), "text")
     rows = tokenize.token_table(docs).where("kind = 'plain'")
     return rows.where(~F.contains("token", F.lit("\r"))).select("path", "start", F.char_length("token").cast("bigint").alias("n"))
 

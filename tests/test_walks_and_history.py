@@ -2,16 +2,20 @@
 
 import gzip
 import json
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodeworks import storage
 from lodeworks.functions import names, paths, templating
-from lodeworks.operators import graph, history, layout, legacy, merge, producers
+from lodeworks.operators import graph, history, layout, legacy, lookup, merge, producers
 from lodeworks.plans import catalogue, runner
 from lodeworks.sources import records
 
+from .conftest import ROOT
+
 LINK = "sym string, relation string, other string, kind string, path string, ord int"
 
 
@@ -187,3 +191,27 @@ def test_needles_and_manifests(spark):
 def test_every_query_is_registered_once():
     found = catalogue.queries()
     assert len(found) > 140 and set(catalogue.oracle_sql()) <= set(found)
+
+
+def test_ranges_open_and_close_as_lines_go(spark):
+    made = [("f", 1, 0, "A", 1, 20), ("f", 1, 9, "A2", 1, 20), ("f", 3, 0, "B", 3, 8), ("f", 4, 0, "short", 4, 5), ("f", 8, 0, "C", 8, 19), ("f", 30, 0, "lone", 30, 30), ("f", 31, 0, "none", 0, 0)]
+    got = rows(lookup.sticky_ranges(spark.createDataFrame(made, "path string, lno int, col int, sym string, first int, last int")))
+    assert got == sorted([("f", 1, "A", 0), ("f", 3, "B", 0), ("f", 7, None, 1), ("f", 8, "C", 0), ("f", 18, None, 1), ("f", 19, None, 1), ("f", 30, "lone", 1)], key=repr)
+
+
+@pytest.mark.parametrize("hidden", ["", "xxhash", "lodeworks.llm"])
+def test_queries_are_listed_without_a_session_or_a_module(hidden):
+    """The driver lists queries before it has a session; without a module that only some need, the rest is there."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+class Hide:
+    def find_spec(self, name, path=None, target=None):
+        if {hidden!r} and name == {hidden!r}:
+            raise ModuleNotFoundError(name, name=name)
+sys.meta_path.insert(0, Hide())
+import __spark_entry__ as e
+assert len(e.queries()) >= 146 and set(e.oracle_sql()) <= set(e.queries())
+assert not ({hidden!r} and "pipeline" in e.queries())
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
