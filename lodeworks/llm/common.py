@@ -154,46 +154,92 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For texts laid end to end: a 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+`` and the number of words of each text.
-
-    A word's hash is a polynomial over its bytes, taken from running sums, so the work is a fixed number of array
-    passes whatever the number of words.
-    """
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words ``[^\\x20\\x09-\\x0D]+`` of texts laid end to end begin and end."""
     word = ~_SPACE[data]
-    edge = np.zeros(n + 1, bool)
+    edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.concatenate(([False], word[:-1])) & ~edge[:-1]
     after = np.concatenate((word[1:], [False])) & ~edge[1:]
-    starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
-    power, inverse = _power_tables(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_KEY[data] * power[:n], out=sums[1:])
-    hashes = mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _GOLDEN)
-    per_text = np.diff(np.searchsorted(starts, offsets))
-    return hashes, per_text
+    return np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
+
+
+def word_sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A polynomial over the bytes of each word, taken from running sums: a fixed number of array passes for all words."""
+    power, inverse = _power_tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_KEY[data] * power[: len(data)], out=sums[1:])
+    return (sums[ends] - sums[starts]) * inverse[starts]
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For texts laid end to end: a 64-bit hash of each word and the number of words of each text."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+    starts, ends = word_places(data, offsets)
+    hashes = mix64(word_sums(data, starts, ends) + (ends - starts).astype(np.uint64) * _GOLDEN)
+    return hashes, np.diff(np.searchsorted(starts, offsets))
+
+
+def long_text(data: np.ndarray, size: int | None = None):
+    """One long text in pieces of bytes, lower-cased, each with the hashes of the words that end in it.
+
+    A word that a piece cuts is carried on as its sum and length, so its hash is that of the whole word.
+    """
+    size, mask = size or CHUNK_BYTES, (1 << 64) - 1
+    held, length = 0, 0
+    for a in range(0, len(data), size):
+        piece = lower_ascii(data[a : a + size])
+        starts, ends = word_places(piece, np.array([0, len(piece)]))
+        sums, lengths = word_sums(piece, starts, ends), (ends - starts).astype(np.uint64)
+        if length and len(starts) and starts[0] == 0:
+            sums[0] = np.uint64((held + int(sums[0]) * pow(_BASE, length, 1 << 64)) & mask)
+            lengths[0] += np.uint64(length)
+        elif length:
+            sums, lengths = np.concatenate((np.array([held], np.uint64), sums)), np.concatenate((np.array([length], np.uint64), lengths))
+        held, length = 0, 0
+        if len(ends) and ends[-1] == len(piece) and a + size < len(data):
+            held, length = int(sums[-1]), int(lengths[-1])
+            sums, lengths = sums[:-1], lengths[:-1]
+        yield piece, mix64(sums + lengths * _GOLDEN)
+
+
+def _grams(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    grams = np.zeros(max(0, len(words) - len(keys) + 1), np.uint64)
+    for k, key in enumerate(keys):
+        grams += words[k : k + len(grams)] * key
+    return mix64(grams)
+
+
+def _gram_keys(width: int) -> np.ndarray:
+    return mix64(np.arange(101, 101 + width, dtype=np.uint64) * _GOLDEN) | np.uint64(1)
+
+
+def _short(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The only shingle of fewer words than a shingle has."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    return mix64(np.array([(words * keys[: len(words)]).sum(dtype=np.uint64) + np.uint64(len(words))], np.uint64))
+
+
+def long_shingles(data: np.ndarray, width: int = 5, size: int | None = None) -> np.ndarray:
+    """The shingle set of one long text, a piece at a time; the last words of a piece go on into the next."""
+    keys, tail, parts = _gram_keys(width), np.zeros(0, np.uint64), []
+    for _, words in long_text(data, size):
+        words = np.concatenate((tail, words))
+        if len(words) >= width:
+            parts.append(np.unique(_grams(words, keys)))
+        tail = words[-(width - 1) :] if width > 1 else words[:0]
+    return np.unique(np.concatenate(parts)) if parts else _short(tail, keys)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np.ndarray]:
     """Each text's sorted distinct hashes of ``width`` words in a row; a shorter text's whole word sequence is one."""
     words, per_text = word_hashes(data, offsets)
-    keys = mix64(np.arange(101, 101 + width, dtype=np.uint64) * _GOLDEN) | np.uint64(1)
-    m = len(words)
-    grams = np.zeros(max(0, m - width + 1), np.uint64)
-    for k in range(width):
-        grams += words[k : k + len(grams)] * keys[k]
-    grams = mix64(grams)
+    keys = _gram_keys(width)
+    grams = _grams(words, keys)
     out, at = [], 0
     for count in per_text.tolist():
-        if count >= width:
-            out.append(np.unique(grams[at : at + count - width + 1]))
-        elif count:
-            part = (words[at : at + count] * keys[:count]).sum(dtype=np.uint64) + np.uint64(count)
-            out.append(mix64(np.array([part], np.uint64)))
-        else:
-            out.append(np.zeros(0, np.uint64))
+        out.append(np.unique(grams[at : at + count - width + 1]) if count >= width else _short(words[at : at + count], keys))
         at += count
     return out

@@ -4,8 +4,8 @@ Training documents become normalised vectors of log counts times inverse documen
 spherical k-means makes several centroids; a text takes the language of the centroid with the largest cosine.  A text
 farther from it than texts of that language and of its own length are gets rejected.
 
-Fitted on at most ``per_language`` documents a language and ``in_all`` together (chosen by id digest); all documents are
-predicted.  Defined results: null text, or text without a letter, is ``und`` with score 0 and is rejected; without training
+Fitted on at most ``per_language`` documents a language and ``in_all`` together (chosen by id digest), of the ``languages``
+with the most documents; all documents are predicted.  Defined results: null text, or text without a letter, is ``und`` with score 0 and is rejected; without training
 rows every text is ``und``; ties go to the language first in order; repeated rows are predicted alike.
 """
 
@@ -24,6 +24,8 @@ from .features import NGRAM_BINS, ngram_counts
 
 PER_LANGUAGE = 1200
 IN_ALL = 6000
+#: Languages that are learned, at most: those with the most documents.
+LANGUAGES = 256
 CENTROIDS = 4
 ROUNDS = 12
 #: A text is rejected when its cosine is under this share of the training texts' ``QUANTILE`` cosine for its language.
@@ -83,11 +85,11 @@ def fit(counts: np.ndarray, langs: np.ndarray) -> Model | None:
     return Model(names, np.concatenate(centroids).astype(np.float32), idf, np.array(least))
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL) -> Model | None:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL, languages: int = LANGUAGES) -> Model | None:
     """Learn from the text and the non-null lang of ``docs``, which should hold the training documents only."""
     small_batches(docs.sparkSession)
     docs = docs.where("lang is not null and text is not null")
-    sizes = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not sizes:
         return None
     share = min(per_language, max(1, in_all // len(sizes)))

@@ -1,11 +1,12 @@
 """Quality classifier by co-training: a text view and a metadata view teach each other over rounds.
 
-Each view is a logistic regression.  In every round both are fitted, each names the pooled documents it is most sure of,
-and these pseudo-labels join the other view's training set.  Both are then calibrated on labelled rows held back from
-fitting, and a last regression over the calibrated log-odds scores every document.
+Each view is a logistic regression.  In every round both are fitted and calibrated, and look over all documents; each names
+some that it is sure of, and these pseudo-labels join the other view's training set.  Calibration uses labelled rows held
+back from fitting, and a last regression over the calibrated log-odds scores every document.
 
-The classifier is fitted on bounded samples, ``labelled`` labelled and ``pooled`` unlabelled documents chosen by id digest
-over the whole table; scoring covers all documents.  Defined results: null or blank text scores 0 and is rejected; null
+The classifier is fitted on a bounded sample, ``labelled`` labelled documents chosen by id digest over the whole table, and
+on at most ``per_round`` pseudo-labels a view and round, chosen by digest from all documents that the view is sure of;
+scoring covers all documents.  Defined results: null or blank text scores 0 and is rejected; null
 metadata is a value of its own; without any labelled row of both classes every non-blank document scores 1; repeated rows
 score alike.
 """
@@ -20,13 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_text, passed_through, released, small_batches
+from .common import Scratch, flat_text, mix64, passed_through, released, small_batches
 from .features import quality_features
 
 LABELLED = 6000
-POOLED = 4000
-ROUNDS = 4
-#: Pseudo-labels that a view may hand over in a round, at this confidence or more.
+ROUNDS = 3
+#: Pseudo-labels that a view hands over in a round, at most, and the least confidence.
 PER_ROUND = 500
 CONFIDENT = 0.97
 #: Of the text and the metadata view.
@@ -85,36 +85,44 @@ class Model:
         return sigmoid(a), sigmoid(b), sigmoid(log_odds(np.stack((a, b), 1), self.combined))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray) -> Model | None:
-    """label: 0 or 1, and -1 for pooled rows.  Every fourth labelled row is held back for calibration."""
-    known = np.flatnonzero(label >= 0)
-    held, fit = known[::4], np.setdiff1d(known, known[::4])
-    if len(np.unique(label[held])) < 2 or len(np.unique(label[fit])) < 2:
-        return None
-    mean, scale = text[fit].mean(0), text[fit].std(0) + 1e-2
-    views = [((text - mean) / scale).astype(np.float32), meta]
-    pool = np.flatnonzero(label < 0)
-    given = [{i: label[i] for i in fit}, {i: label[i] for i in fit}]
-    y = label[held].astype(np.float64)
-
-    def calibrated(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-        return fit_logistic(log_odds(x[held], w).astype(np.float64)[:, None], y, penalty=1e-3, steps=500)
-
-    for last in [False] * ROUNDS + [True]:
-        weights = [fit_logistic(x[rows], np.array([own[i] for i in rows], np.float32), penalty=p) for x, own, p in zip(views, given, PENALTIES, strict=True) for rows in [np.array(sorted(own))]]
-        scales = [calibrated(x, w) for x, w in zip(views, weights, strict=True)]
-        # A view that knows little is calibrated to be unsure.
-        believed = [sigmoid(log_odds(log_odds(x[pool], w)[:, None], c)) for x, w, c in zip(views, weights, scales, strict=True)] if len(pool) and not last else []
-        for k, both in enumerate(believed):
-            other = given[1 - k]
-            at = np.array([j for j, i in enumerate(pool) if i not in other], int)
-            free, p, theirs = pool[at], both[at], believed[1 - k][at]
-            sure = np.flatnonzero((np.maximum(p, 1 - p) >= CONFIDENT) & ((p >= 0.5) == (theirs >= 0.5)))  # none against the taught view
-            for i in sure[np.argsort(-np.maximum(p, 1 - p)[sure], kind="stable")][:PER_ROUND]:
-                other[int(free[i])] = int(p[i] >= 0.5)
-    model = Model(*weights, mean, scale, *scales, np.array([1.0, 0.0, 0.0]))
-    model.combined = fit_logistic(np.stack(model.views(text[held], meta[held]), 1).astype(np.float64), y, penalty=1e-3, steps=500)
-    return model
+class CoTraining:
+    """Both views' training sets; every fourth labelled row is held back for calibration."""
+
+    def __init__(self, text: np.ndarray, meta: np.ndarray, label: np.ndarray):
+        held = np.arange(len(label)) % 4 == 0
+        self.sound = all(len(np.unique(label[rows])) == 2 for rows in (held, ~held))
+        if self.sound:
+            self.mean, self.scale = text[~held].mean(0), text[~held].std(0) + 1e-2
+            self.held, self.y = (text[held], meta[held]), label[held].astype(np.float64)
+            self.given = [[(text[~held], label[~held])], [(meta[~held], label[~held])]]
+
+    def teach(self, view: int, rows: np.ndarray, label: np.ndarray) -> None:
+        """Rows of the view that the other one has named."""
+        self.given[view].append((rows, label))
+
+    def fit(self) -> Model:
+        """Both views fitted on what they were given, calibrated on held-back rows, and combined."""
+        weights, scales = [], []
+        for k, penalty in enumerate(PENALTIES):
+            standard = (lambda x: ((x - self.mean) / self.scale).astype(np.float32)) if k == 0 else (lambda x: x)
+            x, y = (np.concatenate(c) for c in zip(*self.given[k], strict=True))
+            weights.append(fit_logistic(standard(x), y.astype(np.float32), penalty=penalty))
+            # A view that knows little is calibrated to be unsure.
+            scales.append(fit_logistic(log_odds(standard(self.held[k]), weights[k]).astype(np.float64)[:, None], self.y, penalty=1e-3, steps=500))
+        model = Model(*weights, self.mean, self.scale, *scales, np.array([1.0, 0.0, 0.0]))
+        model.combined = fit_logistic(np.stack(model.views(*self.held), 1).astype(np.float64), self.y, penalty=1e-3, steps=500)
+        return model
+
+
+def confident(ids: np.ndarray, known: np.ndarray, text: np.ndarray, meta: np.ndarray, salt: int):
+    """(view, digest, id, label) of rows that a view is sure of and the other is not against; ``known`` rows have ids, are
+    not blank and not yet used."""
+    digest = mix64(ids.view(np.uint64) + np.uint64(salt)) >> np.uint64(1)
+    out = []
+    for view, (p, theirs) in enumerate(((text, meta), (meta, text))):
+        sure = known & (np.maximum(p, 1 - p) >= CONFIDENT) & ((p >= 0.5) == (theirs >= 0.5))
+        out.append((np.full(int(sure.sum()), view), digest[sure].astype(np.int64), ids[sure], (p[sure] >= 0.5).astype(np.int64)))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def _featurise(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -126,16 +134,10 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", "lang", "source", "n_chars")
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pooled: int = POOLED) -> Model | None:
-    small_batches(docs.sparkSession)
-    order = F.xxhash64(F.col("doc_id").cast("long"))
-    marked = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
-    known = marked.orderBy(order, "doc_id").limit(labelled)
-    pool = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").orderBy(order, "doc_id").limit(pooled)
-    # At most ``labelled + pooled`` pairs of numbers: bounded by the parameters, so both may be broadcast.
-    wanted = known.unionByName(pool.withColumn("quality", F.lit(-1))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+def _fetch(docs: DataFrame, wanted: DataFrame) -> pa.Table:
+    """doc_id, label and both views of the rows named in ``wanted`` (doc_id, label): few, by the parameters."""
     rows = _columns(docs).join(F.broadcast(wanted), "doc_id")
-    out = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("text_view", pa.binary()), ("meta_view", pa.binary())])
+    out = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("text_view", pa.binary()), ("meta_view", pa.binary())])
 
     def run(batches):
         for batch in released(batches):
@@ -143,11 +145,61 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pooled:
             parts = [pa.array([r.tobytes() for r in view.astype(np.float16)], pa.binary()) for view in (text, meta)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5).cast(pa.int32()), *parts], schema=out)
 
-    got = rows.select("doc_id", "text", "lang", "source", "n_chars", "quality").mapInArrow(run, "doc_id long, quality int, text_view binary, meta_view binary").toArrow().sort_by("doc_id")
+    return rows.select("doc_id", "text", "lang", "source", "n_chars", "label").mapInArrow(run, "doc_id long, label int, text_view binary, meta_view binary").toArrow().sort_by([("doc_id", "ascending"), ("text_view", "ascending")])
+
+
+def _views(got: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(got[c].to_pylist()), np.float16).reshape(got.num_rows, -1).astype(np.float32) for c in ("text_view", "meta_view")]
+
+
+def _named(docs: DataFrame, model: Model, used: list[int], per_round: int, salt: int, scratch: Scratch) -> DataFrame:
+    """(view, digest, id, label): of all documents that a view is sure of, those with the smallest digests, saved."""
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast((model, np.array(sorted(used), np.int64)))
+    names = ["view", "digest", "id", "label"]
+
+    def run(batches):
+        model, used = sent.value
+        best = [np.zeros((4, 0), np.int64)] * 2
+        for batch in released(batches):
+            text, meta, _ = model.score(*_featurise(batch))
+            ids = batch.column(0).fill_null(0).to_numpy()
+            blank = np.array([not (t or "").strip() for t in batch.column(1).to_pylist()], bool)
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False) & ~blank & ~np.isin(ids, used)
+            found = np.stack(confident(ids, known, text, meta, salt))
+            for view in (0, 1):
+                both = np.concatenate((best[view], found[:, found[0] == view]), 1)
+                best[view] = both[:, np.lexsort((both[2], both[1]))[:per_round]]  # a task gives out no more than may be taken
+        for rows in best:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=names)
+
+    return scratch.save(_columns(docs).mapInArrow(run, "view long, digest long, id long, label long"), "named", thin=True)
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, per_round: int = PER_ROUND) -> Model | None:
+    spark = docs.sparkSession
+    small_batches(spark)
+    scratch = Scratch(spark, "quality")
+    marked = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("label"))
+    got = _fetch(docs, marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled))
     if not got.num_rows:
         return None
-    views = [np.frombuffer(b"".join(got[c].to_pylist()), np.float16).reshape(got.num_rows, -1).astype(np.float32) for c in ("text_view", "meta_view")]
-    return co_train(*views, got["quality"].to_numpy().astype(np.int64))
+    state = CoTraining(*_views(got), got["label"].to_numpy().astype(np.int64))
+    if not state.sound:
+        return None
+    used = set(got["doc_id"].to_pylist())
+    for k in range(ROUNDS):
+        named = _named(docs, state.fit(), list(used), per_round, k, scratch)
+        taught = [named.where(F.col("view") == view).orderBy("digest", "id").limit(per_round).select("id", "label").distinct().toArrow() for view in (0, 1)]
+        if not any(t.num_rows for t in taught):
+            break
+        for view, table in enumerate(taught):
+            if table.num_rows:
+                rows = _fetch(docs, spark.createDataFrame(table).groupBy(F.col("id").alias("doc_id")).agg(F.max("label").cast("int").alias("label")))
+                state.teach(1 - view, _views(rows)[1 - view], rows["label"].to_numpy().astype(np.int64))
+                used.update(rows["doc_id"].to_pylist())
+        scratch.drop(named)
+    return state.fit()
 
 
 def _scores(model: Model | None, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat_text, lower_ascii, mix64, partitions, released, shingle_sets
+from .common import CHUNK_BYTES, chunks, flat_text, long_shingles, lower_ascii, mix64, partitions, released, shingle_sets
 
 #: Share of a set, in per cent, that two linked texts have in common within their first shingles by hash.
 FIRST_PERCENT = 15
@@ -77,6 +77,9 @@ def text_sets(column: pa.Array, width: int):
     """Runs of texts of one chunk's bytes: first row, end row, their sorted distinct shingle hashes."""
     data, offsets = flat_text(column)
     for a, b in chunks(offsets):
+        if offsets[b] - offsets[a] > CHUNK_BYTES:  # one long text
+            yield a, b, [long_shingles(data[offsets[a] : offsets[b]], width)]
+            continue
         part = lower_ascii(data[offsets[a] : offsets[b]])
         yield a, b, shingle_sets(part, offsets[a : b + 1] - offsets[a], width)
 

@@ -2,12 +2,15 @@
 
 import bisect
 import hashlib
+import math
 import random
 import re
 import struct
+import subprocess
+import sys
 import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -17,7 +20,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodeworks.llm import bpe, common, components, langid, license_scan, media, ngram_join, packing, pii, quality, queries, shared_grams, url_filter
+from lodeworks.llm import bpe, common, components, features, langid, license_scan, media, ngram_join, packing, pii, quality, queries, shared_grams, url_filter
+
+from ..conftest import ROOT
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score double, seeds string, added string, `odd.name` string"
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -466,3 +471,98 @@ def test_components_by_rounds_and_at_once(spark, monkeypatch, held):
     got = {r.rep: r.label for r in components.connect(common.Scratch(spark, "t"), spark.createDataFrame([(n,) for n in nodes], "rep long"), spark.createDataFrame(links, "a long, b long")).collect()}
     want = {n: 1000 if 1000 <= n <= 1200 else 7 if n == 7 or 20 <= n < 60 else 100 if 100 <= n < 109 else 2 if n in (2, 3) else 4 if n in (4, 5) else n for n in nodes}
     assert got == want
+
+
+def plain_mix(x):
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) % 2**64
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) % 2**64
+    return x ^ x >> 31
+
+
+def test_language_equals_brute_force(spark, sf_dir):
+    """Counts, weights and the nearest centroid of each text in plain Python."""
+    docs_ = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.train(docs_.where(langid.in_training("doc_id")))
+    got = {r.doc_id: r for r in langid.predict(docs_, model).collect()}
+    keys = [[plain_mix(b + 1000 * k) for b in range(256)] for k in range(3)]
+    shift = 64 - features.NGRAM_BINS.bit_length() + 1
+    for r in docs_.where("text is not null").limit(25).collect():
+        raw = [b + 32 if 65 <= b <= 90 else b for b in r.text.encode()]
+        text = [b if 97 <= b <= 122 or b >= 128 else 32 for b in raw]
+        counts = Counter()
+        for i in range(len(text) - 1):
+            if text[i] == text[i + 1] == 32:
+                continue
+            two = (keys[0][text[i]] + 3 * keys[1][text[i + 1]]) % 2**64
+            counts[plain_mix(two) >> shift] += 1
+            if i + 2 < len(text):
+                counts[plain_mix((two + 5 * keys[2][text[i + 2]]) % 2**64) >> shift] += 1
+        weights = {b: math.log1p(n) * float(model.idf[b]) for b, n in counts.items()}
+        norm = math.sqrt(sum(w * w for w in weights.values())) or 1e-12
+        cosines = [sum(w * float(c[b]) for b, w in weights.items()) / norm for c in model.centroids]
+        best = max(range(len(cosines)), key=lambda i: cosines[i])
+        assert got[r.doc_id].score == pytest.approx(min(1, max(0, cosines[best])), abs=1e-4)
+        assert got[r.doc_id].lang_pred == model.languages[best] or sorted(cosines)[-1] - sorted(cosines)[-2] < 1e-4
+
+
+def test_quality_score_equals_brute_force(spark, sf_dir):
+    """Features and both logistic views of each text in plain Python."""
+    docs_, marks = spark.read.parquet(f"{sf_dir}/documents.parquet"), labels_of(spark, sf_dir)
+    model = quality.train(docs_, marks)
+    got = {r.doc_id: r for r in quality.score(docs_, model).collect()}
+    logistic = lambda z: 1 / (1 + math.exp(-max(-30, min(30, z))))
+    for r in docs_.where("trim(text) <> ''").limit(20).collect():
+        raw = r.text.encode()
+        lower = bytes(b + 32 if 65 <= b <= 90 else b for b in raw)
+        words = [int(common.word_hashes(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0]) for w in re.findall(rb"[^\x20\x09-\x0D]+", lower)]
+        n = max(1, len(words))
+        row = [math.sqrt(raw.count(bytes([b])) / max(1, len(raw))) for b in range(256)]
+        bins = Counter(w % features.WORD_BINS for w in words)
+        row += [math.sqrt(bins[b] / n) for b in range(features.WORD_BINS)]
+        again, distinct = sum(a == b for a, b in zip(words, words[1:])), len(set(words))
+        row += [again / n, distinct / math.sqrt(n) / 10, distinct / n, min(len(raw) / n, 60) / 10, math.log1p(len(words)) / 10, math.log1p(n / (raw.count(b"\n") + 1)) / 5]
+        z = float(np.dot((np.array(row) - model.mean) / model.scale, model.text[:-1]) + model.text[-1])
+        z = max(-30, min(30, z)) * model.text_calibration[0] + model.text_calibration[1]
+        assert got[r.doc_id].text_score == pytest.approx(logistic(z), abs=2e-3)
+        m = quality.metadata_features([r.lang], [r.source], [r.n_chars])[0]
+        y = max(-30, min(30, float(m @ model.meta[:-1] + model.meta[-1]))) * model.meta_calibration[0] + model.meta_calibration[1]
+        both = model.combined[0] * max(-30, min(30, z)) + model.combined[1] * max(-30, min(30, y)) + model.combined[2]
+        assert got[r.doc_id].score == pytest.approx(logistic(both), abs=2e-3) and got[r.doc_id].keep == (got[r.doc_id].score >= quality.THRESHOLD)
+
+
+def labels_of(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def test_long_texts_equal_short_ones_piece_by_piece(monkeypatch):
+    rng = random.Random(1)
+    for _ in range(60):
+        text = "".join(rng.choices(["a", "B", "word ", " ", "\n", "é", "  x", "longwordhere", "🙂", "the "], k=rng.randint(1, 120)))
+        data = np.frombuffer(text.encode(), np.uint8)
+        at = np.array([0, len(data)])
+        whole = common.shingle_sets(common.lower_ascii(data), at)[0]
+        row, grams = features.quality_features(data, at), next(iter(features.ngram_counts(data, at)))[2]
+        for size in (1, 3, 7, 50):
+            assert common.long_shingles(data, 5, size).tolist() == whole.tolist()
+            with monkeypatch.context() as m:
+                m.setattr(common, "CHUNK_BYTES", size)
+                m.setattr(features, "CHUNK_BYTES", size)
+                assert np.allclose(features.quality_features(data, at), row, atol=1e-6)
+                assert (next(iter(features.ngram_counts(data, at)))[2] == grams).all()
+
+
+@pytest.mark.parametrize("work", ["[len(s[0]) for _, _, s in shared_grams.text_sets(c, 5)]", "features.quality_features(*common.flat_text(c))", "list(features.ngram_counts(*common.flat_text(c)))"])
+def test_a_text_of_50_mb_stays_below_a_gigabyte(work):
+    code = f"""
+import resource, sys
+sys.path.insert(0, {str(ROOT)!r})
+import numpy as np, pyarrow as pa
+from lodeworks.llm import common, features, shared_grams
+r = np.random.default_rng(0)
+d = r.integers(97, 123, 50_000_000, dtype=np.uint8)
+d[r.integers(0, len(d), len(d) // 6)] = 32
+c = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(d)], np.int64)), pa.py_buffer(d)])
+{work}
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 1_000_000
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300)
