@@ -6,6 +6,7 @@ symbols, orders and line items are calls, nations and regions a class hierarchy,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import jsoneval, names, paths, texts
 from ..operators import coverage, crossref, filters, graph, history, layout, loganalytics, lookup, merge, producers, render, results
 from ..sources import texts as source_texts
+from ..storage import shared_dir
 from ..streaming import windows
 from . import language, runner
 
@@ -813,14 +815,25 @@ def index(spark: SparkSession, sf_dir: str) -> runner.Index:
     return runner.Index(kinds, source_texts.lines(_t(spark, sf_dir, "documents")), ids, hits, crossref.names(marked), None, {"callees": calls, "uses": uses})
 
 
-@query(f"""WITH {_TOKENS}, hits AS (SELECT DISTINCT {_KIND} AS path_kind, CASE kind WHEN 'def' THEN 'Definitions' ELSE 'Uses' END AS kind, pretty, path, lno FROM targets WHERE starts_with(pretty, 'thouer')),
+_DEFAULT = f"""WITH {_TOKENS}, hits AS (SELECT DISTINCT {_KIND} AS path_kind, CASE kind WHEN 'def' THEN 'Definitions' ELSE 'Uses' END AS kind, pretty, path, lno FROM targets WHERE starts_with(pretty, 'thouer')),
  txt AS (SELECT DISTINCT {_KIND} AS path_kind, path, lno FROM lines WHERE strlen(text) <= 4096 AND regexp_matches(text, '(?i)thouer'))
- SELECT path_kind, kind, pretty, path, lno AS l0 FROM hits UNION ALL SELECT path_kind, 'TextualOccurrences', '', path, lno FROM txt WHERE (path, lno) NOT IN (SELECT (path, lno) FROM hits)""")
+ SELECT path_kind, kind, pretty, path, lno AS l0 FROM hits UNION ALL SELECT path_kind, 'TextualOccurrences', '', path, lno FROM txt WHERE (path, lno) NOT IN (SELECT (path, lno) FROM hits)"""
+
+
+@query(_DEFAULT)
 def query_default(spark, sf_dir):
     """The default query of a word, through the compiler."""
     return runner.run(index(spark, sf_dir), "thouer").select("path_kind", "kind", "pretty", "path", *_long("l0"))
 
 
+@query(_DEFAULT)
+def query_stored(spark, sf_dir):
+    """The same query over an index that is stored first, sorted by its keys."""
+    path = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    runner.store(index(spark, sf_dir), path)
+    return runner.run(runner.load(spark, path), "thouer").select("path_kind", "kind", "pretty", "path", *_long("l0"))
+
+
 @query("SELECT * FROM (VALUES (0, 'file-search'), (0, 'semantic-search'), (0, 'text-search'), (1, 'compile'), (2, 'display')) p(phase, name)")
 def plan_default(spark, sf_dir):
     plan = language.compile_query("thou path:en/** context:2").dump()

@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import split_name
 from ..functions.paths import escape_regex, glob_to_regex
 from ..operators import graph, layout, legacy, lookup, results
+from ..sources.records import write_sorted
 from .language import GROUPS, JUNCTIONS, Command, Plan, QueryError, compile_query, parse_legacy, too_short
 
 
@@ -37,6 +38,32 @@ class Index:
     fields: DataFrame | None = None
 
 
+#: The key that each stored table is sorted by, so that a lookup or a prefix search prunes files and row groups.
+_KEYS = {"files": ("path",), "lines": ("path", "lno"), "identifiers": ("id_upper", "id", "sym"), "hits": ("sym", "path"), "names": ("sym",), "relations": ("sym",), "links": ("sym",), "labels": ("sym",), "methods": ("sym",), "fields": ("cls",)}
+
+
+def store(index: Index, path: str) -> None:
+    """Write an index once, each table dealt and sorted by its key; ``load`` reads it, and queries then build nothing."""
+    for name, keys in _KEYS.items():
+        table = getattr(index, name)
+        if table is not None:
+            write_sorted(table, f"{path}/{name}", *keys)
+    for name, edges in (index.edges or {}).items():
+        write_sorted(edges, f"{path}/edges/{name}", "src")
+
+
+def load(spark: SparkSession, path: str, edges: tuple[str, ...] = ()) -> Index:
+    """A stored index; a table that was not stored is absent."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+
+    def read(name: str) -> DataFrame | None:
+        at = hadoop(f"{path}/{name}")
+        there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        return spark.read.parquet(f"{path}/{name}") if there else None
+
+    return Index(**{name: read(name) for name in _KEYS}, edges={e: t for e in edges if (t := read(f"edges/{e}")) is not None} or None)
+
+
 def _search(index: Index, commands: list[Command]) -> DataFrame | None:
     """The symbols of a semantic group: sym, rank, pretty, from_ident, relation."""
     found = None
@@ -215,11 +242,20 @@ def run_legacy(index: Index, query: str) -> DataFrame:
     return results.legacy_compile(rows if path is None else rows.where(F.col("path").rlike(f"(?iu){path}")))
 
 
+def _hits_of(index: Index, symbols: DataFrame) -> DataFrame:
+    """Hits of the symbols found.  A search gives few, so the scan of a stored index gets them as a list to prune by; many
+    are joined."""
+    found = symbols.select("sym", "rank", "pretty")
+    few = [r.sym for r in found.select("sym").distinct().limit(lookup.IDENTIFIERS + 1).collect()]
+    hits = index.hits.where(F.col("sym").isin(few)) if len(few) <= lookup.IDENTIFIERS else index.hits
+    return hits.join(found, "sym")
+
+
 def _compile(index: Index, parts: dict[str, DataFrame]) -> DataFrame:
     """Files, semantic hits and text hits in one table."""
     empty = index.hits.where("false")
     symbols = parts.get("semantic-search")
-    hits = empty.select("sym", "kind", "path", "path_kind", "lno", F.lit(0).alias("rank"), F.lit("").alias("pretty")) if symbols is None else index.hits.join(symbols.select("sym", "rank", "pretty"), "sym")
+    hits = empty.select("sym", "kind", "path", "path_kind", "lno", F.lit(0).alias("rank"), F.lit("").alias("pretty")) if symbols is None else _hits_of(index, symbols)
     semantic = results.semantic_results(hits.withColumn("peek_first", F.lit(None).cast("int")).withColumn("peek_last", F.lit(None).cast("int")))
     text = parts.get("text-search")
     kinds = index.files.select("path", "path_kind")

@@ -149,6 +149,21 @@ def test_stored_identifiers_prune_by_prefix(spark, tmp_path):
     assert len(spans) > 1 and sum(a <= "NAME019~" and b >= "NAME019" for a, b in spans) < len(spans)
 
 
+def test_a_stored_index_is_pruned_by_symbols(spark, tmp_path):
+    hits = spark.range(4000).select(F.format_string("s%04d", "id").alias("sym"), F.lit("def").alias("kind"), F.lit("a/b").alias("path"), F.lit("normal").alias("path_kind"), F.col("id").cast("int").alias("lno"))
+    named = hits.select("sym", F.concat(F.lit("name"), "sym").alias("pretty"))
+    ids = named.select(F.col("pretty").alias("id"), "sym", F.upper("pretty").alias("id_upper"))
+    kinds = spark.createDataFrame([("a/b", "normal")], "path string, path_kind string")
+    lines = spark.createDataFrame([("a/b", 1, "x")], "path string, lno int, text string")
+    index = runner.Index(kinds, lines, ids, hits, named)
+    runner.store(index, str(tmp_path / "index"))
+    found = runner.run(runner.load(spark, str(tmp_path / "index")), "id:names0123")
+    assert [(r.kind, r.pretty, r.l0) for r in found.collect()] == [("Definitions", "names0123", 123)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(sym,s0123)" in plan or "In(sym, [s0123])" in plan
+    assert runner.load(spark, str(tmp_path / "index")).relations is None
+
+
 def test_a_cluster_must_name_its_shared_folder():
     class Conf:
         def get(self, *_):
