@@ -20,6 +20,9 @@ PATH_NODE_LIMIT = 8192
 #: A symbol used in so many paths is not walked further.
 SKIP_USES = 16
 LOCAL_LIMIT = 100
+#: Symbols that a walk may start from, and paths that an enumeration may hold.
+SEEDS = 10_000
+PATHS = 1_000_000
 GLOBAL_LIMIT = 400
 
 
@@ -297,6 +300,14 @@ def merge_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.min_by("kind", "ord").alias("kind"), F.count("*").alias("n_edges"))
 
 
+def _few(seeds: DataFrame) -> list[str]:
+    """The seeds of a walk that keeps its state on the driver, in order; too many are refused before they are fetched."""
+    found = [r.sym for r in seeds.select("sym").distinct().orderBy("sym").limit(SEEDS + 1).collect()]
+    if len(found) > SEEDS:
+        raise ValueError(f"more than {SEEDS} symbols to start from")
+    return found
+
+
 def expand_relations(seeds: DataFrame, relations: DataFrame, local_limit: int = LOCAL_LIMIT, global_limit: int = GLOBAL_LIMIT) -> tuple[DataFrame, list[dict]]:
     """sym, relation, root, distance of the symbols that relations tie to the seeds, and the lists that were too long.
 
@@ -319,7 +330,7 @@ def expand_relations(seeds: DataFrame, relations: DataFrame, local_limit: int =
         ("CousinOverrideOf", "overriddenBy"): "CousinOverrideOf",
         ("CousinClassOf", "subclasses"): "CousinClassOf",
     }
-    queue = [(r.sym, "Queried", r.sym, 0) for r in seeds.select("sym").orderBy("sym").collect()]
+    queue = [(s, "Queried", s, 0) for s in _few(seeds)]
     met, rows, overloads = {q[0] for q in queue}, list(queue), []
     used = {"overriddenBy": 0, "subclasses": 0}
     while queue:
@@ -356,7 +367,10 @@ def paths_between(sources: DataFrame, targets: DataFrame, edges: DataFrame, max_
     for _ in range(max_nodes - 1):
         longer = here.withColumn("at", F.element_at("path", -1)).join(edges.select(F.col("src").alias("at"), F.col("dst").alias("next")).distinct(), "at")
         here = cut_lineage(longer.where(~F.array_contains("path", F.col("next"))).select("src", F.concat("path", F.array("next")).alias("path")))
-        if here.isEmpty():
+        held = here.count()
+        if held > PATHS:
+            raise ValueError(f"more than {PATHS} paths: ask for fewer nodes or nearer ends, or use a walk with limits")
+        if not held:
             break
         hit = here.withColumn("dst", F.element_at("path", -1)).join(ends, "dst", "left_semi")
         found = hit if found is None else found.unionByName(hit)

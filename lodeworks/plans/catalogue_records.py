@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import names, paths, templating, tokenize
-from ..operators import history, merge, ontology, producers
+from ..functions import locations, names, paths, templating, texts, tokenize
+from ..operators import coverage, history, loganalytics, lookup, merge, ontology, producers, render
+from ..sources import coverage_report
 from ..sources import records as source_records
 from ..sources import texts as source_texts
 from ..storage import shared_dir
-from .catalogue import _LINES, _PATH, _long, _t, files, query
+from .catalogue import _LINES, _PATH, _long, _part_hits, _t, files, query
 
 # ---------------------------------------------------------------- record files
 
@@ -286,3 +287,86 @@ def blame_renamed(spark, sf_dir):
     second = part.select(key.alias("path"), F.lit(2).cast("bigint").alias("rev"), F.lit("a\nc").alias("text"), F.concat(F.lit("old"), key).alias("old_path"))
     found = history.blame(first.unionByName(second)).where("rev = 2")
     return found.select("path", *_long("lno"), "orig_rev", "orig_path")
+
+
+# ---------------------------------------------------------------- logs, coverage, pages, locations
+
+
+@query("SELECT event_id FROM events WHERE event_id % 4 <> 0")
+def logs_without_bots(spark, sf_dir):
+    agent = F.when(F.col("event_id") % 4 == 0, "Some-Crawler/1.0").otherwise("Browser/2")
+    return loganalytics.without_bots(_t(spark, sf_dir, "events").withColumn("agent", agent)).select("event_id")
+
+
+@query("""SELECT lang || '/' || source || '/' || doc_id || '.txt' AS path, unnest([1, 2, 3])::BIGINT AS lno, unnest([doc_id % 5, NULL, 0])::BIGINT AS hits FROM documents WHERE lang = 'en'""")
+def coverage_report_lines(spark, sf_dir):
+    """Nested reports, one for each source, read back as lines; a negative count means that a line cannot be covered."""
+    docs = _t(spark, sf_dir, "documents").where("lang = 'en'")
+    leaf = F.struct(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.array(F.col("doc_id") % 5, F.lit(-1).cast("bigint"), F.lit(0).cast("bigint")).alias("coverage"))
+    files_of = docs.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct(leaf["name"].alias("k"), F.struct(leaf["coverage"].alias("coverage")).alias("v")))).alias("children"))
+    tree = F.to_json(F.struct(F.create_map(F.lit("en"), F.struct(F.create_map("source", F.struct("children")).alias("children"))).alias("children")))
+    import uuid
+
+    path = f"{shared_dir(spark).rstrip('/')}/report-{uuid.uuid4().hex}"
+    files_of.select("source", tree.alias("value")).write.partitionBy("source").text(path)
+    found = None
+    for r in files_of.select("source").collect():
+        one = coverage_report.covered_lines(coverage_report.read_report(spark, f"{path}/source={r.source}"))
+        found = one if found is None else found.unionByName(one)
+    return found.select("path", *_long("lno", "hits"))
+
+
+@query("SELECT lang || '/' || source AS path, doc_id AS committed, n_chars::BIGINT AS covered FROM documents WHERE lang = 'en' AND source = 'src1'")
+def coverage_history(spark, sf_dir):
+    nodes = _t(spark, sf_dir, "documents").select(F.concat_ws("/", "lang", "source").alias("path"), F.col("doc_id").alias("committed"), F.col("n_chars").cast("bigint").alias("covered"))
+    return coverage.history(nodes, "en/src1")
+
+
+@query("SELECT unnest(['N::S' || s_suppkey, 'N']) AS emitted, s_suppkey FROM supplier")
+def outline_with_parents(spark, sf_dir):
+    rows = _t(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("N::S"), "s_suppkey").alias("pretty"))
+    return history.with_parents(rows).select("emitted", "s_suppkey")
+
+
+@query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, CASE WHEN l_quantity > 25 THEN 'S' || l_suppkey END AS sym, l_partkey, l_suppkey FROM lineitem")
+def tokens_with_records(spark, sf_dir):
+    """Tokens and the record that begins at each, if any."""
+    items = _t(spark, sf_dir, "lineitem")
+    tokens = items.select(F.concat_ws("/", "l_orderkey", "l_partkey", "l_suppkey", "l_quantity").alias("path"), F.col("l_linenumber").alias("lno"), F.lit(4).alias("col"), "l_orderkey", "l_partkey", "l_suppkey")
+    records = items.where("l_quantity > 25").select(F.concat_ws("/", "l_orderkey", "l_partkey", "l_suppkey", "l_quantity").alias("path"), F.col("l_linenumber").alias("lno"), F.lit(4).alias("col"), F.concat(F.lit("S"), "l_suppkey").alias("sym"))
+    return render.tokens_with_records(tokens, records).select("l_orderkey", F.col("lno").cast("bigint").alias("l_linenumber"), "sym", "l_partkey", "l_suppkey")
+
+
+@query("SELECT o_orderkey, 'see <a href=\"https://x.example/' || o_custkey || '\">https://x.example/' || o_custkey || '</a> and #<a href=\"https://pulls.example.org/' || o_custkey || '\">' || o_custkey || '</a>' AS text FROM orders")
+def linkify_addresses(spark, sf_dir):
+    text = F.concat(F.lit("see https://x.example/"), F.col("o_custkey").cast("string"), F.lit(" and #"), F.col("o_custkey").cast("string"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", texts.link_pulls(texts.link_urls(text), "https://pulls.example.org/").alias("text"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 1 THEN 'def' ELSE 'use' END AS kind FROM part")
+def symbol_roles(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", texts.scip_kind(F.col("p_size").cast("int")).alias("kind"))
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey, lpad(l_linenumber::VARCHAR, 5, '0') || ':' || l_linenumber || CASE WHEN l_returnflag = 'A' THEN '' ELSE '-' || (l_linenumber + 3) END AS loc, l_linenumber::BIGINT AS lineno, (CASE WHEN l_returnflag = 'A' THEN l_linenumber ELSE l_linenumber + 3 END)::BIGINT AS col_end FROM lineitem")
+def location_round_trip(spark, sf_dir):
+    start = F.col("l_linenumber").cast("bigint")
+    end = F.when(F.col("l_returnflag") == "A", start).otherwise(start + 3)
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", locations.format_location(start, start, end).alias("loc"))
+    return rows.withColumn("p", locations.parse_location(F.col("loc"))).select("l_orderkey", "l_partkey", "l_suppkey", "loc", "p.lineno", "p.col_end")
+
+
+@query("SELECT min(path) AS path, sym FROM (SELECT 'O_' || l_orderkey || '#' || l_linenumber AS path, 'P_' || l_partkey AS sym FROM lineitem WHERE l_returnflag = 'A' AND l_partkey = 7) GROUP BY sym")
+def first_definition(spark, sf_dir):
+    """The place to which a jump to a symbol's definition leads."""
+    found = lookup.definition(_part_hits(spark, sf_dir).withColumn("path", F.concat_ws("#", "path", "lno")), "P_7")
+    return found.select("path", "sym")
+
+
+@query("SELECT 'd' || doc_id || '/x.cpp' AS path, 'd' || doc_id || '/x.h' AS other FROM documents WHERE doc_id % 3 = 0")
+def counterpart_files(spark, sf_dir):
+    """A source file's header of the same stem, where there is one."""
+    docs = _t(spark, sf_dir, "documents")
+    stem = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("/x"))
+    paths_ = docs.select(F.concat(stem, F.lit(".cpp")).alias("path")).unionByName(docs.where("doc_id % 3 = 0").select(F.concat(stem, F.lit(".h")).alias("path")))
+    return render.counterpart(paths_, {"cpp": ["h", "hpp"]})
