@@ -20,8 +20,9 @@ from ..storage import shared_dir
 BATCH_ROWS = 512
 #: Bytes in one Arrow batch, about; a single longer row is its own batch.
 BATCH_BYTES = 8 << 20
-#: So many partitions of a thin table go into one file.
-THIN = 8
+#: So many partitions of a thin table go into one file, and files that a merged table has at least.
+THIN = 16
+FILES = 4
 #: Bytes of text that the vectorised passes look at together.
 CHUNK_BYTES = 2 << 20
 
@@ -44,11 +45,13 @@ class Scratch:
         self.spark, self.base = spark, f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self.saved: list[str | None] = []
 
-    def save(self, df: DataFrame, name: str = "t", thin: bool = False) -> DataFrame:
-        """``thin``: rows are ids and numbers, a small part of a text's size, so that fewer and larger files hold them."""
+    def save(self, df: DataFrame, name: str = "t", thin: bool = False, merge: int = 1) -> DataFrame:
+        """``merge``: so many partitions go into one file.  ``thin``: rows are ids and numbers, a small part of a text's
+        size, so that few and larger files hold them."""
         path = f"{self.base}/{name}-{len(self.saved)}"
         self.saved.append(path)
-        (df.coalesce(max(1, partitions(self.spark) // THIN)) if thin else df).write.parquet(path)
+        merge = THIN if thin else merge
+        (merged(df, merge) if merge > 1 else df).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
@@ -76,6 +79,11 @@ class Scratch:
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def merged(df: DataFrame, many: int) -> DataFrame:
+    """The rows in fewer partitions; each of the old ones is still computed by itself."""
+    return df.coalesce(max(FILES, partitions(df.sparkSession) // many))
+
+
 def passed_through(docs: DataFrame, run) -> DataFrame:
     """``mapInArrow`` over all columns, whatever their names."""
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])

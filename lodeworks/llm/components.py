@@ -80,7 +80,7 @@ def connect(scratch: Scratch, nodes: DataFrame, links: DataFrame) -> DataFrame:
     few = scratch.save(contracted(links), "few", thin=True)
     if few.count() <= HELD_IDS:
         labels = scratch.save(_labelled(few.coalesce(1)), "labels", thin=True)
-        return scratch.save(nodes.join(labels, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label")), "components", thin=True)
+        return nodes.join(F.broadcast(labels), "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"))
     both = few.unionByName(few.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = scratch.save(both, "both", thin=True)
     labels = scratch.save(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("rep"), F.least("a", "m").alias("label")), "labels", thin=True)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import BATCH_BYTES, Scratch, partitions, released, small_batches
+from .common import BATCH_BYTES, Scratch, merged, partitions, released, small_batches
 from .components import connect, find, join, together
 from .shared_grams import bitmap, prefixes, set_digest, survivors, text_sets
 
@@ -381,11 +381,11 @@ def _labelled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
     small_batches(spark)
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    digest = scratch.save(survivors(docs, width, percent), "digest")
+    digest = scratch.save(survivors(docs, width, percent), "digest", merge=4)
     copies = scratch.save(digest.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("shares").alias("shares")), "copies", thin=True)
     sharing = scratch.save(copies.where("shares and rep is not null").select(F.col("rep").alias("doc_id")).distinct(), "sharing", thin=True)
-    firsts = scratch.save(prefixes(_only(docs, sharing, "left_semi"), width, percent), "prefixes")
-    tiles = scratch.save(_tiles(firsts), "tiles")
+    firsts = scratch.save(prefixes(_only(docs, sharing, "left_semi"), width, percent), "prefixes", merge=4)
+    tiles = scratch.save(_tiles(firsts), "tiles", merge=4)
     low = F.filter(F.arrays_zip("sizes", "reps", "low"), lambda m: m["low"])
     cut = tiles.where("cut").groupBy("shingle").agg(F.count("*").alias("tiles"), F.min(F.get(low, F.lit(0))).alias("first"))
     cut = scratch.save(cut, "cut", thin=True)
@@ -413,7 +413,7 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     rows, of_set = _labelled(docs, width, percent)
     known = rows.join(of_set, ["n", "d1", "d2"], "left")
-    return known.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
+    return merged(known.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id")), 4)
 
 
 def _with_digest(docs: DataFrame, width: int) -> DataFrame:
