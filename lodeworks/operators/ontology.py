@@ -10,8 +10,11 @@ from .graph import closure
 
 
 def labels_by_name(symbols: DataFrame, rules: DataFrame) -> DataFrame:
-    """(sym, label) of rules (pretty, label) for every symbol of that name."""
-    return symbols.join(rules, "pretty").select("sym", "label").distinct()
+    """(sym, label) of rules (pretty, label) for every symbol of that name.
+
+    Rules that repeat count once, so rows multiply by the labels of a name only.
+    """
+    return symbols.join(rules.select("pretty", "label").distinct(), "pretty").select("sym", "label").distinct()
 
 
 def labels_of_containing_class(roots: DataFrame, subclasses: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -19,7 +22,7 @@ def labels_of_containing_class(roots: DataFrame, subclasses: DataFrame, symbols:
 
     ``roots`` (sym, label), ``subclasses`` (src, dst), ``symbols`` (sym, pretty).  Cycles end.
     """
-    below = closure(roots.select("sym").distinct(), subclasses).where("distance > 0").join(roots.select(F.col("sym").alias("root"), "label"), "root")
+    below = closure(roots.select("sym").distinct(), subclasses).where("distance > 0").join(roots.select(F.col("sym").alias("root"), "label").distinct(), "root")
     named = below.join(symbols, "sym").select(F.regexp_extract("pretty", r"^(.*)::[^:]*$", 1).alias("pretty"), "label").where("pretty <> ''")
     return named.distinct().join(symbols, "pretty").select("sym", "label").distinct()
 
@@ -32,7 +35,7 @@ def labels_of_field_uses(fields: DataFrame, hits: DataFrame, suffix: str, label:
 
 def labels_of_owners(fields: DataFrame, rules: DataFrame) -> DataFrame:
     """(sym, label) of each class with a field of exactly the type ``class <pretty>``."""
-    return fields.join(rules.select(F.concat(F.lit("class "), "pretty").alias("type"), "label"), "type").select(F.col("owner").alias("sym"), "label").distinct()
+    return fields.join(rules.select(F.concat(F.lit("class "), "pretty").alias("type"), "label").distinct(), "type").select(F.col("owner").alias("sym"), "label").distinct()
 
 
 def runnables(roots: DataFrame, overridden_by: DataFrame, methods: DataFrame, hits: DataFrame) -> DataFrame:
