@@ -1,6 +1,6 @@
 """Steps whose work must grow no faster than their input, and results that no limit may cut."""
 
-from lodeworks.operators import ontology
+from lodeworks.operators import history, ontology
 
 
 def rows_made(df) -> int:
@@ -28,3 +28,10 @@ def test_repeated_rules_do_not_multiply_symbols(spark):
     found = ontology.labels_by_name(symbols, rules)
     assert rows_made(found) <= 400
     assert found.count() == 200
+
+
+def test_renames_broadcast_no_lines(spark):
+    files = spark.range(4).selectExpr("1L as rev", "concat('f', id) as path", "concat('a', id, '\nb', id) as text")
+    found = history.renames(files, files.selectExpr("rev", "concat('new', path) as path", "text"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.path, r.old_path, r.similarity) for r in found.collect()} == {(f"newf{i}", f"f{i}", 100) for i in range(4)}
