@@ -10,10 +10,14 @@ import re
 import tomllib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Names that a substring join broadcasts, at most.
+FEW_NAMES = 10_000
+
+
 def _all_on_lines(lines: DataFrame, pattern: str, group: int = 1) -> DataFrame:
     """A row per match of a line: its text, its place among the line's matches, and the line."""
     found = F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
@@ -62,12 +66,28 @@ def doc_bindings(symbols: DataFrame) -> DataFrame:
 def symbols_with_part(names: DataFrame, symbols: DataFrame, piece: int = 8) -> DataFrame:
     """name, sym: the last symbol (by ``ord``) that holds a mangled name somewhere.
 
-    A substring join without comparing all pairs: a symbol is found by the name's first ``piece`` characters, which are one
-    of the symbol's own runs of that length; only those are compared in full.  Names must be that long at least.
+    A substring join without comparing all pairs: a symbol is found by the run of ``piece`` characters of the name that
+    fewest symbols have; only those are compared in full.  Names must be that long at least.  Names are broadcast if they
+    are few, counted first; symbols, whose runs no estimate foresees, never are.
     """
-    run = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("sym") - piece + 1, F.lit(1))), lambda i: F.substring("sym", i, F.lit(piece)))
-    spread = symbols.where(F.char_length("sym") >= piece).select("sym", "ord", F.explode(F.array_distinct(run)).alias("run"))
-    hit = names.where(F.char_length("name") >= piece).withColumn("run", F.substring("name", 1, piece)).join(spread, "run").where(F.contains("sym", "name"))
+
+    def runs_of(column: str) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(column) - piece + 1), lambda i: F.substring(column, i, F.lit(piece))))
+
+    def runs(df: DataFrame, column: str) -> DataFrame:
+        return df.where(F.char_length(column) >= piece).withColumn("run", F.explode(runs_of(column)))
+
+    names = names.select("name").distinct()
+    few = names.limit(FEW_NAMES + 1).count() <= FEW_NAMES
+
+    def sided(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few else df.hint("merge")
+
+    spread, of_names = runs(symbols.select("sym", "ord"), "sym"), runs(names, "name")
+    counts = spread.select("run").join(sided(of_names.select("run").distinct()), "run", "left_semi").groupBy("run").agg(F.count("*").alias("n"))
+    chosen = of_names.join(sided(counts), "run").groupBy("name").agg(F.min_by("run", F.struct("n", "run")).alias("run"), F.count("*").alias("met"))
+    whole = chosen.where(F.col("met") == F.size(runs_of("name")))
+    hit = spread.join(sided(whole.select("name", "run")), "run").where(F.contains("sym", "name"))
     return hit.groupBy("name").agg(F.max_by("sym", "ord").alias("sym"))
 
 

@@ -1,6 +1,6 @@
 """Steps whose work must grow no faster than their input, and results that no limit may cut."""
 
-from lodeworks.operators import history, ontology
+from lodeworks.operators import history, ontology, producers
 
 
 def rows_made(df) -> int:
@@ -35,3 +35,15 @@ def test_renames_broadcast_no_lines(spark):
     found = history.renames(files, files.selectExpr("rev", "concat('new', path) as path", "text"))
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r.path, r.old_path, r.similarity) for r in found.collect()} == {(f"newf{i}", f"f{i}", 100) for i in range(4)}
+
+
+def test_names_of_one_prefix_and_no_broadcast_of_symbols(spark, monkeypatch):
+    monkeypatch.setattr(producers, "FEW_NAMES", 0, raising=False)
+    names = spark.range(1, 10).selectExpr("concat('Brand#', id) as name")
+    symbols = spark.range(900).selectExpr("id as ord", "concat('Brand#', id % 9 + 1) as sym")
+    found = producers.symbols_with_part(names.unionByName(spark.sql("select 'Brand#x' as name")), symbols, 6)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {(f"Brand#{i}", f"Brand#{i}") for i in range(1, 10)}
+    odd = spark.createDataFrame([("abcdef",), ("abcabcabc",), ("short",)], "name string")
+    held = spark.createDataFrame([(1, "xabcdefx"), (2, "abcdeg"), (3, "abcabcabcabc"), (4, "abcabcab")], "ord int, sym string")
+    assert {tuple(r) for r in producers.symbols_with_part(odd, held, 6).collect()} == {("abcdef", "xabcdefx"), ("abcabcabc", "abcabcabcabc")}
