@@ -308,14 +308,17 @@ def _few(seeds: DataFrame) -> list[str]:
     return found
 
 
-def expand_relations(seeds: DataFrame, relations: DataFrame, local_limit: int = LOCAL_LIMIT, global_limit: int = GLOBAL_LIMIT) -> tuple[DataFrame, list[dict]]:
+def expand_relations(seeds: DataFrame, relations: DataFrame, local_limit: int | None = LOCAL_LIMIT, global_limit: int | None = GLOBAL_LIMIT) -> tuple[DataFrame, list[dict]]:
     """sym, relation, root, distance of the symbols that relations tie to the seeds, and the lists that were too long.
 
     ``relations`` holds (sym, relation, other): ``overrides`` and ``supers`` lead up, ``overriddenBy`` and ``subclasses``
     down.  From a seed all four are followed; what was reached upwards also gives its other children as cousins; what was
     reached downwards goes on downwards.  A list longer than ``local_limit`` is skipped whole, as is one that would push
     the total above ``global_limit``; upward lists are never skipped.  The limits bound the frontier, so it is kept here.
+    With None for both no list is skipped, and the frontier, which nothing then bounds, is joined and written in rounds.
     """
+    if (local_limit is None) != (global_limit is None):
+        raise ValueError("give both limits or neither")
     step = {
         ("Queried", "overriddenBy"): "OverrideOf",
         ("Queried", "overrides"): "OverriddenBy",
@@ -330,6 +333,8 @@ def expand_relations(seeds: DataFrame, relations: DataFrame, local_limit: int =
         ("CousinOverrideOf", "overriddenBy"): "CousinOverrideOf",
         ("CousinClassOf", "subclasses"): "CousinClassOf",
     }
+    if local_limit is None:
+        return _expand_all(seeds, relations, step), []
     queue = [(s, "Queried", s, 0) for s in _few(seeds)]
     met, rows, overloads = {q[0] for q in queue}, list(queue), []
     used = {"overriddenBy": 0, "subclasses": 0}
@@ -359,6 +364,26 @@ def expand_relations(seeds: DataFrame, relations: DataFrame, local_limit: int =
     return seeds.sparkSession.createDataFrame(rows, "sym string, relation string, root string, distance int"), overloads
 
 
+def _expand_all(seeds: DataFrame, relations: DataFrame, step: dict[tuple[str, str], str]) -> DataFrame:
+    """The rows of ``expand_relations`` without limits, a join for each round.
+
+    Of several ways to a symbol the one counts that a queue would take first: ``turn`` lists, from the seed on, the
+    relation's place and the symbol of each step.
+    """
+    follow = ("overriddenBy", "overrides", "subclasses", "supers")
+    moves = F.create_map(*[F.lit(x) for (state, relation), to in step.items() for x in (f"{state}/{relation}", to)])
+    place = F.array_position(F.array(*map(F.lit, follow)), F.col("r.relation")).cast("string")
+    links = relations.where(F.col("relation").isin(*follow)).select("sym", "relation", "other")
+    found = frontier = cut_lineage(seeds.select("sym").distinct().select("sym", F.lit("Queried").alias("relation"), F.col("sym").alias("root"), F.lit(0).alias("distance"), F.array("sym").alias("turn")))
+    while not frontier.isEmpty():
+        ways = frontier.alias("q").join(links.alias("r"), F.col("q.sym") == F.col("r.sym")).withColumn("to", F.try_element_at(moves, F.concat_ws("/", "q.relation", "r.relation"))).where("to is not null")
+        turn = F.concat("turn", F.array(place, F.col("r.other")))
+        first = ways.select(F.col("r.other").alias("sym"), F.col("to").alias("relation"), "root", (F.col("distance") + 1).alias("distance"), turn.alias("turn")).groupBy("sym").agg(F.min_by(F.struct("relation", "root", "distance", "turn"), "turn").alias("w")).select("sym", "w.*")
+        frontier = cut_lineage(first.join(found.select("sym"), "sym", "left_anti"))
+        found = found.unionByName(frontier)
+    return found.drop("turn")
+
+
 def paths_between(sources: DataFrame, targets: DataFrame, edges: DataFrame, max_nodes: int = MAX_DEPTH) -> DataFrame:
     """src, dst, path, n_nodes: every simple path of at most ``max_nodes`` nodes from a source to a target."""
     here = cut_lineage(sources.select(F.col("sym").alias("src"), F.array("sym").alias("path")).distinct())

@@ -1,6 +1,8 @@
 """Steps whose work must grow no faster than their input, and results that no limit may cut."""
 
-from lodeworks.operators import history, ontology, producers
+import random
+
+from lodeworks.operators import graph, history, ontology, producers
 
 
 def rows_made(df) -> int:
@@ -47,3 +49,15 @@ def test_names_of_one_prefix_and_no_broadcast_of_symbols(spark, monkeypatch):
     odd = spark.createDataFrame([("abcdef",), ("abcabcabc",), ("short",)], "name string")
     held = spark.createDataFrame([(1, "xabcdefx"), (2, "abcdeg"), (3, "abcabcabcabc"), (4, "abcabcab")], "ord int, sym string")
     assert {tuple(r) for r in producers.symbols_with_part(odd, held, 6).collect()} == {("abcdef", "xabcdefx"), ("abcabcabc", "abcabcabcabc")}
+
+
+def test_expansion_without_limits_is_whole_and_in_the_order_of_the_queue(spark):
+    wide = spark.range(150).selectExpr("'r' as sym", "'subclasses' as relation", "concat('c', id) as other")
+    seed = spark.createDataFrame([("r",)], "sym string")
+    assert graph.expand_relations(seed, wide)[0].count() == 1
+    assert graph.expand_relations(seed, wide, None, None)[0].count() == 151
+    rng = random.Random(5)
+    rows = [(f"s{rng.randrange(30)}", rng.choice(("overriddenBy", "overrides", "subclasses", "supers")), f"s{rng.randrange(30)}") for _ in range(70)]
+    mixed, seeds = spark.createDataFrame(rows, "sym string, relation string, other string"), spark.createDataFrame([("s1",), ("s2",)], "sym string")
+    queue = {tuple(r) for r in graph.expand_relations(seeds, mixed, 10**6, 10**6)[0].collect()}
+    assert {tuple(r) for r in graph.expand_relations(seeds, mixed, None, None)[0].select("sym", "relation", "root", "distance").collect()} == queue
