@@ -2,7 +2,7 @@
 
 import random
 
-from lodeworks.operators import graph, history, ontology, producers
+from lodeworks.operators import graph, history, ontology, producers, results
 
 
 def rows_made(df) -> int:
@@ -61,3 +61,9 @@ def test_expansion_without_limits_is_whole_and_in_the_order_of_the_queue(spark):
     mixed, seeds = spark.createDataFrame(rows, "sym string, relation string, other string"), spark.createDataFrame([("s1",), ("s2",)], "sym string")
     queue = {tuple(r) for r in graph.expand_relations(seeds, mixed, 10**6, 10**6)[0].collect()}
     assert {tuple(r) for r in graph.expand_relations(seeds, mixed, None, None)[0].select("sym", "relation", "root", "distance").collect()} == queue
+
+
+def test_facets_count_every_relation(spark):
+    wide = spark.range(150).selectExpr("'r' as sym", "'subclasses' as relation", "concat('c', id) as other")
+    rows, _ = graph.expand_relations(spark.createDataFrame([("r",)], "sym string"), wide, None, None)
+    assert {tuple(r) for r in results.relation_facet(rows).collect()} == {("Self", 1), ("SubclassOf", 150)}
