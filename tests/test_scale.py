@@ -86,3 +86,11 @@ def test_holes_run_through_rows_without_growing_arrays(spark):
     found = layout.holes(spark.createDataFrame(rows, "cls string, field string, offset long, size long, bit_begin int, bit_width int"))
     assert {tuple(r) for r in found.collect()} == want
     assert "collect_list" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blame_folds_many_files_of_a_partition_in_one_pass(spark):
+    rows = [(f"f{i}", rev, text, parents) for i in range(50) for rev, text, parents in ((1, f"a{i}\nb{i}", []), (2, f"a{i}\nx{i}", [1]), (3, None, [2]))]
+    found = history.blame(spark.createDataFrame(rows, "path string, rev long, text string, parents array<long>"))
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.path, r.rev, r.lno, r.orig_rev, r.orig_lno) for r in found.collect()}
+    assert got == {(f"f{i}", *x) for i in range(50) for x in ((1, 1, 1, 1), (1, 2, 1, 2), (2, 1, 1, 1), (2, 2, 2, 2), (3, 1, 3, 1))}
