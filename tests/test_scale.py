@@ -94,3 +94,10 @@ def test_blame_folds_many_files_of_a_partition_in_one_pass(spark):
     assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
     got = {(r.path, r.rev, r.lno, r.orig_rev, r.orig_lno) for r in found.collect()}
     assert got == {(f"f{i}", *x) for i in range(50) for x in ((1, 1, 1, 1), (1, 2, 1, 2), (2, 1, 1, 1), (2, 2, 2, 2), (3, 1, 3, 1))}
+
+
+def test_blame_of_renamed_files_folds_in_one_pass(spark):
+    rows = [x for i in range(30) for x in ((f"old{i}", 1, "a\nb", None), (f"new{i}", 2, "a\nc", f"old{i}"))]
+    found = history.blame(spark.createDataFrame(rows, "path string, rev long, text string, old_path string"))
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.path, r.lno, r.orig_rev, r.orig_path) for r in found.where("rev = 2").collect()} == {(f"new{i}", n, n, f"{o}{i}") for i in range(30) for n, o in ((1, "old"), (2, "new"))}
