@@ -2,7 +2,7 @@
 
 import random
 
-from lodeworks.operators import graph, history, layout, ontology, producers, results
+from lodeworks.operators import crossref, graph, history, layout, ontology, producers, results
 
 
 def rows_made(df) -> int:
@@ -101,3 +101,14 @@ def test_blame_of_renamed_files_folds_in_one_pass(spark):
     found = history.blame(spark.createDataFrame(rows, "path string, rev long, text string, old_path string"))
     assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r.path, r.lno, r.orig_rev, r.orig_path) for r in found.where("rev = 2").collect()} == {(f"new{i}", n, n, f"{o}{i}") for i in range(30) for n, o in ((1, "old"), (2, "new"))}
+
+
+def test_pairs_of_aliases_are_not_dealt(spark, monkeypatch):
+    records = [(1, 7), (1, 8), (1, 8), (2, 9), (3, 5), (4, None), (5, 7)]
+    aliases = [(7, 70), (8, 70), (8, 80), (9, 70), (9, 70), (None, 90), (6, 60), (7, None)]
+    given = spark.createDataFrame(records, "record_id long, sym long"), spark.createDataFrame(aliases, "alias long, target long")
+    for few in (0, 10):
+        monkeypatch.setattr(crossref, "FEW_ALIASES", few, raising=False)
+        found = crossref.replace_aliases(*given)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString().split("Join")[0]
+        assert sorted(map(tuple, found.collect()), key=str) == sorted({(r, t) for r, s in records for a, t in aliases if s is not None and s == a}, key=str)
