@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import TypeRules, pointees
+from ..storage import cut_lineage
 from .graph import closure
 
+#: A type is common if it has more than one field in so many; there are fewer of these.
+COMMON = 1000
+
 
 def labels_by_name(symbols: DataFrame, rules: DataFrame) -> DataFrame:
     """(sym, label) of rules (pretty, label) for every symbol of that name.
@@ -61,7 +65,8 @@ def merge_labels(*tables: DataFrame) -> DataFrame:
 def pointer_edges(fields: DataFrame, rules: TypeRules, symbols: DataFrame) -> DataFrame:
     """owner, field, kind, target from fields (owner, field, type): what a type points to, as the smallest ``T_`` symbol.
 
-    Types repeat, so each distinct one is parsed once.
+    Types repeat, so each distinct one is parsed once and finds its target once.  What a common type (more than one field
+    in ``COMMON``) points to is broadcast, since its fields would all be dealt to one task; the others' fields are dealt.
     """
     import pandas as pd
 
@@ -70,6 +75,12 @@ def pointer_edges(fields: DataFrame, rules: TypeRules, symbols: DataFrame) -> Da
             rows = [(t, kind, name) for t in pdf["type"] for kind, name in pointees(t, rules)[0]]
             yield pd.DataFrame(rows, columns=["type", "kind", "pretty"])
 
-    parsed = fields.select("type").where("type is not null").distinct().mapInPandas(parse, "type string, kind string, pretty string")
+    counts = cut_lineage(fields.where("type is not null").groupBy("type").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n").alias("n")).first().n or 0
+    common = [r.type for r in counts.where(F.col("n") > total / COMMON).select("type").collect()]
+    parsed = counts.select("type").mapInPandas(parse, "type string, kind string, pretty string")
     named = symbols.where(F.col("sym").startswith("T_")).groupBy("pretty").agg(F.min("sym").alias("target"))
-    return fields.join(parsed, "type").join(named, "pretty").select("owner", "field", "kind", "target")
+    found = cut_lineage(parsed.join(named, "pretty").select("type", "kind", "target"))
+    often = F.col("type").isin(common)
+    one = fields.where(often).join(F.broadcast(found.where(often)), "type")
+    return one.unionByName(fields.where(~often).hint("merge").join(found, "type")).select("owner", "field", "kind", "target")

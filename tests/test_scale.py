@@ -2,6 +2,7 @@
 
 import random
 
+from lodeworks.functions import names
 from lodeworks.operators import crossref, graph, history, layout, ontology, producers, results
 
 
@@ -112,3 +113,18 @@ def test_pairs_of_aliases_are_not_dealt(spark, monkeypatch):
         found = crossref.replace_aliases(*given)
         assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString().split("Join")[0]
         assert sorted(map(tuple, found.collect()), key=str) == sorted({(r, t) for r, s in records for a, t in aliases if s is not None and s == a}, key=str)
+
+
+def test_fields_of_a_common_type_are_not_dealt(spark):
+    kind = "case when id % 2 = 0 then 'int' when id % 4 = 1 then 'class ns::A *' else concat('Ref<class ns::P', id, '>') end"
+    fields = spark.range(4000).selectExpr("'O' as owner", "concat('F', id) as field", f"{kind} as type")
+    symbols = spark.range(4000).selectExpr("concat('ns::P', id) as pretty", "concat('T_', id) as sym").union(spark.sql("select 'ns::A', 'T_A'"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = ontology.pointer_edges(fields, names.TypeRules(pointers={"Ref": ("strong", 0)}, values={"int"}), symbols)
+        assert "BroadcastExchange" in found._jdf.queryExecution().executedPlan().toString()
+        got = {tuple(r) for r in found.select("field", "kind", "target").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {(f"F{i}", "raw", "T_A") if i % 4 == 1 else (f"F{i}", "strong", f"T_{i}") for i in range(1, 4000, 2)}
