@@ -249,7 +249,7 @@ def query_legacy(spark, sf_dir):
     marked = targets(spark, sf_dir)
     kinds = files(spark, sf_dir).withColumn("path_kind", F.lit("normal"))
     ids = crossref.identifiers(marked.select("pretty", "sym"), udf=False).withColumn("id_upper", F.upper("id"))
-    hits = crossref.hits(marked, kinds).select("sym", "kind", "path", "path_kind", "lno").distinct()
+    hits = crossref.hits(marked.withColumn("path_kind", F.lit("normal")), kinds).select("sym", "kind", "path", "path_kind", "lno").distinct()
     index = runner.Index(kinds, source_texts.lines(_t(spark, sf_dir, "documents")), ids, hits, crossref.names(marked))
     return runner.run_legacy(index, "path:en/src0/** id:the").select("path_kind", "kind", "pretty", "path", *_long("lno"))
 

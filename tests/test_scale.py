@@ -1,9 +1,11 @@
 """Steps whose work must grow no faster than their input, and results that no limit may cut."""
 
 import random
+import re
 
 from lodeworks.functions import names
 from lodeworks.operators import crossref, graph, history, layout, ontology, producers, results
+from lodeworks.sources import texts
 
 
 def rows_made(df) -> int:
@@ -128,3 +130,16 @@ def test_fields_of_a_common_type_are_not_dealt(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == {(f"F{i}", "raw", "T_A") if i % 4 == 1 else (f"F{i}", "strong", f"T_{i}") for i in range(1, 4000, 2)}
+
+
+def test_words_are_numbered_without_dealing_them(spark, monkeypatch):
+    monkeypatch.setattr(texts, "PIECE", 40, raising=False)
+    docs = [(i, t, "en", "s") for i, t in enumerate(["The cat, the CAT\n\n the\u00e9nd \U0001f600 a", "", None, "1 2 3", "x\ny\r\nx", "Z " * 60])] + [(0, "zebra the", "en", "s")]
+    found = texts.tokens(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1
+    want = sorted((d, n, m.start(), m[0].lower()) for d, t, _, _ in docs if t is not None for n, line in enumerate(t.split("\n"), 1) for m in re.finditer("[A-Za-z]+", line))
+    rows = found.collect()
+    assert sorted((r.doc_id, r.lno, r.col, r.token) for r in rows) == want
+    firsts = sorted((r.doc_id, r.token, r.lno, r.col) for r in rows if r["first"])
+    assert firsts == sorted((d, w, *min((n, c) for e, n, c, x in want if (e, x) == (d, w))) for d, w in {(d, w) for d, _, _, w in want})
