@@ -12,6 +12,7 @@ from ..functions.names import split_name
 from ..functions.paths import escape_regex, glob_to_regex
 from ..operators import graph, layout, legacy, lookup, results
 from ..sources.records import write_sorted
+from ..storage import cut_lineage
 from .language import GROUPS, JUNCTIONS, Command, Plan, QueryError, compile_query, parse_legacy, too_short
 
 
@@ -83,7 +84,8 @@ def _search(index: Index, commands: list[Command]) -> DataFrame | None:
                 found = found.join(index.methods.select("sym"), "sym", "left_anti").select("sym", "rank", "from_ident").unionByName(own)
                 found, _ = lookup.crossref_lookup(found, index.names)
             else:
-                found, _ = lookup.crossref_lookup(found, index.names, "exact-match" in c.bools)
+                found = cut_lineage(found, "found")  # it is asked for its symbols, then joined twice
+                found = cut_lineage(lookup.crossref_lookup(found, _of_few(index.names, found), "exact-match" in c.bools)[0], "known")
             found = found.withColumn("relation", F.lit("Queried"))
         elif c.name == "crossref-expand" and index.relations is not None and found is not None:
             more, _ = graph.expand_relations(found, index.relations)
@@ -228,9 +230,10 @@ def run_legacy(index: Index, query: str) -> DataFrame:
         found = index.names.where(F.col("sym").isin(_names(terms["symbol"])))
     elif needle:
         ids = lookup.search_identifiers(index.identifiers, [needle], exact="id" in terms, limit=legacy.IDENTIFIERS)
-        found = ids.groupBy("sym").agg(F.min("rank").alias("rank")).join(index.names, "sym")
+        found = cut_lineage(ids.groupBy("sym").agg(F.min("rank").alias("rank")), "found")
+        found = cut_lineage(found.join(_of_few(index.names, found), "sym"), "known")
     if "symbol" in terms or needle:
-        hits = index.hits.join(found.select("sym", "pretty"), "sym").where(F.col("kind").isin(*results.KINDS_SHOWN))
+        hits = _of_few(index.hits, found).join(found.select("sym", "pretty"), "sym").where(F.col("kind").isin(*results.KINDS_SHOWN))
         rows = rows.unionByName(hits.select("path_kind", results.presentation(F.col("kind")).alias("kind"), F.lit(0).alias("rank"), "pretty", "path", "lno"))
     pattern = terms.get("re") or escape_regex(terms.get("text") or terms.get("default") or "")
     if pattern and "id" not in terms and "symbol" not in terms:
@@ -242,13 +245,16 @@ def run_legacy(index: Index, query: str) -> DataFrame:
     return results.legacy_compile(rows if path is None else rows.where(F.col("path").rlike(f"(?iu){path}")))
 
 
+def _of_few(table: DataFrame, symbols: DataFrame) -> DataFrame:
+    """The rows of the symbols found.  A search gives few, so the scan gets them as a list to prune by; many are joined."""
+    few = [r.sym for r in symbols.select("sym").distinct().limit(lookup.IDENTIFIERS + 1).collect()]
+    return table.where(F.col("sym").isin(few)) if len(few) <= lookup.IDENTIFIERS else table
+
+
 def _hits_of(index: Index, symbols: DataFrame) -> DataFrame:
-    """Hits of the symbols found.  A search gives few, so the scan of a stored index gets them as a list to prune by; many
-    are joined."""
+    """Hits of the symbols found."""
     found = symbols.select("sym", "rank", "pretty")
-    few = [r.sym for r in found.select("sym").distinct().limit(lookup.IDENTIFIERS + 1).collect()]
-    hits = index.hits.where(F.col("sym").isin(few)) if len(few) <= lookup.IDENTIFIERS else index.hits
-    return hits.join(found, "sym")
+    return _of_few(index.hits, found).join(found, "sym")
 
 
 def _compile(index: Index, parts: dict[str, DataFrame]) -> DataFrame:
