@@ -4,7 +4,10 @@ import random
 import re
 
 from lodeworks.functions import names
+import duckdb
+
 from lodeworks.operators import crossref, graph, history, layout, ontology, producers, results
+from lodeworks.plans import catalogue
 from lodeworks.sources import texts
 
 
@@ -72,6 +75,17 @@ def test_facets_count_every_relation(spark):
     assert {tuple(r) for r in results.relation_facet(rows).collect()} == {("Self", 1), ("SubclassOf", 150)}
 
 
+def test_facets_of_a_nation_of_many_suppliers_equal_the_sql(spark, tmp_path):
+    spark.sql("select 1 as n_nationkey, 1 as n_regionkey union all select 2, 2").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.range(1300).selectExpr("id as s_suppkey", "cast(id % 3 as int) as s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    con = duckdb.connect()
+    for t in ("nation", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = set(con.execute(catalogue.oracle_sql()["facet_relation"]).fetchall())
+    assert want == {("Self", 1), ("SubclassOf", 434)}
+    assert {tuple(r) for r in catalogue.queries()["facet_relation"](spark, str(tmp_path)).collect()} == want
+
+
 def test_holes_run_through_rows_without_growing_arrays(spark):
     rng = random.Random(3)
     rows = []
