@@ -425,6 +425,28 @@ def closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
     return found
 
 
+def families(links: DataFrame) -> DataFrame:
+    """sym, first of links (a, b): the smallest symbol that a symbol hangs together with, unless it is that one itself.
+
+    Each round a symbol's link goes on to the smallest one of the symbol it leads to, and its other links lead to its own
+    smallest one.  Rounds never add links, and a chain takes about as many as its length has digits, so neither long
+    chains nor symbols with many links multiply rows.
+    """
+    rows = cut_lineage(links.select(F.greatest("a", "b").alias("sym"), F.least("a", "b").alias("first")).where("sym <> first").distinct())
+
+    def lowest(df):
+        return df.groupBy("sym").agg(F.min("first").alias("low"))
+
+    while True:
+        several = rows.groupBy("sym").agg(F.count("*").alias("n")).where("n > 1")
+        further = rows.join(rows.select(F.col("sym").alias("first")), "first", "left_semi")
+        if several.isEmpty() and further.isEmpty():
+            return rows
+        up = rows.join(lowest(rows).withColumnRenamed("sym", "first"), "first", "left").select("sym", F.coalesce("low", "first").alias("first")).distinct()
+        own = up.join(lowest(up), "sym").select(F.explode(F.array(F.struct("sym", F.col("low").alias("first")), F.struct(F.col("first").alias("sym"), F.col("low").alias("first")))).alias("r"))
+        rows = cut_lineage(own.select("r.*").where("sym <> first").distinct())
+
+
 def common_ancestor(a: F.Column, b: F.Column) -> F.Column:
     """How many leading segments two segment arrays share; one less if that is all of either."""
     n = F.least(F.size(a), F.size(b))

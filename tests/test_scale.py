@@ -137,6 +137,41 @@ def test_blame_of_renamed_files_folds_in_one_pass(spark):
     assert {(r.path, r.lno, r.orig_rev, r.orig_path) for r in found.where("rev = 2").collect()} == {(f"new{i}", n, n, f"{o}{i}") for i in range(30) for n, o in ((1, "old"), (2, "new"))}
 
 
+def test_families_do_not_multiply_links(spark, monkeypatch):
+    written, kept = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda *a: written.append(kept(*a)) or written[-1])
+    rng = random.Random(6)
+    links = [(f"h{i:03}", "hub") for i in range(200)] + [(f"c{i:02}", f"c{i + 1:02}") for i in range(40)] + [("self", "self"), (None, "x"), ("y", None)]
+    links += [(f"r{rng.randrange(60):02}", f"r{rng.randrange(60):02}") for _ in range(50)]
+    root = {}
+    for a, b in ((a, b) for a, b in links if a and b):
+        while a in root:
+            a = root[a]
+        while b in root:
+            b = root[b]
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    want = set()
+    for sym in root:
+        first = sym
+        while first in root:
+            first = root[first]
+        want.add((sym, first))
+    found = graph.families(spark.createDataFrame(links, "a string, b string"))
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    assert max(df.count() for df in written) <= len(links) and len(written) <= 8
+
+
+def test_blame_of_files_that_go_on_from_one_in_the_same_revision(spark):
+    rows = [("a", 1, "p\nq", None), ("b", 1, "r\ns", None), ("copy", 2, "p\nx", "a"), ("more", 2, "y\nq", "a"), ("a", 3, "r\nt", "b"), ("b", 3, "u\nq", "a")]
+    got = {tuple(r) for r in history.blame(spark.createDataFrame(rows, "path string, rev long, text string, old_path string")).where("rev > 1").collect()}
+    copies = {("copy", 2, 1, 1, 1, "a"), ("copy", 2, 2, 2, 2, "copy"), ("more", 2, 1, 2, 1, "more"), ("more", 2, 2, 1, 2, "a")}
+    assert got == copies | {("a", 3, 1, 1, 1, "b"), ("a", 3, 2, 3, 2, "a"), ("b", 3, 1, 3, 1, "b"), ("b", 3, 2, 1, 2, "a")}
+    merged = [("a", 1, "p\nq", None, []), ("a", 2, "p\nx", None, [1]), ("copy", 2, "y\nq", "a", [1]), ("copy", 3, "p\nq", None, [2, 1]), ("copy", 4, "p\nx", "a", [2])]
+    found = history.blame(spark.createDataFrame(merged, "path string, rev long, text string, old_path string, parents array<long>"), spark.createDataFrame([(2,)], "rev long"))
+    assert {tuple(r) for r in found.where("rev > 2").collect()} == {("copy", 3, 1, 1, 1, "a"), ("copy", 3, 2, 1, 2, "a"), ("copy", 4, 1, 1, 1, "a"), ("copy", 4, 2, 1, 2, "a")}
+
+
 def test_pairs_of_aliases_are_not_dealt(spark, monkeypatch):
     records = [(1, 7), (1, 8), (1, 8), (2, 9), (3, 5), (4, None), (5, 7)]
     aliases = [(7, 70), (8, 70), (8, 80), (9, 70), (9, 70), (None, 90), (6, 60), (7, None)]
