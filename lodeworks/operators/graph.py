@@ -308,7 +308,7 @@ def _few(seeds: DataFrame) -> list[str]:
     return found
 
 
-def expand_relations(seeds: DataFrame, relations: DataFrame, local_limit: int | None = LOCAL_LIMIT, global_limit: int | None = GLOBAL_LIMIT) -> tuple[DataFrame, list[dict]]:
+def expand_relations(seeds: DataFrame, relations: DataFrame, local_limit: int | None = LOCAL_LIMIT, global_limit: int | None = GLOBAL_LIMIT, every_way: bool = False) -> tuple[DataFrame, list[dict]]:
     """sym, relation, root, distance of the symbols that relations tie to the seeds, and the lists that were too long.
 
     ``relations`` holds (sym, relation, other): ``overrides`` and ``supers`` lead up, ``overriddenBy`` and ``subclasses``
@@ -316,9 +316,14 @@ def expand_relations(seeds: DataFrame, relations: DataFrame, local_limit: int |
     reached downwards goes on downwards.  A list longer than ``local_limit`` is skipped whole, as is one that would push
     the total above ``global_limit``; upward lists are never skipped.  The limits bound the frontier, so it is kept here.
     With None for both no list is skipped, and the frontier, which nothing then bounds, is joined and written in rounds.
+
+    A symbol is given once, by the way that is met first.  With ``every_way``, which takes no limits, it is given for each
+    relation, root and distance that ways to it have, with their number in ``ways``: a relation listed twice makes two.
     """
     if (local_limit is None) != (global_limit is None):
         raise ValueError("give both limits or neither")
+    if every_way and local_limit is not None:
+        raise ValueError("every way is followed without limits only")
     step = {
         ("Queried", "overriddenBy"): "OverrideOf",
         ("Queried", "overrides"): "OverriddenBy",
@@ -334,7 +339,7 @@ def expand_relations(seeds: DataFrame, relations: DataFrame, local_limit: int |
         ("CousinClassOf", "subclasses"): "CousinClassOf",
     }
     if local_limit is None:
-        return _expand_all(seeds, relations, step), []
+        return (_expand_ways if every_way else _expand_all)(seeds, relations, step), []
     queue = [(s, "Queried", s, 0) for s in _few(seeds)]
     met, rows, overloads = {q[0] for q in queue}, list(queue), []
     used = {"overriddenBy": 0, "subclasses": 0}
@@ -364,19 +369,28 @@ def expand_relations(seeds: DataFrame, relations: DataFrame, local_limit: int |
     return seeds.sparkSession.createDataFrame(rows, "sym string, relation string, root string, distance int"), overloads
 
 
+#: Relations in the order in which a queue takes them.
+_FOLLOWED = ("overriddenBy", "overrides", "subclasses", "supers")
+
+
+def _onward(frontier: DataFrame, links: DataFrame, step: dict[tuple[str, str], str]) -> DataFrame:
+    """The frontier (q) with the links (r) that lead on from it, and ``to``, what they make of what they reach."""
+    moves = F.create_map(*[F.lit(x) for (state, relation), to in step.items() for x in (f"{state}/{relation}", to)])
+    ways = frontier.alias("q").join(links.alias("r"), F.col("q.sym") == F.col("r.sym"))
+    return ways.withColumn("to", F.try_element_at(moves, F.concat_ws("/", "q.relation", "r.relation"))).where("to is not null")
+
+
 def _expand_all(seeds: DataFrame, relations: DataFrame, step: dict[tuple[str, str], str]) -> DataFrame:
     """The rows of ``expand_relations`` without limits, a join for each round.
 
     Of several ways to a symbol the one counts that a queue would take first: ``turn`` lists, from the seed on, the
     relation's place and the symbol of each step.
     """
-    follow = ("overriddenBy", "overrides", "subclasses", "supers")
-    moves = F.create_map(*[F.lit(x) for (state, relation), to in step.items() for x in (f"{state}/{relation}", to)])
-    place = F.array_position(F.array(*map(F.lit, follow)), F.col("r.relation")).cast("string")
-    links = relations.where(F.col("relation").isin(*follow)).select("sym", "relation", "other")
+    place = F.array_position(F.array(*map(F.lit, _FOLLOWED)), F.col("r.relation")).cast("string")
+    links = relations.where(F.col("relation").isin(*_FOLLOWED)).select("sym", "relation", "other")
     found = frontier = cut_lineage(seeds.select("sym").distinct().select("sym", F.lit("Queried").alias("relation"), F.col("sym").alias("root"), F.lit(0).alias("distance"), F.array("sym").alias("turn")))
     while not frontier.isEmpty():
-        ways = frontier.alias("q").join(links.alias("r"), F.col("q.sym") == F.col("r.sym")).withColumn("to", F.try_element_at(moves, F.concat_ws("/", "q.relation", "r.relation"))).where("to is not null")
+        ways = _onward(frontier, links, step)
         turn = F.concat("turn", F.array(place, F.col("r.other")))
         first = ways.select(F.col("r.other").alias("sym"), F.col("to").alias("relation"), "root", (F.col("distance") + 1).alias("distance"), turn.alias("turn")).groupBy("sym").agg(F.min_by(F.struct("relation", "root", "distance", "turn"), "turn").alias("w")).select("sym", "w.*")
         frontier = cut_lineage(first.join(found.select("sym"), "sym", "left_anti"))
@@ -384,6 +398,32 @@ def _expand_all(seeds: DataFrame, relations: DataFrame, step: dict[tuple[str, st
     return found.drop("turn")
 
 
+def _expand_ways(seeds: DataFrame, relations: DataFrame, step: dict[tuple[str, str], str]) -> DataFrame:
+    """The rows of ``expand_relations`` by every way, a join for each round.
+
+    Ways that end alike are one row with their number, so that a round joins each link once at most for a root and a
+    relation, however many ways lead to it.  Symbols without a name are ends.
+    """
+    links = relations.where(F.col("relation").isin(*_FOLLOWED)).select("sym", "relation", "other")
+    longest = 2 * links.select("sym").distinct().count() + 1  # upwards and downwards, a way passes a symbol once each
+    found = frontier = cut_lineage(seeds.select("sym").distinct().select("sym", F.lit("Queried").alias("relation"), F.col("sym").alias("root"), F.lit(0).alias("distance"), F.lit(1).cast("bigint").alias("ways")))
+    d = 0
+    while not frontier.isEmpty():
+        if d > longest:
+            raise ValueError("relations lead in a circle, so that ways have no end")
+        d += 1
+        onward = _onward(frontier, links, step).select(F.col("r.other").alias("sym"), F.col("to").alias("relation"), "root", "ways")
+        frontier = cut_lineage(onward.groupBy("sym", "relation", "root").agg(F.sum("ways").alias("ways")).withColumn("distance", F.lit(d)))
+        found = found.unionByName(frontier)
+    return found
+
+
+def each_way(rows: DataFrame, block: int = 10_000) -> DataFrame:
+    """A row for each of a row's ``ways``, which are counted off by blocks, so that no array is long."""
+    blocks = rows.withColumn("at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(ways - 1) div {block}"))))
+    return blocks.withColumn("at", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(block), F.col("ways") - F.col("at") * block)))).drop("at", "ways")
+
+
 def paths_between(sources: DataFrame, targets: DataFrame, edges: DataFrame, max_nodes: int = MAX_DEPTH) -> DataFrame:
     """src, dst, path, n_nodes: every simple path of at most ``max_nodes`` nodes from a source to a target."""
     here = cut_lineage(sources.select(F.col("sym").alias("src"), F.array("sym").alias("path")).distinct())

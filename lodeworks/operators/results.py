@@ -61,10 +61,10 @@ def with_context(spans: DataFrame, lines: DataFrame, before: int, after: int) ->
     return each.join(lines, ["path", "lno"])
 
 
-def relation_facet(rows: DataFrame) -> DataFrame:
-    """How many results each relation to the query gives."""
+def relation_facet(rows: DataFrame, ways: str | None = None) -> DataFrame:
+    """How many results each relation to the query gives; a row counts once, or as often as its column ``ways`` says."""
     label = F.when(F.col("relation") == "Queried", "Self").when(F.col("relation") == "OverrideOf", "Overriden By").when(F.col("relation") == "OverriddenBy", "Overrides").when(F.col("relation") == "CousinOverrideOf", "Cousin Overrides").otherwise(F.col("relation"))
-    return rows.groupBy(label.alias("facet")).agg(F.count("*").alias("n"))
+    return rows.groupBy(label.alias("facet")).agg((F.sum(ways) if ways else F.count("*")).alias("n"))
 
 
 def path_counts(rows: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ import re
 
 from lodeworks.functions import names
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 from lodeworks.operators import crossref, graph, history, layout, ontology, producers, results
 from lodeworks.plans import catalogue
@@ -86,6 +88,32 @@ def test_facets_of_a_nation_of_many_suppliers_equal_the_sql(spark, tmp_path):
     assert {tuple(r) for r in catalogue.queries()["facet_relation"](spark, str(tmp_path)).collect()} == want
 
 
+def test_relations_listed_twice_or_without_names_count_as_in_the_sql(spark, tmp_path):
+    nations = [(1, 1), (1, 1), (1, 2), (2, 1), (None, 1), (3, None)]
+    suppliers = [(1, 1), (1, 1), (1, 2), (2, 2), (None, 1), (None, 1), (3, None), (4, 3)]
+    spark.createDataFrame(nations, "n_nationkey int, n_regionkey int").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.createDataFrame(suppliers, "s_suppkey long, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    con = duckdb.connect()
+    for t in ("nation", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("facet_relation", "expand_relations"):
+        want = con.execute(catalogue.oracle_sql()[name]).fetchall()
+        assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in catalogue.queries()[name](spark, str(tmp_path)).collect())
+    assert ("SubclassOf", 14) in con.execute(catalogue.oracle_sql()["facet_relation"]).fetchall()
+
+
+def test_every_way_is_counted_and_circles_have_no_end(spark):
+    seed = spark.createDataFrame([("a",)], "sym string")
+    links = [("a", "supers", "top"), ("top", "subclasses", "a"), ("top", "subclasses", "b"), ("a", "subclasses", "c"), ("a", "subclasses", "c"), ("a", "subclasses", "d"), ("d", "subclasses", "c")]
+    rows, _ = graph.expand_relations(seed, spark.createDataFrame(links, "sym string, relation string, other string"), None, None, every_way=True)
+    found = {(r.sym, r.relation, r.distance): r.ways for r in rows.collect()}
+    assert found == {("a", "Queried", 0): 1, ("top", "SuperclassOf", 1): 1, ("c", "SubclassOf", 1): 2, ("d", "SubclassOf", 1): 1, ("c", "SubclassOf", 2): 1, ("a", "CousinClassOf", 2): 1, ("b", "CousinClassOf", 2): 1, ("c", "CousinClassOf", 3): 2, ("d", "CousinClassOf", 3): 1, ("c", "CousinClassOf", 4): 1}
+    circle = spark.createDataFrame([("a", "subclasses", "b"), ("b", "subclasses", "a")], "sym string, relation string, other string")
+    with pytest.raises(ValueError, match="circle"):
+        graph.expand_relations(seed, circle, None, None, every_way=True)
+    assert [graph.each_way(spark.range(1).withColumn("ways", F.lit(n).cast("long")), 3).count() for n in (1, 3, 4, 10)] == [1, 3, 4, 10]
+
+
 def test_holes_run_through_rows_without_growing_arrays(spark):
     rng = random.Random(3)
     rows = []
